@@ -32,26 +32,29 @@ def flatten_lines(text: Column) -> Column:
 def longer_than(text: Column, limit: int) -> Column:
     """Whether ``text`` has more than ``limit`` UTF-16 code units.
 
-    ``length`` counts code points, so only strings near the limit need their
-    characters beyond the basic plane counted a second time.
+    ``length`` counts code points. Characters beyond the basic plane count
+    twice; they take four bytes each, so a string with few bytes has too few of
+    them and only the others are looked at closely.
     """
-    units = F.length(text) + F.length(F.regexp_replace(text, WITHIN_BMP, ""))
-    return (F.length(text) > limit) | ((F.length(text) > limit // 2) & (units > limit))
+    length = F.length(text)
+    wide = F.length(F.regexp_replace(text, WITHIN_BMP, ""))
+    may_exceed = F.octet_length(text) + 2 * length >= 3 * (limit + 1)
+    return (length > limit) | (may_exceed & (length + wide > limit))
 
 
 def split_words(text: Column) -> Column:
     """Split on single spaces; empty words stay, except at the end."""
-    body = F.rtrim(text)
-    only_spaces = (body == "") & (text != "")
-    return F.when(only_spaces, F.array().cast("array<string>")).otherwise(F.split(body, " "))
 
+    def split(whole: Column) -> Column:
+        body = F.rtrim(whole)
+        only_spaces = (body == "") & (whole != "")
+        return F.when(only_spaces, F.array().cast("array<string>")).otherwise(F.split(body, " "))
 
-def clean_text(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), CLEANED_AWAY, "")
+    return let(text, split)
 
 
-def long_words(text: Column, min_length: int = 3) -> Column:
-    return F.filter(split_words(text), lambda word: longer_than(word, min_length - 1))
+def clean_text(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), CLEANED_AWAY, "")
 
 
 def word_counts(words: Column) -> Column:

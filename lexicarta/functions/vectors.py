@@ -1,7 +1,7 @@
-"""Sparse ``pyspark.ml`` vectors from and to plain arrays, without Python workers.
+"""Sparse ``pyspark.ml`` vectors from plain arrays, without Python workers.
 
-The vector type is a struct underneath, but SQL has no cast between the two;
-JSON functions read and write it by that struct.
+The vector type is a struct underneath, but SQL has no cast to it; reading JSON
+by a schema that names the type makes one.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _VECTOR = T.StructType([T.StructField("v", VectorUDT())])
-_PLAIN = "v struct<type:int,size:int,indices:array<int>,values:array<double>>"
 
 
 def to_sparse_vector(entries: Column, size: int) -> Column:
@@ -24,11 +23,3 @@ def to_sparse_vector(entries: Column, size: int) -> Column:
         F.transform(entries, lambda e: e["weight"]).alias("values"),
     )
     return F.from_json(F.to_json(F.struct(plain.alias("v"))), _VECTOR)["v"]
-
-
-def sparse_entries(vector: Column) -> Column:
-    """``array<struct<term_id, weight>>`` of the stored entries of a sparse vector."""
-    plain = F.from_json(F.to_json(F.struct(vector.alias("v"))), _PLAIN)["v"]
-    return F.arrays_zip(
-        plain["indices"].alias("term_id"), plain["values"].alias("weight")
-    ).cast("array<struct<term_id:int,weight:double>>")

@@ -1,118 +1,165 @@
-"""Dictionary, TF-IDF weights, vectors and top words of documents."""
+"""Dictionary, TF-IDF weights, vectors and top words of documents.
+
+Weights come in two forms. The long form ``(doc_id, term, weight)`` is made of
+joins and aggregates. Vectors have one row per document; while the vocabulary is
+small enough for a model to hold it, they are made where the documents are, and
+nothing is shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, CountVectorizerModel
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexicarta.functions.vectors import sparse_entries
 from lexicarta.operators.ids import contiguous_index
 from lexicarta.operators.vocabulary import (
     MIN_DOC_FREQUENCY,
-    cleaned_words,
     document_term_counts,
     document_words,
+    inverse_document_frequency,
+    term_statistics,
 )
+from lexicarta.session import materialize
 
 TOP = 101  # fixed value: words reported per document and per topic
 
-_TOP_TYPE = "array<struct<term:string,weight:double>>"
+MAX_MODEL_TERMS = 1 << 18  # the default vocabulary limit of CountVectorizer
 
-MAX_LISTED_TERMS = 1 << 18  # the vocabulary size up to which models hold it as a list
+_TOP_TYPE = "array<struct<term:string,weight:double>>"
+_STORED_VECTOR = "struct<indices:array<int>,values:array<double>>"
 
 
-def dictionary(terms: DataFrame) -> DataFrame:
-    """Terms that occur in documents, numbered by falling count, ties by term."""
-    used = terms.where("doc_occurrences > 0").withColumn("_rank", -F.col("doc_occurrences"))
+def dictionary(statistics: DataFrame) -> DataFrame:
+    """Terms numbered by falling count in the documents, ties by term."""
+    ranked = statistics.withColumn("_rank", -F.col("doc_occurrences"))
     return (
-        contiguous_index(used, ["_rank", "term"], "term_id")
+        contiguous_index(ranked, ["_rank", "term"], "term_id")
         .withColumn("term_id", F.col("term_id").cast("int"))
         .drop("_rank")
     )
 
 
-def tfidf(docs: DataFrame, terms: DataFrame, clean_docs: bool = False) -> DataFrame:
-    """``(doc_id, term, cnt, weight[, term_id])`` with weight = count x idf."""
-    numbered = [c for c in ("term_id",) if c in terms.columns]
-    return (
-        document_term_counts(docs, terms.select("term", "idf", *numbered), clean_docs)
-        .withColumn("weight", F.col("cnt") * F.col("idf"))
-        .select("doc_id", "term", *numbered, "cnt", "weight")
+def tfidf(counts: DataFrame, statistics: DataFrame) -> DataFrame:
+    """``(doc_id, term, cnt, weight)`` with weight = count x idf."""
+    return counts.join(statistics.select("term", "idf"), "term").select(
+        "doc_id", "term", "cnt", (F.col("cnt") * F.col("idf")).alias("weight")
     )
 
 
-def listed_terms(terms: DataFrame, limit: int = MAX_LISTED_TERMS) -> list[str] | None:
-    """The dictionary as a list in ``term_id`` order, or None beyond ``limit`` terms."""
-    rows = terms.select("term_id", "term").take(limit + 1)
-    if len(rows) > limit:
-        return None
-    return [row["term"] for row in sorted(rows, key=lambda row: row["term_id"])]
+def fits_model(vocab: DataFrame) -> bool:
+    return vocab.limit(MAX_MODEL_TERMS + 1).count() <= MAX_MODEL_TERMS
 
 
-def _by_term_id(terms: DataFrame, value: str) -> Column:
-    """One column of the dictionary as an array indexed by ``term_id``."""
-    pairs = F.sort_array(F.collect_list(F.struct("term_id", value)))
-    return terms.agg(F.transform(pairs, lambda e: e[value])).scalar()
+def counting_model(vocab: DataFrame) -> CountVectorizerModel:
+    """A count model that holds exactly the terms of ``vocab``."""
+    words = vocab.select(F.array("term").alias("words"))
+    model = CountVectorizer(inputCol="words", outputCol="tf", vocabSize=MAX_MODEL_TERMS)
+    return model.fit(words)
 
 
-def count_vectors(docs: DataFrame, vocabulary_terms: list[str], clean_docs: bool = False) -> DataFrame:
-    """``(doc_id, tf)``: count vectors, built where the documents are."""
-    if not vocabulary_terms:
-        raise ValueError("the vocabulary is empty")
-    model = CountVectorizerModel.from_vocabulary(vocabulary_terms, inputCol="words", outputCol="tf")
-    words = (cleaned_words if clean_docs else document_words)(F.col("text"))
+def count_vectors(docs: DataFrame, model: CountVectorizerModel, clean_docs: bool = False) -> DataFrame:
+    words = document_words(F.col("text"), clean_docs)
     return model.transform(docs.select("doc_id", words.alias("words"))).select("doc_id", "tf")
 
 
-def tfidf_vectors(docs: DataFrame, vocabulary_terms: list[str]) -> DataFrame:
-    """``(doc_id, tf, tfidf)`` with the ``pyspark.ml`` feature transformers."""
-    counted = count_vectors(docs, vocabulary_terms)
+def tfidf_vectors(docs: DataFrame, model: CountVectorizerModel) -> DataFrame:
+    """``(doc_id, tf, tfidf)`` with the feature transformers of ``pyspark.ml``."""
+    counted = count_vectors(docs, model)
     idf = IDF(minDocFreq=MIN_DOC_FREQUENCY, inputCol="tf", outputCol="tfidf").fit(counted)
     return idf.transform(counted)
 
 
-def document_vectors(docs: DataFrame, terms: DataFrame, clean_docs: bool = False) -> DataFrame:
-    """``vectors(doc_id, entries)``: entries ``(term_id, weight)`` sorted by term id.
+def stored_entries(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """``(key, entries array<struct<code, value>>)`` of stored vectors.
 
-    ``terms`` is the dictionary with ``idf``. While it fits a list, counting and
-    weighting happen inside each document's row and nothing is shuffled. A
-    larger one (only a threshold far below the default gives it) is joined and
-    the entries are regrouped by document.
+    Parquet keeps a vector as the struct it is made of; read by that struct, its
+    parts are plain arrays.
     """
-    listed = listed_terms(terms)
-    if listed is None:
-        return joined_document_vectors(docs, terms, clean_docs)
-    if not listed:
+    stored = materialize(
+        vectors.select(key, vector),
+        "vectors",
+        f"{key} {vectors.schema[key].dataType.simpleString()}, {vector} {_STORED_VECTOR}",
+    )
+    pairs = F.arrays_zip(f"{vector}.indices", f"{vector}.values")
+    return stored.select(key, pairs.cast("array<struct<code:int,value:double>>").alias("entries"))
+
+
+def term_codes(vocab: DataFrame, model: CountVectorizerModel) -> DataFrame:
+    """``(term, code)``: the positions the model gave to the terms."""
+    single = model.transform(vocab.select("term", F.array("term").alias("words")))
+    codes = stored_entries(single, "term", "tf")
+    return codes.select("term", F.get("entries", F.lit(0))["code"].alias("code"))
+
+
+def indexed_values(df: DataFrame, index: str, *values: str) -> Column:
+    """Columns of a small table as an array of structs, at the positions of ``index``."""
+    rows = F.sort_array(F.collect_list(F.struct(index, *values)))
+    return df.agg(
+        F.transform(rows, lambda r: F.struct(*[r[v].alias(v) for v in values]))
+    ).scalar()
+
+
+def document_features(
+    docs: DataFrame, vocab: DataFrame, clean_docs: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """``vectors(doc_id, entries)`` and the dictionary they are numbered by.
+
+    Entries are ``(term_id, weight)`` sorted by term id. A vocabulary beyond a
+    model's limit, which only a threshold far below the default gives, is joined
+    instead, and the entries are regrouped by document.
+    """
+    if not fits_model(vocab):
+        return _joined_features(docs, vocab, clean_docs)
+    if vocab.isEmpty():
+        empty = materialize(term_statistics(document_term_counts(docs, vocab), docs), "dictionary")
         none = F.array().cast("array<struct<term_id:int,weight:double>>")
-        return docs.select("doc_id", none.alias("entries"))
-    counts = sparse_entries(F.col("tf"))
-    return (
-        count_vectors(docs, listed, clean_docs)
-        .select("doc_id", counts.alias("entries"))
-        .withColumn("idf", _by_term_id(terms, "idf"))
-        .select(
-            "doc_id",
-            F.transform(
-                "entries",
-                lambda e: F.struct(
-                    e["term_id"].alias("term_id"),
-                    (e["weight"] * F.get("idf", e["term_id"])).alias("weight"),
-                ),
-            ).alias("entries"),
+        return docs.select("doc_id", none.alias("entries")), dictionary(empty)
+    model = counting_model(vocab)
+    counted = stored_entries(count_vectors(docs, model, clean_docs), "doc_id", "tf")
+    coded = term_codes(vocab, model)
+    n_docs = counted.agg(F.count("*")).scalar()
+    statistics = (
+        counted.select(F.inline("entries"))
+        .groupBy("code")
+        .agg(
+            F.sum("value").cast("bigint").alias("doc_occurrences"),
+            F.count("*").alias("doc_frequency"),
         )
+        .withColumn("idf", inverse_document_frequency(F.col("doc_frequency"), n_docs))
+        .join(coded, "code")
+    )
+    terms = materialize(dictionary(statistics), "dictionary")
+    numbered = coded.join(terms.select("code", "term_id", "idf"), "code", "left")
+    by_code = indexed_values(numbered, "code", "term_id", "idf")
+    weighted = F.transform(
+        "entries",
+        lambda e: F.struct(
+            F.get("by_code", e["code"])["term_id"].alias("term_id"),
+            (e["value"] * F.get("by_code", e["code"])["idf"]).alias("weight"),
+        ),
     )
+    vectors = counted.withColumn("by_code", by_code).select(
+        "doc_id", F.sort_array(weighted).alias("entries")
+    )
+    return vectors, terms.drop("code")
 
 
-def joined_document_vectors(docs: DataFrame, terms: DataFrame, clean_docs: bool = False) -> DataFrame:
+def _joined_features(
+    docs: DataFrame, vocab: DataFrame, clean_docs: bool
+) -> tuple[DataFrame, DataFrame]:
+    counts = materialize(document_term_counts(docs, vocab, clean_docs), "counts")
+    terms = materialize(dictionary(term_statistics(counts, docs)), "dictionary")
+    entry = F.struct("term_id", (F.col("cnt") * F.col("idf")).alias("weight"))
     every = docs.select("doc_id", F.lit(None).cast("struct<term_id:int,weight:double>").alias("e"))
-    return (
-        tfidf(docs, terms, clean_docs)
-        .select("doc_id", F.struct("term_id", "weight").alias("e"))
+    vectors = (
+        counts.join(terms.select("term", "term_id", "idf"), "term")
+        .select("doc_id", entry.alias("e"))
         .unionByName(every)
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list("e")).alias("entries"))
     )
+    return vectors, terms
 
 
 def top_per_group(df: DataFrame, group: str, weight: str, ties: str, n: int) -> DataFrame:
@@ -130,45 +177,50 @@ def top_terms(weights: DataFrame, n: int = TOP, ties: str = "term") -> DataFrame
     return top_per_group(weights.where("weight > 0"), "doc_id", "weight", ties, n)
 
 
-def top_term_lists(weights: DataFrame, docs: DataFrame, n: int = TOP, ties: str = "term") -> DataFrame:
-    """``(doc_id, top array<struct<term, weight>>)``, empty for documents without weights."""
-    rows = F.sort_array(F.collect_list(F.struct("rank", "term", "weight")))
-    lists = (
-        top_terms(weights, n, ties)
-        .groupBy("doc_id")
-        .agg(F.transform(rows, lambda r: F.struct(r["term"], r["weight"])).alias("top"))
-        .withColumn("top", F.col("top").cast(_TOP_TYPE))
-    )
-    none = F.array().cast(_TOP_TYPE)
-    return docs.select("doc_id").join(lists, "doc_id", "left").withColumn(
-        "top", F.coalesce("top", none)
-    )
-
-
-def listed_top_terms(
+def top_term_lists(
     vectors: DataFrame,
     terms: DataFrame,
     n: int = TOP,
     ties: str = "term",
     digits: int | None = None,
 ) -> DataFrame:
-    """The same lists from vectors and a listed dictionary, each made in its own row.
+    """``(doc_id, top array<struct<term, weight>>)``, empty for documents without weights.
 
-    ``digits`` rounds weights before they are ranked.
+    Each list is made in the row of its vector when the dictionary is small, and
+    joined and regrouped otherwise. ``digits`` rounds weights before the ranking.
     """
 
+    def weight_of(e: Column) -> Column:
+        return e["weight"] if digits is None else F.round(e["weight"], digits)
+
+    heavy = F.filter("entries", lambda e: e["weight"] > 0)
+    if not fits_model(terms):
+        return _joined_top_lists(vectors.select("doc_id", heavy.alias("entries")), terms, n, ties, weight_of)
+
     def ranked(e: Column) -> Column:
-        weight = e["weight"] if digits is None else F.round(e["weight"], digits)
-        term = F.get("names", e["term_id"])
+        weight = weight_of(e)
+        term = F.get("names", e["term_id"])["term"]
         tie = term if ties == "term" else e["term_id"]
         return F.struct(
             (-weight).alias("order"), tie.alias("tie"), term.alias("term"), weight.alias("weight")
         )
 
-    own = F.transform(F.filter("entries", lambda e: e["weight"] > 0), ranked)
-    best = F.transform(F.slice(F.sort_array(own), 1, n), lambda r: F.struct(r["term"], r["weight"]))
-    return vectors.withColumn("names", _by_term_id(terms, "term")).select(
-        "doc_id", best.cast(_TOP_TYPE).alias("top")
+    best = F.slice(F.sort_array(F.transform(heavy, ranked)), 1, n)
+    shown = F.transform(best, lambda r: F.struct(r["term"], r["weight"])).cast(_TOP_TYPE)
+    return vectors.withColumn("names", indexed_values(terms, "term_id", "term")).select(
+        "doc_id", shown.alias("top")
+    )
+
+
+def _joined_top_lists(vectors, terms, n, ties, weight_of) -> DataFrame:
+    named = vectors.select("doc_id", F.explode("entries").alias("e")).select(
+        "doc_id", F.col("e.term_id").alias("term_id"), weight_of(F.col("e")).alias("weight")
+    ).join(terms.select("term_id", "term"), "term_id")
+    rows = F.sort_array(F.collect_list(F.struct("rank", "term", "weight")))
+    shown = F.transform(rows, lambda r: F.struct(r["term"], r["weight"])).cast(_TOP_TYPE)
+    lists = top_terms(named, n, ties).groupBy("doc_id").agg(shown.alias("top"))
+    return vectors.select("doc_id").join(lists, "doc_id", "left").select(
+        "doc_id", F.coalesce("top", F.array().cast(_TOP_TYPE)).alias("top")
     )
 
 
@@ -178,8 +230,9 @@ def filled_with_unused(lists: DataFrame, terms: DataFrame, n: int = TOP) -> Data
     The compatible form. A list that needs filling has fewer than ``n`` words,
     so the first ``2 n`` of the dictionary are enough to fill from.
     """
-    first = _by_term_id(terms.where(F.col("term_id") < 2 * n), "term")
-    unused = F.array_except("first", F.transform("top", lambda t: t["term"]))
+    first = indexed_values(terms.where(F.col("term_id") < 2 * n), "term_id", "term")
+    names = F.transform("first", lambda t: t["term"])
+    unused = F.array_except(names, F.transform("top", lambda t: t["term"]))
     padding = F.transform(unused, lambda term: F.struct(term, F.lit(0.0))).cast(_TOP_TYPE)
     return lists.withColumn("first", first).select(
         "doc_id", F.slice(F.concat("top", padding), 1, n).alias("top")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexicarta.functions.text import clean_text, long_words, longer_than, split_words, word_counts
+from lexicarta.functions.text import clean_text, longer_than, split_words, word_counts
 
 # A term is kept when it occurs at least 0.005 times per document
 # on average; tokens of two characters or fewer are dropped; a term found in
@@ -34,60 +34,24 @@ def long_enough(terms: DataFrame, min_length: int = MIN_TOKEN) -> DataFrame:
     return terms.where(longer_than(F.col("term"), min_length - 1))
 
 
-def term_counts(docs: DataFrame, stopwords: DataFrame) -> DataFrame:
-    """``(term, cnt)``. Stop words leave after the counting: once per term, not per token."""
-    counted = long_enough(tokens(docs)).groupBy("term").agg(F.count("*").alias("cnt"))
-    return without_stop_words(counted, stopwords)
-
-
-def document_words(text: Column) -> Column:
-    """Words a document is represented by: from the text as it is, not cleaned."""
-    return long_words(text, MIN_TOKEN)
-
-
-def cleaned_words(text: Column) -> Column:
-    return long_words(clean_text(text), MIN_TOKEN)
-
+def term_counts(docs: DataFrame, stopwords: DataFrame, by: str = "occurrences") -> DataFrame:
+    """``(term, cnt)`` of long enough tokens that are no stop words.
 
-def term_statistics(docs: DataFrame, clean_docs: bool = False) -> DataFrame:
-    """Everything the vocabulary and the weights need, in one pass over the texts.
-
-    ``(term, occurrences, documents, doc_occurrences, doc_frequency)``: the first
-    two over cleaned words, which choose the vocabulary; the last two over the
-    words documents are represented by. Each document's words are counted in its
-    own row, so one summed row per term and task is all that is shuffled.
+    Stop words leave after the counting: once per term, not once per token.
+    ``by="documents"`` counts the documents of a term instead.
     """
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-
-    def rows(words: Column, chooses: bool, represents: bool) -> Column:
-        return F.transform(
-            word_counts(words),
-            lambda c: F.struct(
-                c["term"].alias("term"),
-                (c["n"] if chooses else zero).alias("occurrences"),
-                (one if chooses else zero).alias("documents"),
-                (c["n"] if represents else zero).alias("doc_occurrences"),
-                (one if represents else zero).alias("doc_frequency"),
-            ),
-        )
-
-    text = F.col("text")
-    if clean_docs:
-        counted = rows(cleaned_words(text), True, True)
+    if by == "occurrences":
+        words = split_words(clean_text(F.col("text")))
+    elif by == "documents":
+        words = F.array_distinct(split_words(clean_text(F.col("text"))))
     else:
-        counted = F.concat(
-            rows(cleaned_words(text), True, False), rows(document_words(text), False, True)
-        )
-    return (
-        docs.select(F.inline(counted))
+        raise ValueError(f"unknown threshold rule {by!r}")
+    counted = (
+        long_enough(docs.select(F.explode(words).alias("term")))
         .groupBy("term")
-        .agg(
-            *[
-                F.sum(c).alias(c)
-                for c in ("occurrences", "documents", "doc_occurrences", "doc_frequency")
-            ]
-        )
+        .agg(F.count("*").alias("cnt"))
     )
+    return without_stop_words(counted, stopwords)
 
 
 def vocabulary(
@@ -95,46 +59,42 @@ def vocabulary(
     stopwords: DataFrame,
     min_share: float = MIN_SHARE,
     by: str = "occurrences",
-    clean_docs: bool = False,
 ) -> DataFrame:
-    """Terms of the vocabulary with their statistics and inverse document frequency.
+    """``(term, cnt)`` of the terms that reach ``min_share`` times the number of documents.
 
-    ``by="documents"`` compares the number of documents with the threshold
-    instead of the number of occurrences. The vocabulary cannot grow with the
-    corpus: at most ``words per document / min_share`` terms reach the threshold.
+    The vocabulary does not grow with the corpus: at most ``words per document /
+    min_share`` terms can reach the threshold.
     """
-    if by not in ("occurrences", "documents"):
-        raise ValueError(f"unknown threshold rule {by!r}")
     n_docs = docs.agg(F.count("*")).scalar()
-    frequent = term_statistics(docs, clean_docs).where(
-        (F.col("occurrences") > 0) & (F.col(by) >= n_docs * F.lit(float(min_share)))
-    )
-    idf = F.when(
-        F.col("doc_frequency") >= MIN_DOC_FREQUENCY,
-        F.log((n_docs + 1) / (F.col("doc_frequency") + 1)),
-    ).otherwise(0.0)
-    return without_stop_words(frequent, stopwords).withColumn("idf", idf)
+    return term_counts(docs, stopwords, by).where(F.col("cnt") >= n_docs * F.lit(float(min_share)))
+
+
+def document_words(text: Column, clean_docs: bool = False) -> Column:
+    """Words that represent a document: of the text as it is, or of the cleaned one."""
+    return split_words(clean_text(text) if clean_docs else text)
 
 
-def document_term_counts(docs: DataFrame, terms: DataFrame, clean_docs: bool = False) -> DataFrame:
-    """``(doc_id, term, cnt)`` joined with ``terms``, whose further columns stay.
+def document_term_counts(docs: DataFrame, vocab: DataFrame, clean_docs: bool = False) -> DataFrame:
+    """``(doc_id, term, cnt)`` of vocabulary terms.
 
     Documents are counted in place; only the lookup of the terms is a join.
     """
-    words = (cleaned_words if clean_docs else document_words)(F.col("text"))
+    words = F.filter(
+        document_words(F.col("text"), clean_docs), lambda w: longer_than(w, MIN_TOKEN - 1)
+    )
     counted = docs.select("doc_id", F.inline(word_counts(words))).withColumnRenamed("n", "cnt")
-    return counted.join(terms, "term")
+    return counted.join(vocab.select("term"), "term", "left_semi").select("doc_id", "term", "cnt")
 
 
-def vocabulary_words(docs: DataFrame, terms: DataFrame, clean_docs: bool = False) -> DataFrame:
+def vocabulary_words(docs: DataFrame, vocab: DataFrame, clean_docs: bool = False) -> DataFrame:
     """``(doc_id, words)``: vocabulary members in text order, repeats kept.
 
     Documents without any keep an empty list.
     """
-    words = (cleaned_words if clean_docs else document_words)(F.col("text"))
+    words = document_words(F.col("text"), clean_docs)
     members = (
         docs.select("doc_id", F.posexplode(words).alias("word_no", "term"))
-        .join(terms.select("term"), "term", "left_semi")
+        .join(vocab.select("term"), "term", "left_semi")
         .select("doc_id", F.struct("word_no", "term").alias("word"))
     )
     every = docs.select("doc_id", F.lit(None).cast("struct<word_no:int,term:string>").alias("word"))
@@ -146,8 +106,24 @@ def vocabulary_words(docs: DataFrame, terms: DataFrame, clean_docs: bool = False
     )
 
 
-def corpus_statistics(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def inverse_document_frequency(doc_frequency: Column, n_docs: Column) -> Column:
+    return F.when(
+        doc_frequency >= MIN_DOC_FREQUENCY, F.log((n_docs + 1) / (doc_frequency + 1))
+    ).otherwise(0.0)
+
+
+def term_statistics(counts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(term, doc_occurrences, doc_frequency, idf)`` from ``(doc_id, term, cnt)``."""
+    n_docs = docs.agg(F.count("*")).scalar()
+    return (
+        counts.groupBy("term")
+        .agg(F.sum("cnt").alias("doc_occurrences"), F.count("*").alias("doc_frequency"))
+        .withColumn("idf", inverse_document_frequency(F.col("doc_frequency"), n_docs))
+    )
+
+
+def corpus_statistics(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(n_docs, n_terms)`` as one row."""
     return docs.agg(F.count("*").alias("n_docs")).withColumn(
-        "n_terms", terms.agg(F.count("*")).scalar()
+        "n_terms", vocab.agg(F.count("*")).scalar()
     )

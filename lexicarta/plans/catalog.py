@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicarta.functions.text import clean_text, long_words
-from lexicarta.functions.vectors import sparse_entries
+from lexicarta.functions.text import clean_text, split_words
 from lexicarta.operators import features as X
 from lexicarta.operators import topics as M
 from lexicarta.operators import vocabulary as V
@@ -171,42 +170,38 @@ def term_counts(spark: SparkSession, folder: str) -> DataFrame:
     return V.term_counts(documents(spark, folder), stop_words(spark))
 
 
-def _terms(spark: SparkSession, folder: str, **options) -> DataFrame:
-    return V.vocabulary(documents(spark, folder), stop_words(spark), **options)
-
-
-def _written_terms(spark: SparkSession, folder: str, **options) -> DataFrame:
-    return materialize(_terms(spark, folder, **options), "vocabulary")
-
-
-def _dictionary(spark: SparkSession, folder: str) -> DataFrame:
-    return materialize(X.dictionary(_terms(spark, folder)), "dictionary")
-
-
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    return _terms(spark, folder).select("term", F.col("occurrences").alias("cnt"))
+    return V.vocabulary(documents(spark, folder), stop_words(spark))
 
 
 def vocabulary_by_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return _terms(spark, folder, by="documents").select("term", F.col("documents").alias("n_docs"))
+    by_documents = V.vocabulary(documents(spark, folder), stop_words(spark), by="documents")
+    return by_documents.withColumnRenamed("cnt", "n_docs")
+
+
+def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    return materialize(vocabulary(spark, folder), "vocabulary")
 
 
 def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return V.corpus_statistics(documents(spark, folder), _terms(spark, folder))
+    return V.corpus_statistics(documents(spark, folder), vocabulary(spark, folder))
 
 
 def doc_words(spark: SparkSession, folder: str) -> DataFrame:
-    words = V.vocabulary_words(documents(spark, folder), _written_terms(spark, folder))
+    words = V.vocabulary_words(documents(spark, folder), _vocabulary(spark, folder))
     return words.select("doc_id", F.array_join("words", " ").alias("words"))
 
 
 def doc_term_counts(spark: SparkSession, folder: str) -> DataFrame:
-    terms = _written_terms(spark, folder).select("term")
-    return V.document_term_counts(documents(spark, folder), terms).select("doc_id", "term", "cnt")
+    return V.document_term_counts(documents(spark, folder), _vocabulary(spark, folder))
+
+
+def _statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return V.term_statistics(doc_term_counts(spark, folder), documents(spark, folder))
 
 
 def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    return _terms(spark, folder).where("doc_frequency > 0").select("term", "doc_frequency")
+    return _statistics(spark, folder).select("term", "doc_frequency")
 
 
 # --- features ---------------------------------------------------------------
@@ -214,58 +209,58 @@ def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
 
 def dictionary(spark: SparkSession, folder: str) -> DataFrame:
     """The dictionary written as lines and read back."""
-    lines = W.dictionary_lines(X.dictionary(_terms(spark, folder)))
+    lines = export_dictionary(spark, folder)
     return read_dictionary(spark, _written(lines, "dictionary"))
 
 
 def idf(spark: SparkSession, folder: str) -> DataFrame:
-    terms = _terms(spark, folder).where("doc_occurrences > 0")
-    return rounded(terms.select("term", "idf"), "idf")
+    return rounded(_statistics(spark, folder).select("term", "idf"), "idf")
+
+
+def _tfidf(spark: SparkSession, folder: str, clean_docs: bool) -> DataFrame:
+    docs, vocab = documents(spark, folder), _vocabulary(spark, folder)
+    counts = materialize(V.document_term_counts(docs, vocab, clean_docs), "counts")
+    statistics = materialize(V.term_statistics(counts, docs), "statistics")
+    return rounded(X.tfidf(counts, statistics), "weight")
 
 
 def tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    weights = X.tfidf(documents(spark, folder), _written_terms(spark, folder))
-    return rounded(weights, "weight")
+    return _tfidf(spark, folder, clean_docs=False)
 
 
 def tfidf_clean_docs(spark: SparkSession, folder: str) -> DataFrame:
-    terms = _written_terms(spark, folder, clean_docs=True)
-    return rounded(X.tfidf(documents(spark, folder), terms, clean_docs=True), "weight")
+    return _tfidf(spark, folder, clean_docs=True)
 
 
 def tfidf_ml(spark: SparkSession, folder: str) -> DataFrame:
     """The weights of the feature transformers, in long form."""
-    names = X.listed_terms(_dictionary(spark, folder))
-    vectors = X.tfidf_vectors(documents(spark, folder), names)
-    terms = F.lit(names)
-    entries = vectors.select("doc_id", F.inline(sparse_entries(F.col("tfidf"))))
-    long = entries.select("doc_id", F.get(terms, F.col("term_id")).alias("term"), "weight")
-    return rounded(long, "weight")
-
-
-def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    terms = _dictionary(spark, folder)
-    return X.document_vectors(documents(spark, folder), terms), terms
+    vocab = _vocabulary(spark, folder)
+    model = X.counting_model(vocab)
+    weighted = X.stored_entries(X.tfidf_vectors(documents(spark, folder), model), "doc_id", "tfidf")
+    codes = X.term_codes(vocab, model)
+    long = weighted.select("doc_id", F.inline("entries")).join(codes, "code")
+    return rounded(long.select("doc_id", "term", F.col("value").alias("weight")), "weight")
 
 
-def _top_lists(spark: SparkSession, folder: str, ties: str) -> tuple[DataFrame, DataFrame]:
-    vectors, terms = _vectors(spark, folder)
-    return X.listed_top_terms(vectors, terms, X.TOP, ties, digits=DIGITS), terms
+def _features(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return X.document_features(documents(spark, folder), _vocabulary(spark, folder))
 
 
-def doc_top_terms(spark: SparkSession, folder: str) -> DataFrame:
-    lists, _ = _top_lists(spark, folder, "term")
+def _ranked(lists: DataFrame) -> DataFrame:
     return lists.select("doc_id", F.posexplode("top").alias("at", "t")).select(
         "doc_id", (F.col("at") + 1).alias("rank"), "t.term", "t.weight"
     )
 
 
+def doc_top_terms(spark: SparkSession, folder: str) -> DataFrame:
+    vectors, terms = _features(spark, folder)
+    return _ranked(X.top_term_lists(vectors, terms, digits=DIGITS))
+
+
 def doc_top_terms_filled(spark: SparkSession, folder: str) -> DataFrame:
-    lists, terms = _top_lists(spark, folder, "term_id")
-    filled = X.filled_with_unused(lists, terms)
-    return filled.select("doc_id", F.posexplode("top").alias("at", "t")).select(
-        "doc_id", (F.col("at") + 1).alias("rank"), "t.term", "t.weight"
-    )
+    vectors, terms = _features(spark, folder)
+    lists = X.top_term_lists(vectors, terms, ties="term_id", digits=DIGITS)
+    return _ranked(X.filled_with_unused(lists, terms))
 
 
 # --- text sinks -------------------------------------------------------------
@@ -289,37 +284,35 @@ def export_label_ranges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def export_dictionary(spark: SparkSession, folder: str) -> DataFrame:
-    return W.dictionary_lines(X.dictionary(_terms(spark, folder)))
+    return W.dictionary_lines(X.dictionary(_statistics(spark, folder)))
 
 
 def export_vector_lines(spark: SparkSession, folder: str) -> DataFrame:
-    vectors, _ = _vectors(spark, folder)
+    vectors, _ = _features(spark, folder)
     return W.vector_lines(vectors, digits=DIGITS)
 
 
 def export_vector_lines_compat(spark: SparkSession, folder: str) -> DataFrame:
-    vectors, _ = _vectors(spark, folder)
+    vectors, _ = _features(spark, folder)
     return W.vector_lines(vectors, drop_last=True, digits=DIGITS)
 
 
 def export_train_vectors(spark: SparkSession, folder: str) -> DataFrame:
     docs, ranges = _ranges(spark, folder)
-    terms = materialize(
-        X.dictionary(V.vocabulary(docs.select("doc_id", "text"), stop_words(spark))), "dictionary"
-    )
-    vectors = X.document_vectors(docs.select("doc_id", "text"), terms)
+    vocab = materialize(V.vocabulary(docs, stop_words(spark)), "vocabulary")
+    vectors, _ = X.document_features(docs, vocab)
     labelled = label_by_range(vectors, materialize(ranges, "label-ranges"))
     return W.vector_lines(labelled.where("split = 'train'"), head="label", digits=DIGITS)
 
 
 def export_document_terms(spark: SparkSession, folder: str) -> DataFrame:
-    lists, _ = _top_lists(spark, folder, "term")
-    return W.document_term_lines(lists)
+    vectors, terms = _features(spark, folder)
+    return W.document_term_lines(X.top_term_lists(vectors, terms, digits=DIGITS))
 
 
 def vector_lines_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Vector lines with all digits written, read back, in long form."""
-    vectors, _ = _vectors(spark, folder)
+    vectors, _ = _features(spark, folder)
     parsed = read_vectors(spark, _written(W.vector_lines(vectors), "vectors"))
     return rounded(parsed.select("doc_id", F.inline("entries")), "weight")
 
@@ -327,7 +320,7 @@ def vector_lines_parse(spark: SparkSession, folder: str) -> DataFrame:
 def stopwords(spark: SparkSession, folder: str) -> DataFrame:
     """Stop words that occur in the documents, with their number of documents."""
     words = documents(spark, folder).select(
-        F.explode(F.array_distinct(long_words(clean_text(F.col("text")), 1))).alias("term")
+        F.explode(F.array_distinct(split_words(clean_text(F.col("text"))))).alias("term")
     )
     return words.groupBy("term").agg(F.count("*").alias("n_docs")).join(
         stop_words(spark), "term", "left_semi"
@@ -379,7 +372,7 @@ def _topics(spark: SparkSession, folder: str) -> tuple:
     """Model, corpus and dictionary, fitted once per session and folder."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _fitted:
-        vectors, terms = _vectors(spark, folder)
+        vectors, terms = _features(spark, folder)
         corpus = materialize(
             M.feature_vectors(vectors, terms.count()), "topic-input"
         )

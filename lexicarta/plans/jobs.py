@@ -12,12 +12,8 @@ from pyspark.sql import functions as F
 from lexicarta.operators.categories import category_documents
 from lexicarta.operators.features import (
     TOP,
-    dictionary,
-    document_vectors,
+    document_features,
     filled_with_unused,
-    listed_terms,
-    listed_top_terms,
-    tfidf,
     top_term_lists,
 )
 from lexicarta.operators.ids import contiguous_index, label_ranges
@@ -140,15 +136,10 @@ def features(
     highest term id, and fills the words of a document up with unused ones.
     """
     docs = read_documents(spark, documents)
-    terms = materialize(
-        dictionary(
-            vocabulary(
-                docs, stop_words(spark, stop_words_path), min_share, threshold_by, clean_docs
-            )
-        ),
-        "dictionary",
-    )
-    vectors = materialize(document_vectors(docs, terms, clean_docs), "vectors")
+    stopwords = stop_words(spark, stop_words_path)
+    vocab = materialize(vocabulary(docs, stopwords, min_share, threshold_by), "vocabulary")
+    vectors, terms = document_features(docs, vocab, clean_docs)
+    vectors = materialize(vectors, "vectors")
     tests, training = vectors, None
     if label_ranges_path and not compat:
         labelled = label_by_range(vectors, read_label_ranges(spark, label_ranges_path))
@@ -158,19 +149,11 @@ def features(
     if training is not None:
         W.write_lines(W.vector_lines(training, head="label"), f"{out}/train_vectors")
     W.write_lines(W.dictionary_lines(terms), f"{out}/dictionary")
-    W.write_lines(
-        W.document_term_lines(_top(docs, vectors, terms, top, clean_docs, compat)),
-        f"{out}/document_terms",
-    )
-
-
-def _top(docs, vectors, terms, n, clean_docs, compat) -> DataFrame:
     ties = "term_id" if compat else "term"
-    if listed_terms(terms) is not None:
-        lists = listed_top_terms(vectors, terms, n, ties)
-    else:
-        lists = top_term_lists(tfidf(docs, terms, clean_docs), docs, n, ties)
-    return filled_with_unused(lists, terms, n) if compat else lists
+    lists = top_term_lists(vectors, terms, top, ties)
+    if compat:
+        lists = filled_with_unused(lists, terms, top)
+    W.write_lines(W.document_term_lines(lists), f"{out}/document_terms")
 
 
 def topics(

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
@@ -41,13 +42,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/lexicarta/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, schema: str | StructType | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Cuts the lineage, survives lost executors, freezes anything that depends on
     the partitioning of one run, and gives the planner the exact size, so that
-    it broadcasts the table only when the table really is small.
+    it broadcasts the table only when the table really is small. ``schema`` reads
+    the same data as another type of the same layout.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)

@@ -101,9 +101,12 @@ def default_stop_words() -> list[str]:
 
 
 def stop_words(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """``stopwords(term)``, distinct (R7): a list of one's own, or the default."""
-    if path is None:
-        listed = spark.createDataFrame([(w,) for w in default_stop_words()], "term string")
-    else:
-        listed = spark.read.text(path).select(F.col("value").alias("term"))
-    return listed.dropDuplicates(["term"])
+    """``stopwords(term)``, distinct (R7): a list of one's own, or the default.
+
+    Both have a size the planner knows, so a join broadcasts the list only when
+    it is small.
+    """
+    if path is not None:
+        return spark.read.text(path).select(F.col("value").alias("term")).distinct()
+    values = ", ".join("('" + word.replace("'", r"\'") + "')" for word in default_stop_words())
+    return spark.sql(f"SELECT term FROM VALUES {values} AS stopwords(term)")

@@ -13,9 +13,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for an input of few file splits; leave larger inputs as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """``docs(doc_id, category, text)`` with one line of text per document."""
-    return table(spark, folder, "documents").select(
+    rows = spread(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id")
+    return rows.select(
         "doc_id", F.col("source").alias("category"), flatten_lines(F.col("text")).alias("text")
     )
 
