@@ -1,0 +1,116 @@
+import math
+
+import pytest
+
+from lexicarta.functions.vectors import to_sparse_vector
+from lexicarta.operators import topics as M
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
+
+
+def test_dominant_topic_edges(spark):
+    rows = [
+        (0, [0.2, 0.5, 0.5]),
+        (1, [0.0, 0.0, 0.0]),
+        (2, [-1.0, -0.5, -2.0]),
+        (3, [0.9, 0.1, 0.0]),
+        (4, [0.0, 0.0, 1.0]),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, mixture array<double>")
+    default = df.select("doc_id", M.dominant_topic(F.col("mixture")).alias("t"))
+    assert {r["doc_id"]: r["t"] for r in default.collect()} == {0: 1, 1: None, 2: None, 3: 0, 4: 2}
+    compat = df.select("doc_id", M.dominant_topic(F.col("mixture"), True).alias("t"))
+    assert {r["doc_id"]: r["t"] for r in compat.collect()} == {0: 1, 1: 0, 2: 0, 3: 0, 4: 2}
+
+
+def test_documents_by_topic_in_parts(spark):
+    rows = [(i, None if i == 5 else (i % 4 == 0) * 1) for i in reversed(range(40))]
+    df = spark.createDataFrame(rows, "doc_id bigint, topic int")
+    parts = M.documents_by_topic(df, list_ids=16).orderBy("topic", "part").collect()
+    for topic in (0, 1):
+        ids = [i for p in parts if p["topic"] == topic for i in p["doc_ids"]]
+        assert ids == sorted(i for i, t in rows if t == topic)
+    assert max(len(p["doc_ids"]) for p in parts) <= 16
+    assert all(p["n_docs"] == len(p["doc_ids"]) for p in parts)
+
+
+def test_topic_top_documents_ties(spark):
+    rows = [(i, 0, 0.5) for i in range(10)] + [(99, 0, 0.9), (7, 1, 0.1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, topic int, weight double")
+    top = M.topic_top_documents(df, 3).orderBy("topic", "rank").collect()
+    assert [(r["topic"], r["rank"], r["doc_id"]) for r in top] == [
+        (0, 1, 99),
+        (0, 2, 0),
+        (0, 3, 1),
+        (1, 1, 7),
+    ]
+
+
+def test_sparse_vector_from_entries(spark):
+    rows = [(1, [(0, 1.5), (3, 0.1 + 0.2)]), (2, [])]
+    df = spark.createDataFrame(rows, "doc_id bigint, entries array<struct<term_id:int,weight:double>>")
+    found = {
+        r["doc_id"]: r["v"]
+        for r in df.select("doc_id", to_sparse_vector(F.col("entries"), 5).alias("v")).collect()
+    }
+    assert found == {1: Vectors.sparse(5, [0, 3], [1.5, 0.1 + 0.2]), 2: Vectors.sparse(5, [], [])}
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    """Two clear groups of documents, and one document without words."""
+    rows = [(i, [(j, 1.0 + (i + j) % 3) for j in range(4)]) for i in range(20)]
+    rows += [(i, [(j, 1.0 + (i + j) % 3) for j in range(4, 8)]) for i in range(20, 30)]
+    rows += [(30, [])]
+    df = spark.createDataFrame(rows, "doc_id bigint, entries array<struct<term_id:int,weight:double>>")
+    vectors = M.feature_vectors(df, 8)
+    words = spark.createDataFrame([(f"w{i}", i) for i in range(8)], "term string, term_id int")
+    return M.fit_topics(vectors, k=2, partitions=2), vectors, words
+
+
+def test_mixtures(fitted):
+    model, vectors, _ = fitted
+    mixtures = {r["doc_id"]: r["mixture"] for r in M.document_topics(model, vectors).collect()}
+    assert len(mixtures) == 31
+    assert all(len(m) == 2 for m in mixtures.values())
+    assert all(math.isclose(sum(mixtures[i]), 1.0, abs_tol=1e-6) for i in range(30))
+    assigned = M.document_topics(model, vectors).select(
+        "doc_id", M.dominant_topic(F.col("mixture")).alias("topic")
+    )
+    topic = {r["doc_id"]: r["topic"] for r in assigned.collect()}
+    assert len({topic[i] for i in range(20)}) == 1
+    assert len({topic[i] for i in range(20, 30)}) == 1
+    assert topic[0] != topic[20] and topic[30] is None
+
+
+def test_topic_terms(fitted):
+    model, _, words = fitted
+    rows = M.topic_terms(model, words).orderBy("topic", "rank").collect()
+    for topic in (0, 1):
+        own = [r for r in rows if r["topic"] == topic]
+        assert [r["rank"] for r in own] == list(range(1, len(own) + 1))
+        weights = [r["weight"] for r in own]
+        assert weights == sorted(weights, reverse=True)
+        assert math.isclose(sum(weights), 1.0, abs_tol=1e-6)
+        assert all(r["term"] == f"w{r['term_id']}" for r in own)
+    best = M.topic_top_terms(M.topic_terms(model, words), 4).orderBy("topic", "rank").collect()
+    for topic in (0, 1):
+        ranked = [(r["term_id"], r["weight"]) for r in rows if r["topic"] == topic]
+        ranked.sort(key=lambda r: (-r[1], f"w{r[0]}"))
+        assert [r["term_id"] for r in best if r["topic"] == topic] == [i for i, _ in ranked[:4]]
+    second_group = [
+        sum(r["weight"] for r in rows if r["topic"] == t and r["term_id"] >= 4) for t in (0, 1)
+    ]
+    mixture = M.document_topics(model, fitted[1]).where("doc_id = 20").head()["mixture"]
+    assert (second_group[0] > second_group[1]) == (mixture[0] > mixture[1])
+
+
+def test_fit_repeats_on_the_same_partitions(fitted, spark):
+    model, vectors, words = fitted
+    again = M.fit_topics(vectors.repartition(3), k=2, partitions=2)
+    first, second = (
+        M.topic_terms(m, words).orderBy("topic", "rank").select("term_id", "weight").collect()
+        for m in (model, again)
+    )
+    assert [r["term_id"] for r in first] == [r["term_id"] for r in second]
+    assert all(math.isclose(a["weight"], b["weight"], rel_tol=1e-6) for a, b in zip(first, second))
