@@ -65,7 +65,7 @@ def count_vectors(docs: DataFrame, model: CountVectorizerModel, clean_docs: bool
 
 def tfidf_vectors(docs: DataFrame, model: CountVectorizerModel) -> DataFrame:
     """``(doc_id, tf, tfidf)`` with the feature transformers of ``pyspark.ml``."""
-    counted = count_vectors(docs, model)
+    counted = materialize(count_vectors(docs, model), "count-vectors")
     idf = IDF(minDocFreq=MIN_DOC_FREQUENCY, inputCol="tf", outputCol="tfidf").fit(counted)
     return idf.transform(counted)
 

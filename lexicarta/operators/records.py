@@ -5,8 +5,9 @@ abstract tag starts the abstract, lines with a leading space continue it, any
 other field ends it, and a second tagged line starts it anew.
 
 The unit of work is one block of a file (a file split), never a whole file:
-records are numbered inside their block, and only the first and the last piece
-of each block take part in a second step that joins records cut by a block
+records are numbered inside their block, which takes the one shuffle of the
+lines. Their pieces are written; after that only the first and the last piece of
+each block take part in a second step that joins records cut by a block
 boundary.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexicarta.functions.text import let, longer_than, split_words, strip_blanks
+from lexicarta.session import materialize
 
 CLOSE, START, CONTINUE, OTHER = "T", "S", "C", "O"
 
@@ -45,12 +47,12 @@ def classify_lines(lines: DataFrame, layout: RecordLayout) -> DataFrame:
     any shuffle.
     """
     line = F.col("line")
-    words = split_words(line)
-    first = F.get(words, F.lit(0))
+    first = F.substring_index(line, " ", 1)
+    two_words = F.contains(F.rtrim(line), F.lit(" "))
     text = strip_blanks(F.lower(line))
     kind = (
         F.when(~longer_than(line, layout.close_length), CLOSE)
-        .when(F.size(words) < 2, F.lit(None))
+        .when(~two_words, F.lit(None))
         .when(first == layout.tag, START)
         .when(first == "", CONTINUE)
         .otherwise(OTHER)
@@ -114,26 +116,21 @@ def extract_records(
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    pieces = (
+    parts = F.sort_array(
+        F.collect_list(F.when(F.col("kind") != CLOSE, F.struct("pos", "kind", "text")))
+    )
+    bare = F.transform(parts, lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text")))
+    pieces = materialize(
         marked.withColumn("record", F.coalesce(F.sum(is_close).over(earlier), F.lit(0)))
         .groupBy("file", "block", "record")
-        .agg(
-            F.max(is_close).alias("closed"),
-            F.sort_array(
-                F.collect_list(F.when(F.col("kind") != CLOSE, F.struct("pos", "kind", "text")))
-            ).alias("parts"),
-        )
-        .withColumn(
-            "parts",
-            _last_island(
-                F.transform("parts", lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text")))
-            ),
-        )
+        .agg(F.max(is_close).alias("closed"), bare.alias("parts"))
+        .withColumn("parts", _last_island(F.col("parts"))),
+        "pieces",
     )
     whole = pieces.where((F.col("record") > 0) & (F.col("closed") == 1))
     edges = pieces.where((F.col("record") == 0) | (F.col("closed") == 0))
     joined = (
-        edges.join(_record_before(marked, is_close), ["file", "block"])
+        edges.join(_record_before(pieces), ["file", "block"])
         .select(
             "file",
             F.when(F.col("record") > 0, F.col("block"))
@@ -160,20 +157,19 @@ def extract_records(
     return whole.select(*columns).unionByName(joined.select(*columns)).where(F.col("text") != "")
 
 
-def _record_before(marked: DataFrame, is_close: Column) -> DataFrame:
+def _record_before(pieces: DataFrame) -> DataFrame:
     """For each block, the record that is open where the block begins.
 
     That is the record after the last closing line of the nearest earlier block
-    that has one. One small row per block; the lines are read a second time for
-    it, but only their counts are shuffled.
+    that has one. One small row per block, from two columns of the pieces.
     """
     by_block = Window.partitionBy("file").orderBy("block")
     closing = F.when(
         F.col("closes") > 0, F.struct(F.col("block"), F.col("closes").alias("record"))
     )
     return (
-        marked.groupBy("file", "block")
-        .agg(F.sum(is_close).alias("closes"))
+        pieces.groupBy("file", "block")
+        .agg(F.sum("closed").alias("closes"))
         .select(
             "file",
             "block",

@@ -33,15 +33,15 @@ def id_block(docs: DataFrame, rows: int = 4096) -> Column:
     The width of a block follows from the ids' span and number, so both dense
     and sparse ids give about the same number of documents per block.
     """
-    stats = docs.select("doc_id")
-    low = stats.agg(F.min("doc_id")).scalar()
-    width = stats.agg(
-        F.greatest(
-            F.lit(1),
-            F.ceil((F.max("doc_id") - F.min("doc_id") + 1) / F.ceil(F.count("*") / F.lit(rows))),
+    blocks = F.ceil(F.count("*") / F.lit(rows))
+    span = F.max("doc_id") - F.min("doc_id") + 1
+    bounds = docs.agg(
+        F.struct(
+            F.min("doc_id").alias("low"),
+            F.greatest(F.lit(1), F.ceil(span / blocks)).alias("width"),
         )
     ).scalar()
-    return F.floor((F.col("doc_id") - low) / width).cast("bigint")
+    return F.floor((F.col("doc_id") - bounds["low"]) / bounds["width"]).cast("bigint")
 
 
 def tagged_lines(docs: DataFrame, layout: RecordLayout) -> DataFrame:
@@ -59,7 +59,7 @@ def tagged_lines(docs: DataFrame, layout: RecordLayout) -> DataFrame:
         ),
         F.array(F.lit("TI x y zzz"), F.lit("   cont zzzz"), F.lit("")),
     )
-    return docs.select(
+    return spread(docs, "doc_id").select(
         F.col("source").alias("file"),
         id_block(docs).alias("block"),
         "doc_id",
