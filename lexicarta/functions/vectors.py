@@ -1,25 +1,44 @@
-"""Sparse ``pyspark.ml`` vectors from plain arrays, without Python workers.
+"""``pyspark.ml`` vectors from and to plain arrays, without Python workers.
 
-The vector type is a struct underneath, but SQL has no cast to it; reading JSON
-by a schema that names the type makes one.
+SQL has no cast between the vector type and the struct it is made of, but
+Parquet stores a vector as that struct, so a written column can be read as
+either.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_VECTOR = T.StructType([T.StructField("v", VectorUDT())])
+from lexicarta.session import materialize
 
+_PARTS = "struct<indices:array<int>,values:array<double>>"
 
-def to_sparse_vector(entries: Column, size: int) -> Column:
-    """Vector from ``array<struct<term_id:int, weight:double>>`` sorted by term id."""
-    plain = F.struct(
-        F.lit(0).alias("type"),
+
+def stored_entries(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """``(key, entries array<struct<code, value>>)`` of sparse vectors, written once."""
+    key_type = vectors.schema[key].dataType.simpleString()
+    stored = materialize(
+        vectors.select(key, vector), "entries", f"{key} {key_type}, {vector} {_PARTS}"
+    )
+    pairs = F.arrays_zip(f"{vector}.indices", f"{vector}.values")
+    return stored.select(key, pairs.cast("array<struct<code:int,value:double>>").alias("entries"))
+
+
+def stored_vectors(vectors: DataFrame, size: int) -> DataFrame:
+    """``(doc_id, features)`` sparse vectors of ``(doc_id, entries)``, written once.
+
+    Entries are ``(term_id, weight)`` sorted by term id.
+    """
+    features = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),  # sparse
         F.lit(size).alias("size"),
-        F.transform(entries, lambda e: e["term_id"]).alias("indices"),
-        F.transform(entries, lambda e: e["weight"]).alias("values"),
+        F.transform("entries", lambda e: e["term_id"]).alias("indices"),
+        F.transform("entries", lambda e: e["weight"]).alias("values"),
+    )
+    schema = T.StructType(
+        [vectors.schema["doc_id"], T.StructField("features", VectorUDT())]
     )
-    return F.from_json(F.to_json(F.struct(plain.alias("v"))), _VECTOR)["v"]
+    return materialize(vectors.select("doc_id", features.alias("features")), "vectors", schema)

@@ -12,6 +12,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexicarta.functions.vectors import stored_entries
 from lexicarta.operators.ids import contiguous_index
 from lexicarta.operators.vocabulary import (
     MIN_DOC_FREQUENCY,
@@ -27,7 +28,6 @@ TOP = 101  # fixed value: words reported per document and per topic
 MAX_MODEL_TERMS = 1 << 18  # the default vocabulary limit of CountVectorizer
 
 _TOP_TYPE = "array<struct<term:string,weight:double>>"
-_STORED_VECTOR = "struct<indices:array<int>,values:array<double>>"
 
 
 def dictionary(statistics: DataFrame) -> DataFrame:
@@ -70,21 +70,6 @@ def tfidf_vectors(docs: DataFrame, model: CountVectorizerModel) -> DataFrame:
     return idf.transform(counted)
 
 
-def stored_entries(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """``(key, entries array<struct<code, value>>)`` of stored vectors.
-
-    Parquet keeps a vector as the struct it is made of; read by that struct, its
-    parts are plain arrays.
-    """
-    stored = materialize(
-        vectors.select(key, vector),
-        "vectors",
-        f"{key} {vectors.schema[key].dataType.simpleString()}, {vector} {_STORED_VECTOR}",
-    )
-    pairs = F.arrays_zip(f"{vector}.indices", f"{vector}.values")
-    return stored.select(key, pairs.cast("array<struct<code:int,value:double>>").alias("entries"))
-
-
 def term_codes(vocab: DataFrame, model: CountVectorizerModel) -> DataFrame:
     """``(term, code)``: the positions the model gave to the terms."""
     single = model.transform(vocab.select("term", F.array("term").alias("words")))

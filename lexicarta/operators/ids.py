@@ -33,7 +33,7 @@ def contiguous_index(df: DataFrame, order_by: list, name: str) -> DataFrame:
     )
     in_part = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
-        placed.join(offsets, "_part")
+        placed.join(F.broadcast(offsets), "_part")  # one row per partition
         .withColumn(name, (F.col("_offset") + in_part).cast("bigint"))
         .drop("_row", "_part", "_offset")
     )

@@ -8,7 +8,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexicarta.functions.vectors import to_sparse_vector
 from lexicarta.operators.features import TOP, top_per_group
 from lexicarta.session import scratch_path
 
@@ -19,11 +18,6 @@ TOP_DOCUMENTS = 20
 LIST_IDS = 100_000
 
 
-def feature_vectors(vectors: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, features)`` for the estimator from ``vectors(doc_id, entries)``."""
-    return vectors.select("doc_id", to_sparse_vector(F.col("entries"), size).alias("features"))
-
-
 def fit_topics(
     vectors: DataFrame,
     k: int = TOPICS,
@@ -115,4 +109,19 @@ def topic_terms(model: LDAModel, dictionary: DataFrame) -> DataFrame:
 
 
 def topic_top_terms(terms: DataFrame, n: int = TOP) -> DataFrame:
+    """``(topic, rank, term_id, term, weight)``: the words with most weight in a topic."""
     return top_per_group(terms.drop("rank"), "topic", "weight", "term", n)
+
+
+def with_weightless_terms(terms: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
+    """Topic terms over the whole dictionary: words the model has no weight for weigh nothing.
+
+    The compatible form for ranking, which fills short topics up with them.
+    """
+    every = dictionary.select(
+        F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("topic"), "term_id", "term"
+    )
+    known = terms.select("topic", "term_id", "weight")
+    return every.join(known, ["topic", "term_id"], "left").withColumn(
+        "weight", F.coalesce("weight", F.lit(0.0))
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicarta.functions.text import clean_text, split_words
+from lexicarta.functions.vectors import stored_entries, stored_vectors
 from lexicarta.operators import features as X
 from lexicarta.operators import topics as M
 from lexicarta.operators import vocabulary as V
@@ -236,7 +237,7 @@ def tfidf_ml(spark: SparkSession, folder: str) -> DataFrame:
     """The weights of the feature transformers, in long form."""
     vocab = _vocabulary(spark, folder)
     model = X.counting_model(vocab)
-    weighted = X.stored_entries(X.tfidf_vectors(documents(spark, folder), model), "doc_id", "tfidf")
+    weighted = stored_entries(X.tfidf_vectors(documents(spark, folder), model), "doc_id", "tfidf")
     codes = X.term_codes(vocab, model)
     long = weighted.select("doc_id", F.inline("entries")).join(codes, "code")
     return rounded(long.select("doc_id", "term", F.col("value").alias("weight")), "weight")
@@ -373,9 +374,7 @@ def _topics(spark: SparkSession, folder: str) -> tuple:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _fitted:
         vectors, terms = _features(spark, folder)
-        corpus = materialize(
-            M.feature_vectors(vectors, terms.count()), "topic-input"
-        )
+        corpus = stored_vectors(vectors, terms.count())
         _fitted[key] = (M.fit_topics(corpus), corpus, terms)
     return _fitted[key]
 
@@ -410,6 +409,12 @@ def topic_top_terms(spark: SparkSession, folder: str) -> DataFrame:
     return M.topic_top_terms(_described(spark, folder))
 
 
+def topic_top_terms_filled(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, terms = _topics(spark, folder)
+    every = M.with_weightless_terms(_described(spark, folder), terms, M.TOPICS)
+    return M.topic_top_terms(every)
+
+
 def lda_top_docs(spark: SparkSession, folder: str) -> DataFrame:
     return M.topic_top_documents(doc_topics(spark, folder))
 
@@ -481,6 +486,7 @@ QUERIES: dict[str, Query] = {
     "doc_topics": doc_topics,
     "topic_terms": topic_terms,
     "topic_top_terms": topic_top_terms,
+    "topic_top_terms_filled": topic_top_terms_filled,
     "lda_top_docs": lda_top_docs,
     "lda_docs_by_topic": lda_docs_by_topic,
     "export_topic_words": export_topic_words,

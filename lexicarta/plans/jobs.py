@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexicarta.functions.vectors import stored_vectors
 from lexicarta.operators.categories import category_documents
 from lexicarta.operators.features import (
     TOP,
@@ -30,12 +31,12 @@ from lexicarta.operators.topics import (
     document_topics,
     documents_by_topic,
     dominant_topic,
-    feature_vectors,
     fit_topics,
     topic_terms,
     topic_top_documents,
     topic_top_terms,
     topic_weights,
+    with_weightless_terms,
 )
 from lexicarta.operators.vocabulary import MIN_SHARE, vocabulary
 from lexicarta.session import materialize
@@ -109,15 +110,21 @@ def extract(
     training = docs.where("is_train")
     W.write_lines(W.document_lines(docs), f"{out}/documents")
     W.write_lines(W.document_lines(training), f"{out}/train_documents")
-    W.write_lines(
-        W.category_lines(category_documents(training, "" if compat else " ")),
-        f"{out}/category_documents",
-    )
+    categories = category_documents(training, "" if compat else " ")
+    if compat:
+        categories = categories.select("first_id", "text").unionByName(_source_headings(docs))
+    W.write_lines(W.category_lines(categories), f"{out}/category_documents")
     W.write_lines(
         W.label_range_lines(label_ranges(training, one_based=compat)), f"{out}/label_ranges"
     )
 
 
+def _source_headings(docs: DataFrame) -> DataFrame:
+    """An empty category line for each source file."""
+    first = docs.where(~F.col("is_train")).groupBy("category").agg(F.min("doc_id").alias("first_id"))
+    return first.select("first_id", F.lit("").alias("text"))
+
+
 def features(
     spark: SparkSession,
     out: str,
@@ -171,9 +178,7 @@ def topics(
 ) -> None:
     """Vector lines and dictionary to the four topic reports below ``out``."""
     words = materialize(read_dictionary(spark, dictionary_path), "dictionary")
-    corpus = materialize(
-        feature_vectors(read_vectors(spark, vectors), words.count()), "topic-input"
-    )
+    corpus = stored_vectors(read_vectors(spark, vectors), words.count())
     model = fit_topics(corpus, k=k, max_iter=max_iter, seed=seed, optimizer=optimizer)
     mixtures = materialize(document_topics(model, corpus), "mixtures")
     assigned = mixtures.select("doc_id", dominant_topic(F.col("mixture"), compat).alias("topic"))
@@ -181,7 +186,8 @@ def topics(
     W.write_lines(
         W.topic_document_lines(documents_by_topic(assigned), k), f"{out}/topic_documents"
     )
-    W.write_lines(W.topic_word_lines(topic_top_terms(described, top)), f"{out}/topic_words")
+    ranked = with_weightless_terms(described, words, k) if compat else described
+    W.write_lines(W.topic_word_lines(topic_top_terms(ranked, top)), f"{out}/topic_words")
     W.write_lines(
         W.topic_top_document_lines(topic_top_documents(topic_weights(mixtures), top_documents)),
         f"{out}/topic_top_documents",

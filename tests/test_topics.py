@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from lexicarta.functions.vectors import to_sparse_vector
+from lexicarta.functions.vectors import stored_entries, stored_vectors
 from lexicarta.operators import topics as M
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -46,14 +46,16 @@ def test_topic_top_documents_ties(spark):
     ]
 
 
-def test_sparse_vector_from_entries(spark):
+def test_vectors_and_entries(spark):
     rows = [(1, [(0, 1.5), (3, 0.1 + 0.2)]), (2, [])]
     df = spark.createDataFrame(rows, "doc_id bigint, entries array<struct<term_id:int,weight:double>>")
-    found = {
-        r["doc_id"]: r["v"]
-        for r in df.select("doc_id", to_sparse_vector(F.col("entries"), 5).alias("v")).collect()
+    vectors = stored_vectors(df, 5)
+    assert {r["doc_id"]: r["features"] for r in vectors.collect()} == {
+        1: Vectors.sparse(5, [0, 3], [1.5, 0.1 + 0.2]),
+        2: Vectors.sparse(5, [], []),
     }
-    assert found == {1: Vectors.sparse(5, [0, 3], [1.5, 0.1 + 0.2]), 2: Vectors.sparse(5, [], [])}
+    back = stored_entries(vectors, "doc_id", "features").orderBy("doc_id").collect()
+    assert [(r["doc_id"], [tuple(e) for e in r["entries"]]) for r in back] == rows
 
 
 @pytest.fixture(scope="module")
@@ -63,7 +65,7 @@ def fitted(spark):
     rows += [(i, [(j, 1.0 + (i + j) % 3) for j in range(4, 8)]) for i in range(20, 30)]
     rows += [(30, [])]
     df = spark.createDataFrame(rows, "doc_id bigint, entries array<struct<term_id:int,weight:double>>")
-    vectors = M.feature_vectors(df, 8)
+    vectors = stored_vectors(df, 8)
     words = spark.createDataFrame([(f"w{i}", i) for i in range(8)], "term string, term_id int")
     return M.fit_topics(vectors, k=2, partitions=2), vectors, words
 
@@ -105,6 +107,18 @@ def test_topic_terms(fitted):
     assert (second_group[0] > second_group[1]) == (mixture[0] > mixture[1])
 
 
+def test_weightless_terms_fill_up(spark):
+    terms = spark.createDataFrame(
+        [(0, 1, 2, "c", 0.7), (0, 2, 0, "a", 0.3), (1, 1, 1, "b", 1.0)],
+        "topic int, rank int, term_id int, term string, weight double",
+    )
+    words = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "term string, term_id int")
+    best = M.topic_top_terms(M.with_weightless_terms(terms, words, 2), 3).orderBy("topic", "rank")
+    assert [(r["topic"], r["term"]) for r in best.collect()] == [
+        (0, "c"), (0, "a"), (0, "b"), (1, "b"), (1, "a"), (1, "c"),
+    ]
+
+
 def test_fit_repeats_on_the_same_partitions(fitted, spark):
     model, vectors, words = fitted
     again = M.fit_topics(vectors.repartition(3), k=2, partitions=2)
