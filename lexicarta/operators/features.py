@@ -86,24 +86,24 @@ def indexed_values(df: DataFrame, index: str, *values: str) -> Column:
 
 
 def document_features(
-    docs: DataFrame, vocab: DataFrame, clean_docs: bool = False
+    docs: DataFrame,
+    vocab: DataFrame,
+    clean_docs: bool = False,
+    min_doc_frequency: int = MIN_DOC_FREQUENCY,
 ) -> tuple[DataFrame, DataFrame]:
     """``vectors(doc_id, entries)`` and the dictionary they are numbered by.
 
     Entries are ``(term_id, weight)`` sorted by term id. A vocabulary beyond a
     model's limit, which only a threshold far below the default gives, is joined
-    instead, and the entries are regrouped by document.
+    instead, and the entries are regrouped by document; so is an empty one.
     """
-    if not fits_model(vocab):
-        return _joined_features(docs, vocab, clean_docs)
-    if vocab.isEmpty():
-        empty = materialize(term_statistics(document_term_counts(docs, vocab), docs), "dictionary")
-        none = F.array().cast("array<struct<term_id:int,weight:double>>")
-        return docs.select("doc_id", none.alias("entries")), dictionary(empty)
+    if vocab.isEmpty() or not fits_model(vocab):
+        return _joined_features(docs, vocab, clean_docs, min_doc_frequency)
     model = counting_model(vocab)
     counted = stored_entries(count_vectors(docs, model, clean_docs), "doc_id", "tf")
     coded = term_codes(vocab, model)
     n_docs = counted.agg(F.count("*")).scalar()
+    idf = inverse_document_frequency(F.col("doc_frequency"), n_docs, min_doc_frequency)
     statistics = (
         counted.select(F.inline("entries"))
         .groupBy("code")
@@ -111,7 +111,7 @@ def document_features(
             F.sum("value").cast("bigint").alias("doc_occurrences"),
             F.count("*").alias("doc_frequency"),
         )
-        .withColumn("idf", inverse_document_frequency(F.col("doc_frequency"), n_docs))
+        .withColumn("idf", idf)
         .join(coded, "code")
     )
     terms = materialize(dictionary(statistics), "dictionary")
@@ -130,11 +130,11 @@ def document_features(
     return vectors, terms.drop("code")
 
 
-def _joined_features(
-    docs: DataFrame, vocab: DataFrame, clean_docs: bool
-) -> tuple[DataFrame, DataFrame]:
-    counts = materialize(document_term_counts(docs, vocab, clean_docs), "counts")
-    terms = materialize(dictionary(term_statistics(counts, docs)), "dictionary")
+def _joined_features(docs, vocab, clean_docs, min_doc_frequency) -> tuple[DataFrame, DataFrame]:
+    counts = document_term_counts(docs, vocab, clean_docs, min_token=0)
+    counts = materialize(counts, "counts")
+    statistics = term_statistics(counts, docs, min_doc_frequency)
+    terms = materialize(dictionary(statistics), "dictionary")
     entry = F.struct("term_id", (F.col("cnt") * F.col("idf")).alias("weight"))
     every = docs.select("doc_id", F.lit(None).cast("struct<term_id:int,weight:double>").alias("e"))
     vectors = (

@@ -29,13 +29,16 @@ def fit_topics(
     """Fit ``k`` topics on ``(doc_id, features)``.
 
     A fit repeats only on the same partitions in the same order, hence the
-    placing by document id. Long fits cut their lineage in the checkpoint folder.
+    placing by document id. The number is fixed, since the graph of the fit keeps
+    it and merged partitions would leave cores idle. Long fits cut their lineage
+    in the checkpoint folder.
     """
     spark = vectors.sparkSession
     scratch_path(spark, "topics")  # makes sure a checkpoint folder is known
-    columns = [F.col("doc_id")] if partitions is None else [partitions, F.col("doc_id")]
+    if partitions is None:
+        partitions = max(spark.sparkContext.defaultParallelism, vectors.rdd.getNumPartitions())
     placed = (
-        vectors.repartition(*columns)
+        vectors.repartition(partitions, "doc_id")
         .sortWithinPartitions("doc_id")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )

@@ -34,7 +34,12 @@ def long_enough(terms: DataFrame, min_length: int = MIN_TOKEN) -> DataFrame:
     return terms.where(longer_than(F.col("term"), min_length - 1))
 
 
-def term_counts(docs: DataFrame, stopwords: DataFrame, by: str = "occurrences") -> DataFrame:
+def term_counts(
+    docs: DataFrame,
+    stopwords: DataFrame,
+    by: str = "occurrences",
+    min_token: int = MIN_TOKEN,
+) -> DataFrame:
     """``(term, cnt)`` of long enough tokens that are no stop words.
 
     Stop words leave after the counting: once per term, not once per token.
@@ -47,7 +52,7 @@ def term_counts(docs: DataFrame, stopwords: DataFrame, by: str = "occurrences")
     else:
         raise ValueError(f"unknown threshold rule {by!r}")
     counted = (
-        long_enough(docs.select(F.explode(words).alias("term")))
+        long_enough(docs.select(F.explode(words).alias("term")), min_token)
         .groupBy("term")
         .agg(F.count("*").alias("cnt"))
     )
@@ -59,6 +64,7 @@ def vocabulary(
     stopwords: DataFrame,
     min_share: float = MIN_SHARE,
     by: str = "occurrences",
+    min_token: int = MIN_TOKEN,
 ) -> DataFrame:
     """``(term, cnt)`` of the terms that reach ``min_share`` times the number of documents.
 
@@ -66,7 +72,8 @@ def vocabulary(
     min_share`` terms can reach the threshold.
     """
     n_docs = docs.agg(F.count("*")).scalar()
-    return term_counts(docs, stopwords, by).where(F.col("cnt") >= n_docs * F.lit(float(min_share)))
+    counted = term_counts(docs, stopwords, by, min_token)
+    return counted.where(F.col("cnt") >= n_docs * F.lit(float(min_share)))
 
 
 def document_words(text: Column, clean_docs: bool = False) -> Column:
@@ -74,13 +81,17 @@ def document_words(text: Column, clean_docs: bool = False) -> Column:
     return split_words(clean_text(text) if clean_docs else text)
 
 
-def document_term_counts(docs: DataFrame, vocab: DataFrame, clean_docs: bool = False) -> DataFrame:
+def document_term_counts(
+    docs: DataFrame, vocab: DataFrame, clean_docs: bool = False, min_token: int = MIN_TOKEN
+) -> DataFrame:
     """``(doc_id, term, cnt)`` of vocabulary terms.
 
-    Documents are counted in place; only the lookup of the terms is a join.
+    Documents are counted in place; only the lookup of the terms is a join. No
+    term of the vocabulary is shorter than ``min_token``, so such words are not
+    even counted.
     """
     words = F.filter(
-        document_words(F.col("text"), clean_docs), lambda w: longer_than(w, MIN_TOKEN - 1)
+        document_words(F.col("text"), clean_docs), lambda w: longer_than(w, min_token - 1)
     )
     counted = docs.select("doc_id", F.inline(word_counts(words))).withColumnRenamed("n", "cnt")
     return counted.join(vocab.select("term"), "term", "left_semi").select("doc_id", "term", "cnt")
@@ -106,19 +117,25 @@ def vocabulary_words(docs: DataFrame, vocab: DataFrame, clean_docs: bool = False
     )
 
 
-def inverse_document_frequency(doc_frequency: Column, n_docs: Column) -> Column:
+def inverse_document_frequency(
+    doc_frequency: Column, n_docs: Column, min_doc_frequency: int = MIN_DOC_FREQUENCY
+) -> Column:
     return F.when(
-        doc_frequency >= MIN_DOC_FREQUENCY, F.log((n_docs + 1) / (doc_frequency + 1))
+        doc_frequency >= min_doc_frequency, F.log((n_docs + 1) / (doc_frequency + 1))
     ).otherwise(0.0)
 
 
-def term_statistics(counts: DataFrame, docs: DataFrame) -> DataFrame:
+def term_statistics(
+    counts: DataFrame, docs: DataFrame, min_doc_frequency: int = MIN_DOC_FREQUENCY
+) -> DataFrame:
     """``(term, doc_occurrences, doc_frequency, idf)`` from ``(doc_id, term, cnt)``."""
     n_docs = docs.agg(F.count("*")).scalar()
     return (
         counts.groupBy("term")
         .agg(F.sum("cnt").alias("doc_occurrences"), F.count("*").alias("doc_frequency"))
-        .withColumn("idf", inverse_document_frequency(F.col("doc_frequency"), n_docs))
+        .withColumn(
+            "idf", inverse_document_frequency(F.col("doc_frequency"), n_docs, min_doc_frequency)
+        )
     )
 
 

@@ -110,7 +110,7 @@ def _numbered(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).withColumnRenamed("doc_id", "old_id")
     labelled = table(spark, folder, "labels").select(
         F.col("doc_id").alias("old_id"), F.lit(True).alias("is_train")
-    )
+    ).distinct()
     flagged = docs.join(labelled, "old_id", "left").withColumn(
         "is_train", F.coalesce("is_train", F.lit(False))
     )

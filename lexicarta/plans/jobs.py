@@ -38,7 +38,7 @@ from lexicarta.operators.topics import (
     topic_weights,
     with_weightless_terms,
 )
-from lexicarta.operators.vocabulary import MIN_SHARE, vocabulary
+from lexicarta.operators.vocabulary import MIN_DOC_FREQUENCY, MIN_SHARE, MIN_TOKEN, vocabulary
 from lexicarta.session import materialize
 from lexicarta.sources import writers as W
 from lexicarta.sources.readers import (
@@ -134,6 +134,8 @@ def features(
     min_share: float = MIN_SHARE,
     threshold_by: str = "occurrences",
     clean_docs: bool = False,
+    min_token: int = MIN_TOKEN,
+    min_doc_frequency: int = MIN_DOC_FREQUENCY,
     top: int = TOP,
     compat: bool = False,
 ) -> None:
@@ -144,8 +146,10 @@ def features(
     """
     docs = read_documents(spark, documents)
     stopwords = stop_words(spark, stop_words_path)
-    vocab = materialize(vocabulary(docs, stopwords, min_share, threshold_by), "vocabulary")
-    vectors, terms = document_features(docs, vocab, clean_docs)
+    vocab = materialize(
+        vocabulary(docs, stopwords, min_share, threshold_by, min_token), "vocabulary"
+    )
+    vectors, terms = document_features(docs, vocab, clean_docs, min_doc_frequency)
     vectors = materialize(vectors, "vectors")
     tests, training = vectors, None
     if label_ranges_path and not compat:
@@ -193,3 +197,30 @@ def topics(
         f"{out}/topic_top_documents",
     )
     W.write_lines(W.topic_description_lines(described), f"{out}/topic_descriptions")
+
+
+def run(
+    spark: SparkSession,
+    out: str,
+    layout: str,
+    source: str | None = None,
+    train: str | None = None,
+    stop_words_path: str | None = None,
+    compat: bool = False,
+    feature_options: dict | None = None,
+    topic_options: dict | None = None,
+) -> None:
+    """The three jobs one after the other, all output below ``out``."""
+    extract(spark, out, layout, source, train, stop_words_path, compat)
+    features(
+        spark,
+        out,
+        f"{out}/documents",
+        f"{out}/label_ranges" if train else None,
+        stop_words_path,
+        compat=compat,
+        **(feature_options or {}),
+    )
+    topics(
+        spark, out, f"{out}/vectors", f"{out}/dictionary", compat=compat, **(topic_options or {})
+    )

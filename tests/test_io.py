@@ -21,10 +21,10 @@ def test_document_lines(spark, tmp_path):
 
 def test_category_names(spark):
     df = spark.createDataFrame(
-        [("file:/x/bionic%20robot.txt",), ("file:/x/a+b.txt",), ("file:/x/plain",)], "file string"
+        [("file:/x/first%20class.txt",), ("file:/x/a+b.txt",), ("file:/x/plain",)], "file string"
     )
     names = [r["c"] for r in df.select(R.category_of(F.col("file")).alias("c")).collect()]
-    assert names == ["bionic robot", "a+b", "plain"]
+    assert names == ["first class", "a+b", "plain"]
 
 
 def test_vector_lines(spark, tmp_path):
@@ -50,7 +50,7 @@ def test_dictionary_lines(spark, tmp_path):
 
 
 def test_label_range_lines(spark, tmp_path):
-    rows = [("bionic robot", 1, 0, 9), ("other", 2, 10, 20)]
+    rows = [("first class", 1, 0, 9), ("other", 2, 10, 20)]
     ranges = spark.createDataFrame(
         rows, "category string, label_id int, start_id bigint, stop_id bigint"
     )

@@ -32,7 +32,7 @@ def folders(tmp_path_factory):
         (root / kind / "source").mkdir(parents=True)
         (root / kind / "train").mkdir()
         write_records(root / kind / "source", "new.txt", range(0, 6), tag)
-        write_records(root / kind / "train", "bionic robot.txt", range(6, 16), tag)
+        write_records(root / kind / "train", "first class.txt", range(6, 16), tag)
         write_records(root / kind / "train", "other.txt", range(16, 20), tag)
     return root
 
@@ -58,9 +58,9 @@ def test_all_three_jobs(spark, folders, tmp_path, kind, compat):
     train_ids = [int(line.split("\t")[0]) for line in lines_of(tmp_path / "train_documents")]
     assert sorted(train_ids) == list(range(6, 20))
     assert sorted(lines_of(tmp_path / "label_ranges")) == (
-        ["bionic robot\t1\t7\t16", "other\t2\t17\t20"]
+        ["first class\t1\t7\t16", "other\t2\t17\t20"]
         if compat
-        else ["bionic robot\t1\t6\t15", "other\t2\t16\t19"]
+        else ["first class\t1\t6\t15", "other\t2\t16\t19"]
     )
     categories = {line.split("\t")[0]: line.split("\t")[1] for line in lines_of(tmp_path / "category_documents")}
     assert sorted(categories) == (["0", "16", "6"] if compat else ["16", "6"])
@@ -109,3 +109,19 @@ def test_all_three_jobs(spark, folders, tmp_path, kind, compat):
 def test_extract_needs_a_folder(spark, tmp_path):
     with pytest.raises(ValueError):
         main(["extract", "--layout", "patent", "--out", str(tmp_path)])
+
+
+def test_run_does_all_three(spark, folders, tmp_path):
+    main(
+        ["run", "--layout", "patent", "--source", str(folders / "patent" / "source"), "--train",
+         str(folders / "patent" / "train"), "--k", "2", "--max-iter", "3", "--min-token", "6",
+         "--out", str(tmp_path)]
+    )
+    outputs = {p.name for p in tmp_path.iterdir()}
+    assert outputs == {
+        "documents", "train_documents", "category_documents", "label_ranges", "vectors",
+        "train_vectors", "dictionary", "document_terms", "topic_documents", "topic_words",
+        "topic_top_documents", "topic_descriptions",
+    }
+    words = {line.split("\t")[0] for line in lines_of(tmp_path / "dictionary")}
+    assert words == {w for w in WORDS if len(w) > 5}
