@@ -175,32 +175,38 @@ def top_term_lists(
     joined and regrouped otherwise. ``digits`` rounds weights before the ranking.
     """
 
-    def weight_of(e: Column) -> Column:
-        return e["weight"] if digits is None else F.round(e["weight"], digits)
+    def weighed(e: Column) -> Column:
+        weight = e["weight"] if digits is None else F.round(e["weight"], digits)
+        return F.struct(e["term_id"].alias("term_id"), weight.alias("weight"))
 
-    heavy = F.filter("entries", lambda e: e["weight"] > 0)
+    heavy = F.transform(F.filter("entries", lambda e: e["weight"] > 0), weighed)
     if not fits_model(terms):
-        return _joined_top_lists(vectors.select("doc_id", heavy.alias("entries")), terms, n, ties, weight_of)
-
-    def ranked(e: Column) -> Column:
-        weight = weight_of(e)
-        term = F.get("names", e["term_id"])["term"]
-        tie = term if ties == "term" else e["term_id"]
-        return F.struct(
-            (-weight).alias("order"), tie.alias("tie"), term.alias("term"), weight.alias("weight")
-        )
+        return _joined_top_lists(vectors.select("doc_id", heavy.alias("entries")), terms, n, ties)
+
+    def name(term_id: Column) -> Column:
+        return F.get("names", term_id)["term"]
 
-    best = F.slice(F.sort_array(F.transform(heavy, ranked)), 1, n)
-    shown = F.transform(best, lambda r: F.struct(r["term"], r["weight"])).cast(_TOP_TYPE)
+    by_term = ties == "term"
+    ranked = F.transform(
+        heavy,
+        lambda e: F.struct(
+            (-e["weight"]).alias("order"),
+            (name(e["term_id"]) if by_term else e["term_id"]).alias("tie"),
+        ),
+    )
+    shown = F.transform(
+        F.slice(F.sort_array(ranked), 1, n),
+        lambda r: F.struct(r["tie"] if by_term else name(r["tie"]), -r["order"]),
+    ).cast(_TOP_TYPE)
     return vectors.withColumn("names", indexed_values(terms, "term_id", "term")).select(
         "doc_id", shown.alias("top")
     )
 
 
-def _joined_top_lists(vectors, terms, n, ties, weight_of) -> DataFrame:
-    named = vectors.select("doc_id", F.explode("entries").alias("e")).select(
-        "doc_id", F.col("e.term_id").alias("term_id"), weight_of(F.col("e")).alias("weight")
-    ).join(terms.select("term_id", "term"), "term_id")
+def _joined_top_lists(vectors: DataFrame, terms: DataFrame, n: int, ties: str) -> DataFrame:
+    named = vectors.select("doc_id", F.inline("entries")).join(
+        terms.select("term_id", "term"), "term_id"
+    )
     rows = F.sort_array(F.collect_list(F.struct("rank", "term", "weight")))
     shown = F.transform(rows, lambda r: F.struct(r["term"], r["weight"])).cast(_TOP_TYPE)
     lists = top_terms(named, n, ties).groupBy("doc_id").agg(shown.alias("top"))
