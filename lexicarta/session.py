@@ -28,6 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared checkpoint folder the session names.
 
+    All paths of an application are in one folder, to be deleted together.
+
     Only a local session without that setting gets a temporary folder; on a
     cluster such a folder would not be visible to every executor.
     """
@@ -39,7 +41,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="lexicarta-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lexicarta/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/lexicarta/{context.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, schema: str | StructType | None = None) -> DataFrame:
