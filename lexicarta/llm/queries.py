@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicarta.llm import exact_dedup, mixing, near_dedup, packing
+from lexicarta.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier
 from lexicarta.llm.common import table
+from lexicarta.llm.labelled import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,11 +45,23 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, folder, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    net = quality_classifier.train(docs, table(spark, folder, "labels"))
+    return quality_classifier.scored(docs, net).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality_classifier.ACCEPT).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
