@@ -173,7 +173,7 @@ def written(pages: DataFrame, folder: str | None = None) -> DataFrame:
             for row in batch.to_pylist():
                 if sink is None:
                     name, at = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
-                    sink = system.open_output_stream(f"{base}/{name}")
+                    sink = system.open_output_stream(f"{base}/{name}", compression=None)
                 packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 data = packer.compress(record_bytes(row)) + packer.flush()
                 sink.write(data)
@@ -242,7 +242,7 @@ def read(captures: DataFrame) -> DataFrame:
             for batch in batches:
                 for file in batch.column("file").to_pylist():
                     system, path = opened(file)
-                    with system.open_input_stream(path) as stream:
+                    with system.open_input_stream(path, compression=None) as stream:
                         yield from map(parse_record, members(stream))
 
         yield from _batches(records())
