@@ -25,8 +25,11 @@ from lexicarta.session import materialize
 
 TOP = 101  # fixed value: words reported per document and per topic
 
-MAX_MODEL_TERMS = 1 << 18  # the default vocabulary limit of CountVectorizer
+#: Terms up to which vectors are made by a model in the row of their document. A larger
+#: vocabulary is joined instead, with the same results.
+MAX_MODEL_TERMS = 1 << 18
 
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 _TOP_TYPE = "array<struct<term:string,weight:double>>"
 
 
@@ -47,15 +50,11 @@ def tfidf(counts: DataFrame, statistics: DataFrame) -> DataFrame:
     )
 
 
-def fits_model(vocab: DataFrame) -> bool:
-    return vocab.limit(MAX_MODEL_TERMS + 1).count() <= MAX_MODEL_TERMS
-
-
-def counting_model(vocab: DataFrame) -> CountVectorizerModel:
-    """A count model that holds exactly the terms of ``vocab``."""
+def counting_model(vocab: DataFrame, n_terms: int | None = None) -> CountVectorizerModel:
+    """A count model that holds all terms of ``vocab``, at least one."""
     words = vocab.select(F.array("term").alias("words"))
-    model = CountVectorizer(inputCol="words", outputCol="tf", vocabSize=MAX_MODEL_TERMS)
-    return model.fit(words)
+    size = vocab.count() if n_terms is None else n_terms
+    return CountVectorizer(inputCol="words", outputCol="tf", vocabSize=size).fit(words)
 
 
 def count_vectors(docs: DataFrame, model: CountVectorizerModel, clean_docs: bool = False) -> DataFrame:
@@ -90,16 +89,18 @@ def document_features(
     vocab: DataFrame,
     clean_docs: bool = False,
     min_doc_frequency: int = MIN_DOC_FREQUENCY,
+    max_model_terms: int = MAX_MODEL_TERMS,
 ) -> tuple[DataFrame, DataFrame]:
     """``vectors(doc_id, entries)`` and the dictionary they are numbered by.
 
-    Entries are ``(term_id, weight)`` sorted by term id. A vocabulary beyond a
-    model's limit, which only a threshold far below the default gives, is joined
-    instead, and the entries are regrouped by document; so is an empty one.
+    Entries are ``(term_id, weight)`` sorted by term id. A vocabulary of more than
+    ``max_model_terms`` terms, which only a threshold far below the default gives, is
+    joined instead, and the entries are regrouped by document; so is an empty one.
     """
-    if vocab.isEmpty() or not fits_model(vocab):
+    n_terms = vocab.count()
+    if not 0 < n_terms <= max_model_terms:
         return _joined_features(docs, vocab, clean_docs, min_doc_frequency)
-    model = counting_model(vocab)
+    model = counting_model(vocab, n_terms)
     counted = stored_entries(count_vectors(docs, model, clean_docs), "doc_id", "tf")
     coded = term_codes(vocab, model)
     n_docs = counted.agg(F.count("*")).scalar()
@@ -151,8 +152,12 @@ def top_per_group(df: DataFrame, group: str, weight: str, ties: str, n: int) ->
     """First ``n`` rows of each group by falling weight, with their ``rank``.
 
     Spark keeps the first ``n`` per group of every task before the shuffle, so a
-    group of any size costs ``n`` rows per task.
+    group of any size costs ``n`` rows per task. It does so up to a number that the
+    session sets, which is raised to ``n`` where it is lower.
     """
+    conf = df.sparkSession.conf
+    if n > int(conf.get(_GROUP_LIMIT)):
+        conf.set(_GROUP_LIMIT, str(n))
     order = Window.partitionBy(group).orderBy(F.col(weight).desc(), F.col(ties))
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
@@ -168,6 +173,7 @@ def top_term_lists(
     n: int = TOP,
     ties: str = "term",
     digits: int | None = None,
+    max_model_terms: int = MAX_MODEL_TERMS,
 ) -> DataFrame:
     """``(doc_id, top array<struct<term, weight>>)``, empty for documents without weights.
 
@@ -180,7 +186,7 @@ def top_term_lists(
         return F.struct(e["term_id"].alias("term_id"), weight.alias("weight"))
 
     heavy = F.transform(F.filter("entries", lambda e: e["weight"] > 0), weighed)
-    if not fits_model(terms):
+    if terms.count() > max_model_terms:
         return _joined_top_lists(vectors.select("doc_id", heavy.alias("entries")), terms, n, ties)
 
     def name(term_id: Column) -> Column:

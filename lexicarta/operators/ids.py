@@ -39,17 +39,40 @@ def contiguous_index(df: DataFrame, order_by: list, name: str) -> DataFrame:
     )
 
 
-def label_ranges(docs: DataFrame, one_based: bool = False) -> DataFrame:
+def label_ranges(
+    docs: DataFrame,
+    one_based: bool = False,
+    categories: DataFrame | None = None,
+    first_id: int | None = None,
+) -> DataFrame:
     """``label_ranges(category, label_id, start_id, stop_id)`` of training documents.
 
     Labels count from 1 in the order of the ranges. ``one_based=True`` is the
     compatible form, whose ranges start at 1 while the ids start at 0.
+
+    ``categories(category, file)`` lists all training files. One without documents has
+    a label too, and an empty range: it starts where the next document's id is and
+    stops one before. ``first_id`` is where the ranges begin if the first file is empty.
     """
     shift = 1 if one_based else 0
-    ranges = docs.groupBy("category").agg(
-        (F.min("doc_id") + shift).alias("start_id"), (F.max("doc_id") + shift).alias("stop_id")
-    )
-    numbered = contiguous_index(ranges, ["start_id", "category"], "label_index")
+    ranges = docs.groupBy("category").agg(F.min("doc_id").alias("start_id"), F.max("doc_id").alias("stop_id"))
+    order = ["start_id", "category"]
+    if categories is not None:
+        listed = categories.groupBy("category").agg(F.min("file").alias("file"))
+        earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+        begin = F.lit(first_id) if first_id is not None else F.min("start_id").over(Window.partitionBy())
+        next_id = F.coalesce(F.max("stop_id").over(earlier) + 1, begin, F.lit(0)).cast("bigint")
+        ranges = listed.join(ranges, "category", "left").select(
+            "category",
+            "file",
+            F.coalesce("start_id", next_id).alias("start_id"),
+            F.coalesce("stop_id", next_id - 1).alias("stop_id"),
+        )
+        order = ["file"]
+    numbered = contiguous_index(ranges, order, "label_index")
     return numbered.select(
-        "category", (F.col("label_index") + 1).cast("int").alias("label_id"), "start_id", "stop_id"
+        "category",
+        (F.col("label_index") + 1).cast("int").alias("label_id"),
+        (F.col("start_id") + shift).alias("start_id"),
+        (F.col("stop_id") + shift).alias("stop_id"),
     )

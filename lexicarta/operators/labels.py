@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_IDS = 1 << 20
 
-
-def label_by_range(docs: DataFrame, ranges: DataFrame, bucket_ids: int = BUCKET_IDS) -> DataFrame:
+def label_by_range(docs: DataFrame, ranges: DataFrame, bucket_ids: int | None = None) -> DataFrame:
     """Add ``split``, ``label`` and ``category`` to ``docs(doc_id, ...)``.
 
     Below the first range a document is test data. Otherwise its label is the
-    0-based index of the first range that stops at or after its id. Documents
-    above the last range get nulls.
+    0-based position, in the order of the label ids, of the first range that stops
+    at or after its id. Documents above the last range get nulls.
 
     Both sides are cut into buckets of ids, so the lookup is an equi join: the
     planner broadcasts the ranges when they are small, and shuffles evenly
-    sized buckets when they are not.
+    sized buckets when they are not. There are about as many buckets as ranges, so
+    that many small ranges do not meet in one bucket. Ranges do not overlap, so all
+    together they lie in at most twice as many buckets.
     """
-    in_order = Window.orderBy("label_id")
+    if bucket_ids is None:
+        ids = ranges.agg(F.count("*"), F.min("start_id"), F.max("stop_id")).first()
+        bucket_ids = max(1, (ids[2] - ids[1] + 1) // ids[0]) if ids[0] else 1
+    in_order = Window.orderBy("label_id")  # one row per category
     reach = F.max("stop_id").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     intervals = (
         ranges.select(
             "category",
-            (F.col("label_id") - 1).cast("int").alias("label"),
+            (F.row_number().over(in_order) - 1).cast("int").alias("label"),
             F.coalesce(reach + 1, F.col("start_id")).alias("from_id"),
             F.col("stop_id").alias("to_id"),
         )

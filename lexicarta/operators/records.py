@@ -93,7 +93,8 @@ def _last_island(parts: Column) -> Column:
 
 
 def _abstract(island: Column, joiner: str) -> Column:
-    kept = F.filter(island, lambda p: p["kind"] != OTHER)
+    """The joined lines. A joiner stands between texts only, not beside an empty one."""
+    kept = F.filter(island, lambda p: (p["kind"] != OTHER) & ((F.lit(joiner) == "") | (p["text"] != "")))
     return F.when(
         F.get(island, F.lit(0))["kind"] == START,
         F.array_join(F.transform(kept, lambda p: p["text"]), joiner),

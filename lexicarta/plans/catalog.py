@@ -37,6 +37,7 @@ from lexicarta.sources.tables import documents, table, tagged_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
+CHUNK_CHARS = 50_000  # small, so that the test tables have categories of several chunks
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -145,7 +146,7 @@ def train_test_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def category_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return category_documents(documents(spark, folder))
+    return category_documents(documents(spark, folder), chunk_chars=CHUNK_CHARS)
 
 
 # --- tokens and vocabulary --------------------------------------------------
@@ -236,7 +237,10 @@ def tfidf_clean_docs(spark: SparkSession, folder: str) -> DataFrame:
 def tfidf_ml(spark: SparkSession, folder: str) -> DataFrame:
     """The weights of the feature transformers, in long form."""
     vocab = _vocabulary(spark, folder)
-    model = X.counting_model(vocab)
+    n_terms = vocab.count()
+    if not n_terms:
+        return spark.createDataFrame([], "doc_id bigint, term string, weight double")
+    model = X.counting_model(vocab, n_terms)
     weighted = stored_entries(X.tfidf_vectors(documents(spark, folder), model), "doc_id", "tfidf")
     codes = X.term_codes(vocab, model)
     long = weighted.select("doc_id", F.inline("entries")).join(codes, "code")
@@ -276,7 +280,8 @@ def export_train_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def export_category_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return W.category_lines(category_documents(_numbered(spark, folder).where("is_train")))
+    training = _numbered(spark, folder).where("is_train")
+    return W.category_lines(category_documents(training, chunk_chars=CHUNK_CHARS))
 
 
 def export_label_ranges(spark: SparkSession, folder: str) -> DataFrame:

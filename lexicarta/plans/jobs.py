@@ -39,10 +39,11 @@ from lexicarta.operators.topics import (
     with_weightless_terms,
 )
 from lexicarta.operators.vocabulary import MIN_DOC_FREQUENCY, MIN_SHARE, MIN_TOKEN, vocabulary
-from lexicarta.session import materialize
+from lexicarta.session import job_scratch, materialize
 from lexicarta.sources import writers as W
 from lexicarta.sources.readers import (
     category_of,
+    listed_files,
     read_dictionary,
     read_documents,
     read_label_ranges,
@@ -51,6 +52,7 @@ from lexicarta.sources.readers import (
     stop_words,
 )
 
+#: Stop words up to which a list is part of the plan; a longer one is joined, with the same results.
 MAX_LISTED_STOP_WORDS = 10_000
 RECORD_KEYS = ["is_train", "file", "block", "record"]
 
@@ -96,27 +98,29 @@ def extract(
 ) -> None:
     """Record files to ``documents``, ``train_documents``, ``category_documents``, ``label_ranges``."""
     rules = LAYOUTS[layout]
-    parts = [
-        _records(spark, path, rules, is_train, compat)
-        for path, is_train in ((source, False), (train, True))
-        if path
-    ]
-    if not parts:
-        raise ValueError("give a source folder, a training folder, or both")
-    records = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if rules.strips_stop_words:
-        records = _stripped(records, stop_words(spark, stop_words_path), compat)
-    docs = materialize(numbered_documents(materialize(records, "records")), "documents")
-    training = docs.where("is_train")
-    W.write_lines(W.document_lines(docs), f"{out}/documents")
-    W.write_lines(W.document_lines(training), f"{out}/train_documents")
-    categories = category_documents(training, "" if compat else " ")
-    if compat:
-        categories = categories.select("first_id", "text").unionByName(_source_headings(docs))
-    W.write_lines(W.category_lines(categories), f"{out}/category_documents")
-    W.write_lines(
-        W.label_range_lines(label_ranges(training, one_based=compat)), f"{out}/label_ranges"
-    )
+    with job_scratch(spark, "extract"):
+        parts = [
+            _records(spark, path, rules, is_train, compat)
+            for path, is_train in ((source, False), (train, True))
+            if path
+        ]
+        if not parts:
+            raise ValueError("give a source folder, a training folder, or both")
+        records = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        if rules.strips_stop_words:
+            records = _stripped(records, stop_words(spark, stop_words_path), compat)
+        docs = materialize(numbered_documents(materialize(records, "records")), "documents")
+        training = docs.where("is_train")
+        W.write_lines(W.document_lines(docs), f"{out}/documents")
+        W.write_lines(W.document_lines(training), f"{out}/train_documents")
+        categories = category_documents(training, "" if compat else " ")
+        if compat:
+            categories = categories.select("first_id", "text").unionByName(_source_headings(docs))
+        W.write_lines(W.category_lines(categories, compat), f"{out}/category_documents")
+        files = listed_files(spark, train) if train else None
+        n_source = docs.where("NOT is_train").count()
+        ranges = label_ranges(training, compat, files, n_source)
+        W.write_lines(W.label_range_lines(ranges), f"{out}/label_ranges")
 
 
 def _source_headings(docs: DataFrame) -> DataFrame:
@@ -139,32 +143,33 @@ def features(
     top: int = TOP,
     compat: bool = False,
 ) -> None:
-    """Document lines to ``vectors``, ``train_vectors``, ``dictionary``, ``document_terms``.
+    """Document lines to ``vectors``, ``dictionary``, ``document_terms``.
 
-    The compatible form writes every document as test vector, without its
-    highest term id, and fills the words of a document up with unused ones.
+    ``vectors`` holds every document. With label ranges, ``train_vectors`` and
+    ``test_vectors`` are those within and below the ranges. The compatible form writes
+    ``vectors`` alone, each without its highest term id, and fills the words of a
+    document up with unused ones.
     """
-    docs = read_documents(spark, documents)
-    stopwords = stop_words(spark, stop_words_path)
-    vocab = materialize(
-        vocabulary(docs, stopwords, min_share, threshold_by, min_token), "vocabulary"
-    )
-    vectors, terms = document_features(docs, vocab, clean_docs, min_doc_frequency)
-    vectors = materialize(vectors, "vectors")
-    tests, training = vectors, None
-    if label_ranges_path and not compat:
-        labelled = label_by_range(vectors, read_label_ranges(spark, label_ranges_path))
-        tests = labelled.where("split = 'test'")
-        training = labelled.where("split = 'train'")
-    W.write_lines(W.vector_lines(tests, drop_last=compat), f"{out}/vectors")
-    if training is not None:
-        W.write_lines(W.vector_lines(training, head="label"), f"{out}/train_vectors")
-    W.write_lines(W.dictionary_lines(terms), f"{out}/dictionary")
-    ties = "term_id" if compat else "term"
-    lists = top_term_lists(vectors, terms, top, ties)
-    if compat:
-        lists = filled_with_unused(lists, terms, top)
-    W.write_lines(W.document_term_lines(lists), f"{out}/document_terms")
+    with job_scratch(spark, "features"):
+        docs = materialize(read_documents(spark, documents), "documents")
+        stopwords = stop_words(spark, stop_words_path)
+        vocab = materialize(
+            vocabulary(docs, stopwords, min_share, threshold_by, min_token), "vocabulary"
+        )
+        vectors, terms = document_features(docs, vocab, clean_docs, min_doc_frequency)
+        vectors = materialize(vectors, "vectors")
+        W.write_lines(W.vector_lines(vectors, drop_last=compat), f"{out}/vectors")
+        if label_ranges_path and not compat:
+            labelled = label_by_range(vectors, read_label_ranges(spark, label_ranges_path))
+            tests, training = labelled.where("split = 'test'"), labelled.where("split = 'train'")
+            W.write_lines(W.vector_lines(tests), f"{out}/test_vectors")
+            W.write_lines(W.vector_lines(training, head="label"), f"{out}/train_vectors")
+        W.write_lines(W.dictionary_lines(terms), f"{out}/dictionary")
+        ties = "term_id" if compat else "term"
+        lists = top_term_lists(vectors, terms, top, ties)
+        if compat:
+            lists = filled_with_unused(lists, terms, top)
+        W.write_lines(W.document_term_lines(lists), f"{out}/document_terms")
 
 
 def topics(
@@ -181,22 +186,26 @@ def topics(
     compat: bool = False,
 ) -> None:
     """Vector lines and dictionary to the four topic reports below ``out``."""
-    words = materialize(read_dictionary(spark, dictionary_path), "dictionary")
-    corpus = stored_vectors(read_vectors(spark, vectors), words.count())
-    model = fit_topics(corpus, k=k, max_iter=max_iter, seed=seed, optimizer=optimizer)
-    mixtures = materialize(document_topics(model, corpus), "mixtures")
-    assigned = mixtures.select("doc_id", dominant_topic(F.col("mixture"), compat).alias("topic"))
-    described = materialize(topic_terms(model, words), "topic-terms")
-    W.write_lines(
-        W.topic_document_lines(documents_by_topic(assigned), k), f"{out}/topic_documents"
-    )
-    ranked = with_weightless_terms(described, words, k) if compat else described
-    W.write_lines(W.topic_word_lines(topic_top_terms(ranked, top)), f"{out}/topic_words")
-    W.write_lines(
-        W.topic_top_document_lines(topic_top_documents(topic_weights(mixtures), top_documents)),
-        f"{out}/topic_top_documents",
-    )
-    W.write_lines(W.topic_description_lines(described), f"{out}/topic_descriptions")
+    with job_scratch(spark, "topics"):
+        words = materialize(read_dictionary(spark, dictionary_path), "dictionary")
+        n_terms = words.count()
+        corpus = stored_vectors(read_vectors(spark, vectors), n_terms)
+        if not n_terms or corpus.isEmpty():
+            raise ValueError("topics need documents and a dictionary that is not empty")
+        model = fit_topics(corpus, k=k, max_iter=max_iter, seed=seed, optimizer=optimizer)
+        mixtures = materialize(document_topics(model, corpus), "mixtures")
+        assigned = mixtures.select("doc_id", dominant_topic(F.col("mixture"), compat).alias("topic"))
+        described = materialize(topic_terms(model, words), "topic-terms")
+        W.write_lines(
+            W.topic_document_lines(documents_by_topic(assigned), k), f"{out}/topic_documents"
+        )
+        ranked = with_weightless_terms(described, words, k) if compat else described
+        W.write_lines(W.topic_word_lines(topic_top_terms(ranked, top)), f"{out}/topic_words")
+        W.write_lines(
+            W.topic_top_document_lines(topic_top_documents(topic_weights(mixtures), top_documents)),
+            f"{out}/topic_top_documents",
+        )
+        W.write_lines(W.topic_description_lines(described), f"{out}/topic_descriptions")
 
 
 def run(

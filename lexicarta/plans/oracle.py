@@ -6,6 +6,7 @@ from lexicarta.sources.readers import default_stop_words
 
 DIGITS = 6
 TOP = 101
+CHUNK_CHARS = 50_000  # small, so that the test tables have categories of several chunks
 
 DOCS = r"""docs AS (
   SELECT doc_id, source AS category,
@@ -72,8 +73,8 @@ def _records(tag: str, width: int, close: int, joiner: str) -> str:
     FROM started),
   records AS (
     SELECT source, rec,
-           string_agg(CASE WHEN kind = 'S' THEN substr(body, {width + 1}) ELSE body END, '{joiner}'
-                      ORDER BY pos) AS text
+           string_agg(nullif(CASE WHEN kind = 'S' THEN substr(body, {width + 1}) ELSE body END, ''),
+                      '{joiner}' ORDER BY pos) AS text
     FROM stopped WHERE pos >= s AND (o IS NULL OR pos < o) GROUP BY source, rec)"""
 
 
@@ -110,6 +111,19 @@ NUMBERED = f"""{DOCS},
            CAST(r.label_id - 1 AS INTEGER) AS label, r.category
     FROM numbered n LEFT JOIN ranges r ON n.doc_id BETWEEN r.start_id AND r.stop_id)"""
 
+
+
+def _chunks(docs: str, chars: int) -> str:
+    return f"""sized AS (
+    SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY category ORDER BY doc_id
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM {docs}),
+  chunks AS (
+    SELECT category, CAST(before // {chars} AS BIGINT) AS chunk, min(doc_id) AS first_id, count(*) AS n_docs,
+           string_agg(text, '' ORDER BY doc_id) AS text
+    FROM sized GROUP BY category, before // {chars})"""
+
+
 # --- tokens and vocabulary --------------------------------------------------
 
 
@@ -205,9 +219,8 @@ def oracle_sql() -> dict[str, str]:
         "label_by_range": f"{numbered} SELECT doc_id, old_id, label, category FROM labelled",
         "train_test_split": f"""{numbered} SELECT split, label, count(*) AS n_docs,
   min(doc_id) AS first_id, max(doc_id) AS last_id FROM labelled GROUP BY split, label""",
-        "category_docs": f"""{with_docs} SELECT category, doc_id // 1000 AS chunk,
-  min(doc_id) AS first_id, count(*) AS n_docs, string_agg(text, '' ORDER BY doc_id) AS text
-FROM docs GROUP BY category, chunk""",
+        "category_docs": f"""{with_docs}, {_chunks('docs', CHUNK_CHARS)}
+SELECT category, chunk, first_id, n_docs, text FROM chunks""",
         "stopwords": f"""{with_docs}, {_tokens()}, {_stops()}
 SELECT term, count(DISTINCT doc_id) AS n_docs FROM tokens
 WHERE term IN (SELECT term FROM stops) GROUP BY term""",
@@ -254,9 +267,8 @@ FROM every QUALIFY rank <= {TOP}""",
         "export_documents": f"{numbered} SELECT doc_id || chr(9) || text AS value FROM numbered",
         "export_train_documents": f"""{numbered}
 SELECT doc_id || chr(9) || text AS value FROM numbered WHERE is_train""",
-        "export_category_docs": f"""{numbered}
-SELECT min(doc_id) || chr(9) || string_agg(text, '' ORDER BY doc_id) AS value
-FROM numbered WHERE is_train GROUP BY category, doc_id // 1000""",
+        "export_category_docs": f"""{numbered}, {_chunks('(FROM numbered WHERE is_train)', CHUNK_CHARS)}
+SELECT category || chr(9) || chunk || chr(9) || first_id || chr(9) || text AS value FROM chunks""",
         "export_label_ranges": f"""{numbered}
 SELECT category || chr(9) || label_id || chr(9) || start_id || chr(9) || stop_id AS value FROM ranges""",
         "export_dictionary": f"{weights} SELECT term || chr(9) || term_id AS value FROM dictionary",

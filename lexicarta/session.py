@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -30,18 +32,35 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
     All paths of an application are in one folder, to be deleted together.
 
-    Only a local session without that setting gets a temporary folder; on a
-    cluster such a folder would not be visible to every executor.
+    Only a session that is a single process gets a temporary folder without that
+    setting; on a cluster such a folder would not be visible to every executor.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="lexicarta-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lexicarta/{context.applicationId}/{label}-{uuid.uuid4().hex}"
+    base = "/".join([base.rstrip("/"), "lexicarta", context.applicationId, *_jobs])
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+_jobs: list[str] = []
+
+
+@contextlib.contextmanager
+def job_scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Deletes what is written to scratch paths inside, also when the job fails."""
+    folder = scratch_path(spark, name)
+    _jobs.append(folder.rsplit("/", 1)[-1])
+    try:
+        yield
+    finally:
+        _jobs.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str, schema: str | StructType | None = None) -> DataFrame:

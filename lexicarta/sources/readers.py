@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexicarta.functions.text import split_words, strip_blanks
 
 FILE_EXTENSION = ".txt"
+BAD_LINES = 20  # unreadable lines that an error message shows
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,6 +28,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(category, file)`` of every text file in a folder, also of empty ones.
+
+    The names are those of Spark's own listing, which the driver holds anyway.
+    """
+    names = [(name,) for name in spark.read.text(path).inputFiles()]
+    files = spark.createDataFrame(names, "file string")
+    return files.select(category_of(F.col("file")).alias("category"), "file")
+
+
 def category_of(file: Column) -> Column:
     """A training file's category: its base name without the extension."""
     name = F.url_decode(F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\+", "%2B"))
@@ -77,7 +88,7 @@ def read_label_ranges(spark: SparkSession, path: str) -> DataFrame:
     """``label_ranges(category, label_id, start_id, stop_id)``.
 
     Fields after the fourth are ignored. Lines whose numbers cannot be read are
-    reported together instead of ending the job at the first one.
+    counted, and some of them shown, instead of ending the job at the first one.
     """
     fields = F.split("value", "\t")
     ranges = spark.read.text(path).select(
@@ -88,9 +99,10 @@ def read_label_ranges(spark: SparkSession, path: str) -> DataFrame:
         F.get(fields, F.lit(3)).try_cast("bigint").alias("stop_id"),
     )
     unreadable = F.col("label_id").isNull() | F.col("start_id").isNull() | F.col("stop_id").isNull()
-    bad = [row["value"] for row in ranges.where(unreadable).select("value").take(20)]
-    if bad:
-        raise ValueError(f"label ranges with unreadable numbers: {bad}")
+    bad = ranges.where(unreadable).select("value")
+    shown = [row["value"] for row in bad.take(BAD_LINES)]
+    if shown:
+        raise ValueError(f"{bad.count()} label ranges with unreadable numbers, among them: {shown}")
     return ranges.drop("value")
 
 

@@ -26,11 +26,15 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "text").alias("value"))
 
 
-def category_lines(categories: DataFrame) -> DataFrame:
-    """``first id<TAB>text`` per category chunk (K3)."""
-    return categories.select(
-        F.concat_ws("\t", F.col("first_id").cast("string"), "text").alias("value")
-    )
+def category_lines(categories: DataFrame, compat: bool = False) -> DataFrame:
+    """``category<TAB>chunk<TAB>first id<TAB>text`` per category chunk, in order (K3).
+
+    The compatible form is ``first id<TAB>text``.
+    """
+    first = F.col("first_id").cast("string")
+    fields = [first, "text"] if compat else ["category", F.col("chunk").cast("string"), first, "text"]
+    order = ["first_id"] if compat else ["category", "chunk"]
+    return categories.orderBy(*order).select(F.concat_ws("\t", *fields).alias("value"))
 
 
 def vector_lines(
@@ -87,13 +91,16 @@ def topic_document_lines(lists: DataFrame, k: int) -> DataFrame:
     A topic whose list has several parts gets one line per part.
     """
     every = lists.sparkSession.range(k).select(F.col("id").cast("int").alias("topic"))
-    ids = F.coalesce(F.array_join(F.col("doc_ids").cast("array<string>"), ", "), F.lit(""))
+    # Only topic numbers meet; the lists are not dealt by topic.
+    unused = every.join(lists.select("topic").distinct(), "topic", "left_anti").select(
+        "topic", F.lit(0).cast("bigint").alias("part"), F.lit("").alias("ids")
+    )
+    ids = F.array_join(F.col("doc_ids").cast("array<string>"), ", ").alias("ids")
     return (
-        every.join(lists, "topic", "left")
+        lists.select("topic", "part", ids)
+        .unionByName(unused)
         .orderBy("topic", "part")
-        .select(
-            F.concat(_heading(F.col("topic"), "\t["), ids, F.lit("]\n")).alias("value")
-        )
+        .select(F.concat(_heading(F.col("topic"), "\t["), "ids", F.lit("]\n")).alias("value"))
     )
 
 

@@ -35,7 +35,7 @@ def test_label_by_range_edges(spark):
         "category string, label_id int, start_id bigint, stop_id bigint",
     )
     docs = spark.createDataFrame([(i,) for i in range(0, 35)], "doc_id bigint")
-    for bucket in (4, 1 << 20):
+    for bucket in (None, 4, 1 << 20):
         found = {
             r["doc_id"]: (r["split"], r["label"], r["category"])
             for r in label_by_range(docs, ranges, bucket).collect()
@@ -52,9 +52,48 @@ def test_label_by_range_edges(spark):
 def test_category_documents_come_in_chunks(spark):
     rows = [(i, "hot" if i % 3 else "cold", f"t{i}.") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id bigint, category string, text string")
-    chunks = category_documents(docs, chunk_ids=8).orderBy("category", "chunk").collect()
+    chunks = category_documents(docs, chunk_chars=20).orderBy("category", "chunk").collect()
     hot = [c for c in chunks if c["category"] == "hot"]
-    assert len(hot) == 4
     assert "".join(c["text"] for c in hot) == "".join(t for i, c, t in rows if c == "hot")
-    assert [c["first_id"] for c in hot] == [1, 8, 16, 25]
+    want, size = {}, 0
+    for i, c, t in rows:
+        if c == "hot":
+            want.setdefault(size // 20, i)
+            size += len(t)
+    assert {c["chunk"]: c["first_id"] for c in hot} == want and len(want) > 3
     assert sum(c["n_docs"] for c in chunks) == 30
+
+
+def test_a_category_that_fits_is_one_chunk(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "c", "t") for i in range(990, 1010)], "doc_id bigint, category string, text string")
+    monkeypatch.setattr("lexicarta.operators.categories.BLOCK_IDS", 7)
+    found = category_documents(docs, " ").collect()
+    assert [(c["chunk"], c["first_id"], c["n_docs"], c["text"]) for c in found] == [(0, 990, 20, " ".join("t" * 20))]
+
+
+def test_labels_are_positions(spark):
+    ranges = spark.createDataFrame(
+        [("x", 5, 0, 3), ("y", 9, 4, 7)], "category string, label_id int, start_id bigint, stop_id bigint"
+    )
+    docs = spark.createDataFrame([(1,), (4,)], "doc_id bigint")
+    assert {r["doc_id"]: r["label"] for r in label_by_range(docs, ranges).collect()} == {1: 0, 4: 1}
+
+
+def test_files_without_documents_have_a_label(spark):
+    docs = spark.createDataFrame([(3, "a"), (4, "a"), (5, "c")], "doc_id bigint, category string")
+    files = spark.createDataFrame([(c, f"/t/{c}.txt") for c in "abcd"], "category string, file string")
+    rows = [tuple(r) for r in label_ranges(docs, categories=files).orderBy("label_id").collect()]
+    assert rows == [("a", 1, 3, 4), ("b", 2, 5, 4), ("c", 3, 5, 5), ("d", 4, 6, 5)]
+    found = label_by_range(docs.select("doc_id"), label_ranges(docs, categories=files)).collect()
+    assert {r["doc_id"]: (r["label"], r["category"]) for r in found} == {3: (0, "a"), 4: (0, "a"), 5: (2, "c")}
+    first = label_ranges(docs.where("category = 'c'"), True, files, first_id=5).orderBy("label_id").collect()
+    assert [tuple(r) for r in first] == [("a", 1, 6, 5), ("b", 2, 6, 5), ("c", 3, 6, 6), ("d", 4, 7, 6)]
+    nothing = label_ranges(docs.limit(0), categories=files, first_id=9).collect()
+    assert {(r["start_id"], r["stop_id"]) for r in nothing} == {(9, 8)}
+
+
+def test_many_small_ranges_meet_few_documents(spark):
+    n = 100_000
+    ranges = spark.range(n).selectExpr("'c' AS category", "cast(id + 1 AS int) AS label_id", "id AS start_id", "id AS stop_id")
+    found = label_by_range(spark.range(n).withColumnRenamed("id", "doc_id"), ranges)
+    assert found.where("label = doc_id").count() == n

@@ -62,7 +62,10 @@ def test_all_three_jobs(spark, folders, tmp_path, kind, compat):
         if compat
         else ["first class\t1\t6\t15", "other\t2\t16\t19"]
     )
-    categories = {line.split("\t")[0]: line.split("\t")[1] for line in lines_of(tmp_path / "category_documents")}
+    lines = [line.split("\t") for line in lines_of(tmp_path / "category_documents")]
+    if not compat:
+        assert [line[:2] for line in lines] == [["first class", "0"], ["other", "0"]]
+    categories = {line[-2]: line[-1] for line in lines}
     assert sorted(categories) == (["0", "16", "6"] if compat else ["16", "6"])
     between = "" if compat else " "
     assert categories["16"] == between.join(texts[i] for i in range(16, 20))
@@ -74,11 +77,12 @@ def test_all_three_jobs(spark, folders, tmp_path, kind, compat):
     vectors = {r["doc_id"]: r["entries"] for r in R.read_vectors(spark, f"{out}/vectors").collect()}
     terms = {r["term_id"]: r["term"] for r in R.read_dictionary(spark, f"{out}/dictionary").collect()}
     assert sorted(terms) == list(range(len(terms)))
+    assert sorted(vectors) == list(range(20))
     if compat:
-        assert sorted(vectors) == list(range(20))
         assert not (tmp_path / "train_vectors").exists()
     else:
-        assert sorted(vectors) == list(range(6))
+        tests = {r["doc_id"] for r in R.read_vectors(spark, f"{out}/test_vectors").collect()}
+        assert tests == set(range(6))
         for i, entries in vectors.items():
             assert {terms[e["term_id"]] for e in entries} == set(texts[i].split(" "))
         labels = [line.split(" ")[0] for line in lines_of(tmp_path / "train_vectors")]
@@ -120,8 +124,55 @@ def test_run_does_all_three(spark, folders, tmp_path):
     outputs = {p.name for p in tmp_path.iterdir()}
     assert outputs == {
         "documents", "train_documents", "category_documents", "label_ranges", "vectors",
-        "train_vectors", "dictionary", "document_terms", "topic_documents", "topic_words",
+        "train_vectors", "test_vectors", "dictionary", "document_terms", "topic_documents", "topic_words",
         "topic_top_documents", "topic_descriptions",
     }
     words = {line.split("\t")[0] for line in lines_of(tmp_path / "dictionary")}
     assert words == {w for w in WORDS if len(w) > 5}
+
+
+@pytest.mark.parametrize("given", ["train", "source"])
+@pytest.mark.parametrize("compat", [False, True])
+def test_run_on_one_folder_keeps_every_document(spark, folders, tmp_path, given, compat):
+    flag = ["--compat"] if compat else []
+    (folders / "patent" / "train" / "empty.txt").write_text("")
+    main(
+        ["run", "--layout", "patent", f"--{given}", str(folders / "patent" / given), "--k", "2", "--max-iter", "3",
+         "--out", str(tmp_path), *flag]
+    )
+    n = 14 if given == "train" else 6
+    vectors = [r["doc_id"] for r in R.read_vectors(spark, str(tmp_path / "vectors")).collect()]
+    assert sorted(vectors) == list(range(n))
+    listed = [int(i) for line in lines_of(tmp_path / "topic_documents") if line for i in re.findall(r"\d+", line.split("\t")[1])]
+    assert sorted(listed) == list(range(n))
+    ranges = sorted(lines_of(tmp_path / "label_ranges"))
+    if given == "train":
+        shift = int(compat)
+        assert ranges == [f"empty\t1\t{shift}\t{shift - 1}", f"first class\t2\t{shift}\t{9 + shift}", f"other\t3\t{10 + shift}\t{13 + shift}"]
+    else:
+        assert ranges == []
+
+
+def test_documents_above_the_ranges_are_kept(spark, tmp_path):
+    (tmp_path / "documents").mkdir()
+    (tmp_path / "documents" / "a.txt").write_text("".join(f"{i}\trobot joint motor\n" for i in range(9)))
+    (tmp_path / "ranges").mkdir()
+    (tmp_path / "ranges" / "a.txt").write_text("x\t1\t2\t4\n")
+    main(["features", "--documents", str(tmp_path / "documents"), "--label-ranges", str(tmp_path / "ranges"), "--out", str(tmp_path)])
+    assert len(lines_of(tmp_path / "vectors")) == 9
+    assert len(lines_of(tmp_path / "train_vectors")) == 3 and len(lines_of(tmp_path / "test_vectors")) == 2
+
+
+def test_jobs_delete_their_scratch(spark, folders, tmp_path):
+    from lexicarta.session import scratch_path
+
+    scratch = scratch_path(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    import pathlib
+
+    before = {p.name for p in pathlib.Path(scratch).glob("*")}
+    source = str(folders / "patent" / "source")
+    main(["run", "--layout", "patent", "--source", source, "--k", "2", "--max-iter", "2", "--out", str(tmp_path)])
+    with pytest.raises(ValueError):
+        (tmp_path / "none").mkdir()
+        main(["topics", "--vectors", str(tmp_path / "none"), "--dictionary", str(tmp_path / "none"), "--out", str(tmp_path / "o")])
+    assert {p.name for p in pathlib.Path(scratch).glob("*")} == before

@@ -9,6 +9,7 @@ from lexicarta.operators import topics as M
 from lexicarta.operators import vocabulary as V
 from lexicarta.operators.labels import label_by_range
 from lexicarta.plans import catalog as C
+from lexicarta.sources import writers as W
 from lexicarta.sources.readers import stop_words
 from lexicarta.sources.tables import table
 
@@ -73,6 +74,18 @@ def test_top_per_topic_is_limited_before_the_shuffle(spark, folder):
     assert nodes(top, "WindowGroupLimit") == 2
 
 
+def test_top_of_a_large_number_is_limited_before_the_shuffle_too(spark, folder):
+    top = M.topic_top_documents(M.topic_weights(C._given_mixtures(spark, folder)), 5000)
+    assert nodes(top, "WindowGroupLimit") == 2
+
+
+def test_id_lists_are_not_dealt_by_topic(spark, folder):
+    lists = C.materialize(M.documents_by_topic(C.dominant_topic(spark, folder)), "lists")
+    lines = W.topic_document_lines(lists, 64)
+    assert not re.search(r"hashpartitioning\(topic[^)]*\)[^\n]*\n[^\n]*ids", plan(lines))
+    assert "SortMergeJoin LeftOuter" not in plan(lines)
+
+
 def test_range_lookup_is_an_equi_join(spark, folder):
     docs, ranges = C._ranges(spark, folder)
     found = plan(label_by_range(docs.select("doc_id"), C.materialize(ranges, "ranges")))

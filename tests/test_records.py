@@ -72,7 +72,7 @@ def test_tag_is_case_sensitive(spark):
 
 def test_start_shorter_than_the_cut_does_not_fail(spark):
     lines = ["abd xy     ", "   continued text", "end", "abd    next text", "end"]
-    assert texts(spark, lines, PATENT) == [" continued text", "next text"]
+    assert texts(spark, lines, PATENT) == ["continued text", "next text"]
 
 
 @pytest.mark.parametrize("layout", [ARTICLE, PATENT])
