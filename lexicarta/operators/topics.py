@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexicarta.operators.features import TOP, top_per_group
@@ -111,6 +111,16 @@ def topic_terms(model: LDAModel, dictionary: DataFrame) -> DataFrame:
     )
 
 
+def ranked_terms(weights: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The same of given ``(topic, term_id, weight)``; ties by term id."""
+    order = Window.partitionBy("topic").orderBy(F.col("weight").desc(), "term_id")
+    return (
+        weights.join(dictionary.select("term_id", "term"), "term_id")
+        .withColumn("rank", F.row_number().over(order))
+        .select("topic", "rank", "term_id", "term", "weight")
+    )
+
+
 def topic_top_terms(terms: DataFrame, n: int = TOP) -> DataFrame:
     """``(topic, rank, term_id, term, weight)``: the words with most weight in a topic."""
     return top_per_group(terms.drop("rank"), "topic", "weight", "term", n)

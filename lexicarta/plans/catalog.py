@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.clustering import LDAModel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexicarta.functions.text import clean_text, split_words
@@ -37,6 +38,7 @@ from lexicarta.sources.tables import documents, table, tagged_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
+GIVEN_TOPICS = 64  # width of the given matrix
 CHUNK_CHARS = 50_000  # small, so that the test tables have categories of several chunks
 
 
@@ -359,7 +361,7 @@ def topic_top_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def export_topic_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return W.topic_document_lines(M.documents_by_topic(dominant_topic(spark, folder)), 64)
+    return W.topic_document_lines(M.documents_by_topic(dominant_topic(spark, folder)), GIVEN_TOPICS)
 
 
 def export_topic_top_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -369,74 +371,89 @@ def export_topic_top_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# --- topics: the fitted model -----------------------------------------------
+# --- topics: reports on a given matrix of terms by topics ---------------------
 
-_fitted: dict[tuple[str, str], tuple] = {}
 
+def _given_terms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The terms of each topic, a vector's number taken for a term id, and the dictionary."""
+    terms = materialize(X.dictionary(_statistics(spark, folder)).select("term", "term_id"), "dictionary")
+    weights = rounded(M.topic_weights(_given_mixtures(spark, folder)), "weight")
+    weights = weights.select("topic", F.col("doc_id").cast("int").alias("term_id"), "weight")
+    return M.ranked_terms(weights, terms), terms
 
-def _topics(spark: SparkSession, folder: str) -> tuple:
-    """Model, corpus and dictionary, fitted once per session and folder."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _fitted:
-        vectors, terms = _features(spark, folder)
-        corpus = stored_vectors(vectors, terms.count())
-        _fitted[key] = (M.fit_topics(corpus), corpus, terms)
-    return _fitted[key]
 
+def topic_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return _given_terms(spark, folder)[0]
 
-def _mixtures(spark: SparkSession, folder: str) -> DataFrame:
-    model, corpus, _ = _topics(spark, folder)
-    return M.document_topics(model, corpus)
 
+def topic_top_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return M.topic_top_terms(topic_terms(spark, folder))
 
-def _described(spark: SparkSession, folder: str) -> DataFrame:
-    model, _, terms = _topics(spark, folder)
-    return M.topic_terms(model, terms)
 
+def topic_top_terms_filled(spark: SparkSession, folder: str) -> DataFrame:
+    given, terms = _given_terms(spark, folder)
+    return M.topic_top_terms(M.with_weightless_terms(given, terms, GIVEN_TOPICS))
 
-def lda_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """Per topic: its number of terms and the sum of their weights, which is one."""
-    summary = _described(spark, folder).groupBy("topic").agg(
-        F.count("*").alias("n_terms"), F.sum("weight").alias("weight")
-    )
-    return rounded(summary, "weight")
 
+def export_topic_words(spark: SparkSession, folder: str) -> DataFrame:
+    return W.topic_word_lines(topic_top_terms(spark, folder))
 
-def doc_topics(spark: SparkSession, folder: str) -> DataFrame:
-    return M.topic_weights(_mixtures(spark, folder))
 
+def export_topic_descriptions(spark: SparkSession, folder: str) -> DataFrame:
+    return W.topic_description_lines(topic_terms(spark, folder))
 
-def topic_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return _described(spark, folder)
 
+# --- topics: the fitted model -------------------------------------------------
+# Rows that do not depend on how the fit turns out, so that they can be compared.
 
-def topic_top_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return M.topic_top_terms(_described(spark, folder))
+Fitted = tuple[LDAModel, DataFrame, DataFrame]
 
 
-def topic_top_terms_filled(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, terms = _topics(spark, folder)
-    every = M.with_weightless_terms(_described(spark, folder), terms, M.TOPICS)
-    return M.topic_top_terms(every)
+def fitted(spark: SparkSession, folder: str) -> Fitted:
+    """Model, corpus and dictionary."""
+    vectors, terms = _features(spark, folder)
+    corpus = stored_vectors(vectors, terms.count())
+    return M.fit_topics(corpus), corpus, terms
 
 
-def lda_top_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return M.topic_top_documents(doc_topics(spark, folder))
+def _mixtures(spark: SparkSession, folder: str, found: Fitted | None) -> DataFrame:
+    model, corpus, _ = found or fitted(spark, folder)
+    return M.document_topics(model, corpus)
 
 
-def lda_docs_by_topic(spark: SparkSession, folder: str) -> DataFrame:
-    assigned = _mixtures(spark, folder).select(
-        "doc_id", M.dominant_topic(F.col("mixture")).alias("topic")
+def lda_fit(spark: SparkSession, folder: str, found: Fitted | None = None) -> DataFrame:
+    """Per topic: its number of terms, the sum of their weights, which is one, and whether weights fall."""
+    model, _, terms = found or fitted(spark, folder)
+    summary = M.topic_terms(model, terms).groupBy("topic").agg(
+        F.count("*").alias("n_terms"), F.sum("weight").alias("weight"), F.max("rank").cast("bigint").alias("last_rank")
     )
-    return M.documents_by_topic(assigned)
+    return rounded(summary, "weight")
 
 
-def export_topic_words(spark: SparkSession, folder: str) -> DataFrame:
-    return W.topic_word_lines(topic_top_terms(spark, folder))
+def doc_topics(spark: SparkSession, folder: str, found: Fitted | None = None) -> DataFrame:
+    """Per document: the number of topics and the sum of its mixture, zero without weights."""
+    summed = F.aggregate("mixture", F.lit(0.0), lambda total, w: total + w)
+    return rounded(
+        _mixtures(spark, folder, found).select(
+            "doc_id", F.size("mixture").alias("n_topics"), summed.alias("weight")
+        ),
+        "weight",
+    )
 
 
-def export_topic_descriptions(spark: SparkSession, folder: str) -> DataFrame:
-    return W.topic_description_lines(_described(spark, folder))
+def lda_top_docs(spark: SparkSession, folder: str, found: Fitted | None = None) -> DataFrame:
+    """The ranks of each topic, and whether their weights never rise."""
+    top = M.topic_top_documents(M.topic_weights(_mixtures(spark, folder, found)))
+    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
+    return top.select("topic", "rank", F.coalesce(before >= F.col("weight"), F.lit(True)).alias("falls"))
+
+
+def lda_docs_by_topic(spark: SparkSession, folder: str, found: Fitted | None = None) -> DataFrame:
+    """All documents that are listed under some topic."""
+    assigned = _mixtures(spark, folder, found).select(
+        "doc_id", M.dominant_topic(F.col("mixture")).alias("topic")
+    )
+    return M.documents_by_topic(assigned).select(F.explode("doc_ids").alias("doc_id"))
 
 
 QUERIES: dict[str, Query] = {

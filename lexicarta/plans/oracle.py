@@ -198,6 +198,23 @@ TOP_DOCS = f"""{MIXTURES},
              PARTITION BY topic ORDER BY round(weight, {DIGITS}) DESC, doc_id) AS INTEGER) AS rank,
            doc_id, round(weight, {DIGITS}) AS weight
     FROM weights QUALIFY rank <= 20)"""
+GIVEN_TERMS = f"""{MIXTURES},
+  terms AS (
+    SELECT w.topic, d.term_id, d.term, round(w.weight, {DIGITS}) AS weight,
+           CAST(row_number() OVER (
+             PARTITION BY w.topic ORDER BY round(w.weight, {DIGITS}) DESC, d.term_id) AS INTEGER) AS rank
+    FROM weights w JOIN dictionary d ON d.term_id = w.doc_id),
+  top AS (
+    SELECT topic, term_id, term, weight, CAST(row_number() OVER (
+             PARTITION BY topic ORDER BY weight DESC, term) AS INTEGER) AS rank
+    FROM terms QUALIFY rank <= {TOP}),
+  filled AS (
+    SELECT t.topic, d.term_id, d.term, coalesce(g.weight, 0.0) AS weight,
+           CAST(row_number() OVER (
+             PARTITION BY t.topic ORDER BY coalesce(g.weight, 0.0) DESC, d.term) AS INTEGER) AS rank
+    FROM (SELECT DISTINCT topic FROM weights) t CROSS JOIN dictionary d
+    LEFT JOIN terms g ON g.topic = t.topic AND g.term_id = d.term_id
+    QUALIFY rank <= {TOP})"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -295,6 +312,30 @@ SELECT 'Topic' || t.topic || ':' || chr(9) || '['
        AS value
 FROM (SELECT unnest(range(64)) AS topic) t LEFT JOIN assigned a ON a.topic = t.topic
 GROUP BY t.topic, a.doc_id // 100000""",
+        "topic_terms": f"""{weights}, {GIVEN_TERMS}
+SELECT topic, rank, term_id, term, weight FROM terms""",
+        "topic_top_terms": f"""{weights}, {GIVEN_TERMS}
+SELECT topic, rank, term_id, term, weight FROM top""",
+        "topic_top_terms_filled": f"""{weights}, {GIVEN_TERMS}
+SELECT topic, rank, term_id, term, weight FROM filled""",
+        "export_topic_words": f"""{weights}, {GIVEN_TERMS}
+SELECT 'Topic' || topic || ':' || chr(9) || string_agg(term || chr(9), '' ORDER BY rank) || chr(10) AS value
+FROM top GROUP BY topic""",
+        "export_topic_descriptions": f"""{weights}, {GIVEN_TERMS}
+SELECT 'Topic' || topic || ':' || chr(10) || string_agg(term || ' ', '' ORDER BY rank) || chr(10) AS value
+FROM terms GROUP BY topic""",
+        "lda_fit": f"""{weights}
+SELECT CAST(t AS INTEGER) AS topic, n AS n_terms, 1.0::DOUBLE AS weight, n AS last_rank
+FROM unnest(range(7)) AS topics(t), (SELECT count(*) AS n FROM used WHERE idf > 0)""",
+        "doc_topics": f"""{weights}
+SELECT doc_id, 7::INTEGER AS n_topics,
+       CASE WHEN doc_id IN (SELECT doc_id FROM tfidf WHERE weight > 0) THEN 1.0 ELSE 0.0 END::DOUBLE AS weight
+FROM docs""",
+        "lda_top_docs": f"""{with_docs}
+SELECT CAST(t AS INTEGER) AS topic, CAST(r AS INTEGER) AS rank, true AS falls
+FROM unnest(range(7)) AS topics(t), unnest(range(1, 21)) AS ranks(r) WHERE r <= (SELECT count(*) FROM docs)""",
+        "lda_docs_by_topic": f"""{weights}
+SELECT DISTINCT doc_id FROM tfidf WHERE weight > 0""",
         "export_topic_top_documents": f"""WITH {TOP_DOCS}
 SELECT 'Topic' || topic || ':' || chr(9)
        || string_agg(doc_id || ':' || printf('%.{DIGITS}f', weight) || ',' || chr(10), ''

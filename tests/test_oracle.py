@@ -6,8 +6,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from lexicarta.operators import topics as M
+from lexicarta.plans import catalog, oracle
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +33,7 @@ def assert_scales(df):
         assert node not in plan
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_same_rows(spark, duck, folder, name):
     found = driver.queries()[name](spark, folder)
     assert_scales(found)
@@ -48,55 +51,43 @@ def test_entry(spark):
 
 def test_names():
     assert set(driver.oracle_sql()) <= set(driver.queries())
-
-
-def run(spark, folder, name):
-    df = driver.queries()[name](spark, folder)
-    assert_scales(df)
-    return df.collect()
+    assert set(oracle.oracle_sql()) == set(catalog.QUERIES), "every query has its counterpart"
 
 
 def test_topic_model_reports(spark, folder):
+    """Reports of one fit agree with each other and with its mixtures."""
     n_docs = spark.read.parquet(f"{folder}/documents.parquet").count()
-    mixtures = defaultdict(dict)
-    for r in run(spark, folder, "doc_topics"):
-        mixtures[r["doc_id"]][r["topic"]] = r["weight"]
+    found = catalog.fitted(spark, folder)
+    model, corpus, terms = found
+    mixed = M.document_topics(model, corpus)
+    mixtures = {r["doc_id"]: dict(enumerate(r["mixture"])) for r in mixed.collect()}
     assert len(mixtures) == n_docs
-    assert all(sorted(m) == list(range(7)) for m in mixtures.values())
-    sums = [sum(m.values()) for m in mixtures.values()]
-    assert all(math.isclose(s, 1.0, abs_tol=1e-6) or s == 0.0 for s in sums)
+    assert all(len(m) == 7 for m in mixtures.values())
+    told = {r["doc_id"]: r["weight"] for r in catalog.doc_topics(spark, folder, found).collect()}
+    assert told == {d: round(sum(m.values()), 6) for d, m in mixtures.items()}
+    assert set(told.values()) <= {0.0, 1.0}
 
-    listed = run(spark, folder, "lda_docs_by_topic")
-    ids = [i for r in listed for i in r["doc_ids"]]
-    assert sorted(ids) == sorted(d for d, m in mixtures.items() if sum(m.values()) > 0)
+    listed = M.documents_by_topic(mixed.select("doc_id", M.dominant_topic(F.col("mixture")).alias("topic"))).collect()
     for r in listed:
         assert r["doc_ids"] == sorted(r["doc_ids"])
         assert all(max(mixtures[i].values()) == mixtures[i][r["topic"]] for i in r["doc_ids"])
+    ids = sorted(r["doc_id"] for r in catalog.lda_docs_by_topic(spark, folder, found).collect())
+    assert ids == sorted(i for r in listed for i in r["doc_ids"]) == sorted(d for d, w in told.items() if w > 0)
 
     tops = defaultdict(list)
-    for r in sorted(run(spark, folder, "lda_top_docs"), key=lambda r: (r["topic"], r["rank"])):
-        tops[r["topic"]].append((r["rank"], r["doc_id"], r["weight"]))
+    for r in M.topic_top_documents(M.topic_weights(mixed)).orderBy("topic", "rank").collect():
+        tops[r["topic"]].append((r["weight"], -r["doc_id"]))
     for topic, top in tops.items():
-        best = sorted(((m[topic], -d) for d, m in mixtures.items()), reverse=True)[:20]
-        assert [(w, -d) for _, d, w in top] == best
-        assert [rank for rank, _, _ in top] == list(range(1, 21))
-
-    terms = defaultdict(list)
-    for r in sorted(run(spark, folder, "topic_terms"), key=lambda r: (r["topic"], r["rank"])):
-        terms[r["topic"]].append(r)
-    assert sorted(terms) == list(range(7))
-    for own in terms.values():
-        weights = [r["weight"] for r in own]
+        assert top == sorted(((m[topic], -d) for d, m in mixtures.items()), reverse=True)[:20]
+    ranks = catalog.lda_top_docs(spark, folder, found).collect()
+    assert all(r["falls"] for r in ranks) and len(ranks) == 140
+
+    own = defaultdict(list)
+    for r in M.topic_terms(model, terms).orderBy("topic", "rank").collect():
+        own[r["topic"]].append(r["weight"])
+    assert sorted(own) == list(range(7))
+    for r in catalog.lda_fit(spark, folder, found).collect():
+        weights = own[r["topic"]]
         assert weights == sorted(weights, reverse=True)
-        assert math.isclose(sum(weights), 1.0, abs_tol=1e-6)
-    assert {r["topic"]: r["weight"] for r in run(spark, folder, "lda_fit")} == dict.fromkeys(range(7), 1.0)
-
-    best = defaultdict(list)
-    for r in sorted(run(spark, folder, "topic_top_terms"), key=lambda r: (r["topic"], r["rank"])):
-        best[r["topic"]].append(r["term"])
-    for topic, words in best.items():
-        ranked = sorted(terms[topic], key=lambda r: (-r["weight"], r["term"]))
-        assert words == [r["term"] for r in ranked[:101]]
-    lines = [r["value"] for r in run(spark, folder, "export_topic_words")]
-    assert sorted(lines) == sorted(f"Topic{t}:\t" + "".join(w + "\t" for w in ws) + "\n" for t, ws in best.items())
-    assert len(run(spark, folder, "export_topic_descriptions")) == 7
+        assert r["n_terms"] == r["last_rank"] == len(weights)
+        assert math.isclose(sum(weights), 1.0, abs_tol=1e-6) and r["weight"] == 1.0
