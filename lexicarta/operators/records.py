@@ -125,11 +125,12 @@ def extract_records(
         marked.withColumn("record", F.coalesce(F.sum(is_close).over(earlier), F.lit(0)))
         .groupBy("file", "block", "record")
         .agg(F.max(is_close).alias("closed"), bare.alias("parts"))
-        .withColumn("parts", _last_island(F.col("parts"))),
+        .withColumn("parts", _last_island(F.col("parts")))
+        .withColumn("edge", ((F.col("record") == 0) | (F.col("closed") == 0)).cast("int")),
         "pieces",
+        partition_by="edge",
     )
-    whole = pieces.where((F.col("record") > 0) & (F.col("closed") == 1))
-    edges = pieces.where((F.col("record") == 0) | (F.col("closed") == 0))
+    whole, edges = pieces.where("edge = 0"), pieces.where("edge = 1")
     joined = (
         edges.join(_record_before(pieces), ["file", "block"])
         .select(

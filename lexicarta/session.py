@@ -63,14 +63,17 @@ def job_scratch(spark: SparkSession, name: str) -> Iterator[None]:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, label: str, schema: str | StructType | None = None) -> DataFrame:
+def materialize(
+    df: DataFrame, label: str, schema: str | StructType | None = None, partition_by: str | None = None
+) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Cuts the lineage, survives lost executors, freezes anything that depends on
     the partitioning of one run, and gives the planner the exact size, so that
     it broadcasts the table only when the table really is small. ``schema`` reads
-    the same data as another type of the same layout.
+    the same data as another type of the same layout. With ``partition_by``, the last
+    column, rows of other values are not read where it is filtered.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
