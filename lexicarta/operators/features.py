@@ -115,7 +115,7 @@ def document_features(
         .withColumn("idf", idf)
         .join(coded, "code")
     )
-    terms = materialize(dictionary(statistics), "dictionary")
+    terms = dictionary(statistics)  # its numbering is written already
     numbered = coded.join(terms.select("code", "term_id", "idf"), "code", "left")
     by_code = indexed_values(numbered, "code", "term_id", "idf")
     weighted = F.transform(
