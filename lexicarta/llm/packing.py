@@ -16,8 +16,10 @@ columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,85 +36,117 @@ CLOSING_ID = 1
 #: Pieces that one group packs together.
 GROUP = 1 << 16
 #: Words whose ids a Python worker remembers before it starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 600_000
 #: What the tokenizer parts from letters before it, whatever follows: none begins a contraction.
 TRAILING = ".,!?;:*$%&#|\"()[]{}<>/-+=_~^@"
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes stand for themselves, the others for the characters from 256 on, in order.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class WordIds:
     """Token ids of texts, found word by word.
 
     The tokenizer drops white space and never joins across it, so that the ids of a text
-    are those of its words in a row. Each distinct word is encoded once and remembered.
-    Words are looked up in ASCII lower case, as the tokenizer lowers them anyway.
+    are those of its words in a row. Each distinct word is encoded once and remembered;
+    the ids of all of them lie in one array. Words are looked up in ASCII lower case, as
+    the tokenizer lowers them anyway.
     """
 
+    #: Letters that normalisation changes in no other way than by lowering each alone.
+    SIMPLE = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
+        self.letters = byte_letters()
+        self._clear()
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in found]
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends = array("I"), array("q", [0])
 
-    def _learn(self, words: list[str]) -> None:
-        """Adds words; letters of plain ASCII go to the model directly."""
-        if len(self.known) + len(words) > MEMO_WORDS:
-            self.known.clear()
-        model, other = self.tokenizer.model, []
+    def _add(self, word: str, ids: Iterable[int]) -> None:
+        self.known[word] = len(self.ends) - 1
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+
+    def _of(self, word: str) -> array:
+        number = self.known[word]
+        return self.ids[self.ends[number] : self.ends[number + 1]]
+
+    def _encode(self, words: list[str]) -> None:
+        """Adds words; those of simple letters go to the model directly."""
+        tokenize, letters, other = self.tokenizer.model.tokenize, self.letters, []
         for word in words:
-            if word.isascii() and word.isalpha():
-                self.known[word] = np.array([t.id for t in model.tokenize(word)], dtype="<u4")
+            if self.SIMPLE.fullmatch(word):
+                if not word.isascii():
+                    mapped = "".join(letters[b] for b in word.lower().encode())
+                    self._add(word, [t.id for t in tokenize(mapped)])
+                else:
+                    self._add(word, [t.id for t in tokenize(word)])
             else:
                 other.append(word)
-        self.known.update(zip(other, self._encode(other)))
+        for word, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self._add(word, found.ids)
 
-    def of_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word; trailing marks are encoded apart from the letters before them."""
+    def _learn(self, words: list[str]) -> None:
+        """Adds words; marks after simple letters are encoded apart from them."""
         parts = []
         for word in words:
             stem = word.rstrip(TRAILING)
-            if stem.isalpha() and stem.isascii() and len(stem) < len(word):
-                parts.append((stem, word[len(stem) :]))
-            else:
-                parts.append((word, None))
-        if any("<|" in word for word in words):  # marks may be part of a special token
-            parts = [(w, None) if any(s in w for s in self.specials) else p for w, p in zip(words, parts)]
-        new = list(dict.fromkeys(p for pair in parts for p in pair if p is not None and p not in self.known))
-        if new:
-            self._learn(new)
-            if any(p is not None and p not in self.known for pair in parts for p in pair):
-                self._learn(list(dict.fromkeys(p for pair in parts for p in pair if p is not None and p not in self.known)))
-        known = self.known
-        return [known[a] if b is None else np.concatenate((known[a], known[b])) for a, b in parts]
+            if len(stem) < len(word) and self.SIMPLE.fullmatch(stem):
+                # A special token may begin within the marks, but not end there.
+                if "<|" not in word or not any(s in word for s in self.specials):
+                    parts.append((word, stem, word[len(stem) :]))
+        whole = set(words).difference(p[0] for p in parts)
+        pieces = dict.fromkeys(p for _, *pair in parts for p in pair)
+        self._encode([w for w in {**dict.fromkeys(whole), **pieces} if w not in self.known])
+        for word, stem, marks in parts:
+            self._add(word, self._of(stem) + self._of(marks))
+
+    def of_words(self, words: list[str]) -> list[int]:
+        """The numbers of distinct words."""
+        found = list(map(self.known.get, words))
+        new = [w for w, number in zip(words, found) if number is None]
+        if not new:
+            return found
+        if len(self.known) + len(new) > MEMO_WORDS:
+            self._clear()
+            new = words
+        self._learn(new)
+        return list(map(self.known.__getitem__, words))
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row, and where each text ends."""
         words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = words.flatten().dictionary_encode()
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = self.of_words(coded.dictionary.to_pylist())
-        if not ids:
-            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
-        flat = np.concatenate(ids)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        begins = np.cumsum(sizes) - sizes
-        counts = sizes[index]
+        numbers = np.array(self.of_words(coded.dictionary.to_pylist()), np.int64)
+        number = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        flat, all_ends = np.array(self.ids, "<u4"), np.array(self.ends, np.int64)
+        begins = all_ends[number]
+        counts = all_ends[number + 1] - begins
         ends = np.cumsum(counts)
         where = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
-        where += np.repeat(begins[index] - (ends - counts), counts)
+        where += np.repeat(begins - (ends - counts), counts)
         return flat[where], np.concatenate(([0], ends))[np.cumsum(per_text)]
 
 
 def _cut(path: str, capacity: int, with_ids: bool) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_memo(f"ids {path}", lambda: WordIds(path))
-        for batch in text_slices(batches, limit=4 << 20):
+        for batch in text_slices(batches, limit=8 << 20):
             ids, ends = coder.of_texts(filled(batch.column("text")))
             rows, begin = [], 0
             closing = np.array([CLOSING_ID], "<u4")
