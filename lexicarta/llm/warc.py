@@ -40,6 +40,8 @@ from lexicarta.session import materialize, scratch_path
 LEAST_PAYLOAD = 100
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
+#: Bytes of an archive whose ranges one task reads.
+RANGE_BYTES = 8 << 20
 #: Lines of the index in a compressed block.
 BLOCK_LINES = 1024
 #: Pages carry no capture time; the records need one.
@@ -248,7 +250,13 @@ def read(captures: DataFrame) -> DataFrame:
         yield from _batches(records())
 
     files = captures.select("file").distinct()
-    return files.repartition("file").mapInArrow(run, RECORD)
+    return files.repartition(_tasks(captures), "file").mapInArrow(run, RECORD)
+
+
+def _tasks(captures: DataFrame) -> int:
+    """A fixed number of tasks for the archives of captures, however few bytes their names are."""
+    n = captures.agg(F.count_distinct("file")).first()[0]
+    return max(1, min(n, max(n // 16, 2 * captures.sparkSession.sparkContext.defaultParallelism)))
 
 
 def index(captures: DataFrame) -> DataFrame:
@@ -383,7 +391,11 @@ def ranges(captures: DataFrame) -> DataFrame:
         yield from _batches(records())
 
     placed = captures.select("file", "offset", "length")
-    return placed.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
+    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.floor(F.col("offset") / RANGE_BYTES)  # an archive that is much asked for is shared
+    return (
+        placed.repartition(parts, "file", stretch).sortWithinPartitions("file", "offset").mapInArrow(run, RECORD)
+    )
 
 
 def url_keys(url: Column) -> Column:
@@ -401,7 +413,8 @@ def resolved(records: DataFrame, indexed: DataFrame) -> DataFrame:
     """Records with ``payload_bytes`` and ``payload_digest`` of their full payloads.
 
     A response's are counted from its payload. A revisit's are those of the response it
-    refers to, which is looked up in the index once and read by its range.
+    refers to, which is looked up in the index once and read by its range; ``payload_bytes``
+    is null where that response is missing or has another payload.
     """
     own = records.where("record_type = 'response'").select(
         "page_id",
@@ -427,7 +440,7 @@ def resolved(records: DataFrame, indexed: DataFrame) -> DataFrame:
         .distinct()
     )
     return own.unionByName(
-        again.join(materialize(targets, "targets"), ["refers_to", "payload_digest"]).select(
+        again.join(materialize(targets, "targets"), ["refers_to", "payload_digest"], "left").select(
             "page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"
         )
     )
