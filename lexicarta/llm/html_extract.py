@@ -36,7 +36,7 @@ LEFT_OUT = frozenset(
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong "
-    "sub sup time tt u var wbr ruby rb rp rt img label nobr center-text".split()
+    "sub sup time tt u var wbr ruby rb rp rt img label nobr".split()
 )
 #: Paragraph-like elements give points.
 SCORED = frozenset("p pre blockquote td li dd h2 h3 h4".split())
@@ -67,6 +67,7 @@ ASIDE = re.compile(
     r"widget|toolbar|skip|tags|byline-share|complementary|contentinfo|banner|dialog|hidden)(?:$|[\s_-])",
     re.I,
 )
+COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|comment-list|respond|repl(?:y|ies)|disqus)(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(
@@ -77,21 +78,26 @@ _NAMES = {"class", "id", "role", "itemprop", "style", "aria-hidden"}
 
 
 class Element:
-    __slots__ = ("name", "parent", "children", "dropped", "bonus", "own", "points", "chars", "link_chars")
+    __slots__ = ("name", "parent", "children", "dropped", "doubtful", "bonus", "own", "points", "chars", "link_chars")
 
     def __init__(self, name: str, parent: Element | None, dropped: bool = False, bonus: float = 0.0):
         self.name, self.parent, self.dropped, self.bonus = name, parent, dropped, bonus
+        self.doubtful = False
         self.children: list[Element | str] = []
         self.points = self.chars = self.link_chars = 0.0
         self.own = False
 
 
-def _described(name: str, attributes: str) -> tuple[bool, float]:
-    """Whether the element is left out, and its bonus as a container."""
+def _described(name: str, attributes: str) -> tuple[bool, bool, float]:
+    """Whether the element is left out, whether that is doubtful, and its bonus as a container.
+
+    Doubtful is what only the name of a part of a page says: a wrapper may be named after
+    the sidebar that it makes room for.
+    """
     bonus = 25.0 if name in ("article", "main") else 5.0 if name in ("div", "section") else 0.0
     if name in LEFT_OUT:
-        return True, 0.0
-    dropped = False
+        return True, False, 0.0
+    dropped = doubtful = False
     if attributes:
         if re.search(r"(?:^|\s)hidden(?=$|[\s/=])", attributes):
             dropped = True
@@ -105,17 +111,21 @@ def _described(name: str, attributes: str) -> tuple[bool, float]:
             elif key == "aria-hidden":
                 dropped |= value.lower() == "true"
             elif name not in ("html", "body", "article", "main") or key == "role":
-                dropped |= bool(ASIDE.search(value))
-            elif re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", value, re.I):
+                if COMMENT.search(value):
+                    dropped = True
+                else:
+                    doubtful |= bool(ASIDE.search(value))
+            elif COMMENT.search(value):
                 dropped = True
             if CONTENT.search(value) or value.lower() in ("articlebody", "main"):
                 bonus += 25.0
-    return dropped, bonus
+    return dropped or doubtful, doubtful and not dropped, bonus
 
 
 def parse(page: str) -> Element:
     """The tree of a page, texts with character references decoded."""
     root = Element("#root", None)
+    doubted: list[Element] = []
     top, at, end = root, 0, len(page)
 
     def text(upto: int) -> None:
@@ -159,8 +169,11 @@ def parse(page: str) -> Element:
                 top = close({"tr"}, {"table"})
         if name == "body" and top.name == "head":
             top = top.parent
-        dropped, bonus = _described(name, match[3])
+        dropped, doubtful, bonus = _described(name, match[3])
         element = Element(name, top, dropped, bonus)
+        if doubtful:
+            element.doubtful = True
+            doubted.append(element)
         top.children.append(element)
         if name in VOID or match[3].endswith("/") and name not in RAW and name not in BLOCKS:
             continue
@@ -172,16 +185,37 @@ def parse(page: str) -> Element:
             at = stop.end() if stop else end
             continue
         top = element
+    _reconsider(root, doubted)
     return root
 
 
-def _walk(root: Element) -> list[Element]:
-    """All elements that are not left out, parents before children."""
+def _reconsider(root: Element, doubted: list[Element]) -> None:
+    """Takes back what is doubtful of elements around an article, or around a headline and most of the text."""
+
+    def chars(nodes: list[Element]) -> int:
+        return sum(len(c.strip()) for n in nodes for c in n.children if isinstance(c, str))
+
+    total = None
+    for element in doubted:
+        inside = _walk(element, doubtful=True)
+        names = {n.name for n in inside[1:]}
+        keep = not names.isdisjoint(("article", "main"))
+        if not keep and "h1" in names:
+            total = chars(_walk(root, doubtful=True)) if total is None else total
+            keep = 2 * chars(inside) >= total
+        if keep:
+            element.dropped = False
+
+
+def _walk(root: Element, doubtful: bool = False) -> list[Element]:
+    """All elements that are not left out, parents before children; ``doubtful`` ones too if asked for."""
     found, stack = [], [root]
     while stack:
         node = stack.pop()
         found.append(node)
-        stack += [c for c in reversed(node.children) if not isinstance(c, str) and not c.dropped]
+        for child in reversed(node.children):
+            if not isinstance(child, str) and (not child.dropped or doubtful and child.doubtful):
+                stack.append(child)
     return found
 
 

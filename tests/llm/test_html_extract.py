@@ -25,6 +25,9 @@ TEXT = "First, a paragraph with some words, and commas.\nSecond one, & longer th
         ("<article><ul><li>one, item<li>two</ul><div>loose, text here</div></article>", "one, item\ntwo\nloose, text here"),
         (f"<div hidden><p>Not, shown, at, all, never, ever.</p></div><div style='display: none'><p>Nor, this.</p></div><div>{BODY}</div>", TEXT),
         (f"<div>{BODY}", TEXT),
+        (f"<div class='page has-sidebar'><div class=sidebar><p>Side, text, a, b, c.</p></div><article>{BODY}</article></div>", TEXT),
+        (f"<div class='layout with-menu'><h1>Head</h1>{BODY}</div><div class=menu>a</div>", "Head\n" + TEXT),
+        (f"<div class=comments><article>{BODY}</article></div><div><p>The text, really, is here.</p></div>", "The text, really, is here."),
         ("just, plain text", "just, plain text"),
         ("", ""),
         ("<html><body></body></html>", ""),
