@@ -416,14 +416,19 @@ def resolved(records: DataFrame, indexed: DataFrame) -> DataFrame:
     refers to, which is looked up in the index once and read by its range; ``payload_bytes``
     is null where that response is missing or has another payload.
     """
-    own = records.where("record_type = 'response'").select(
-        "page_id",
-        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
-    again = records.where("record_type = 'revisit'").select("page_id", "refers_to", "refers_to_url", "payload_digest")
+    told = materialize(
+        records.select(
+            "page_id",
+            F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+            F.coalesce(F.sha2("payload", 256), F.col("payload_digest")).alias("payload_digest"),
+            "record_type",
+            "refers_to",
+            "refers_to_url",
+        ),
+        "records",
+    )  # the archives are read once
+    own = told.where("record_type = 'response'").drop("refers_to_url")
+    again = told.where("record_type = 'revisit'").drop("payload_bytes", "record_type")
     wanted = again.select("refers_to", "refers_to_url").distinct().withColumn("key", url_keys(F.col("refers_to_url")))
     wanted = materialize(wanted, "wanted")
     places = located(indexed, wanted.select("key")).join(
