@@ -11,8 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexicarta.session import materialize
+
 #: Bytes of text that a task works on at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +47,7 @@ def text_slices(
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def filled(column: pa.Array) -> pa.Array:
@@ -66,20 +69,25 @@ def kept_rows(docs: DataFrame, check: Column, lost: DataFrame, again: DataFrame,
     """``docs`` without the rows in ``lost``; of rows in ``again`` one of highest ``rank`` per key.
 
     Keys are ``(doc_id, check)``, where ``check`` is an expression over a row of ``docs``.
-    Only keys of rows that go, or that repeat, meet the documents.
+    Only keys of rows that go, or that repeat, meet the documents, in one join.
     """
+    keys = lost.select("doc_id", "check", F.lit(False).alias("repeats")).unionByName(
+        again.select("doc_id", "check", F.lit(True).alias("repeats"))
+    )
+    keys = materialize(
+        keys.groupBy("doc_id", "check").agg(F.max("repeats").alias("_repeats")), "keys"
+    ).withColumnsRenamed({"doc_id": "k_id", "check": "k_check"})
     keyed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"),
         F.col("doc_id").cast("bigint").alias("_id"),
         check.alias("_check"),
         rank.alias("_rank"),
     )
-
-    def meet(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("k_id"), F.col("check").alias("k_check"))
-        return rows.join(keys, (F.col("_check") == F.col("k_check")) & F.col("_id").eqNullSafe(F.col("k_id")), how)
-
-    again = again.select("doc_id", "check")
-    gone = lost.select("doc_id", "check").unionByName(again)
-    one = meet(keyed, again, "left_semi").groupBy("_id", "_check").agg(F.max_by("_doc", "_rank").alias("_doc"))
-    return meet(keyed, gone, "left_anti").select("_doc").unionByName(one.select("_doc")).select("_doc.*")
+    met = keyed.join(
+        keys, (F.col("_check") == F.col("k_check")) & F.col("_id").eqNullSafe(F.col("k_id")), "left"
+    )
+    left = met.where("_repeats IS NULL").select("_doc")
+    if not keys.where("_repeats").isEmpty():
+        one = met.where("_repeats").groupBy("_id", "_check").agg(F.max_by("_doc", "_rank").alias("_doc"))
+        left = left.unionByName(one.select("_doc"))
+    return left.select("_doc.*")
