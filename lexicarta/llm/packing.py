@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from lexicarta.llm.common import filled, only, text_slices, worker_memo
 from lexicarta.session import materialize
@@ -35,8 +36,8 @@ CAPACITY = 4096
 CLOSING_ID = 1
 #: Pieces that one group packs together.
 GROUP = 1 << 16
-#: Words whose ids a Python worker remembers before it starts anew.
-MEMO_WORDS = 600_000
+#: Words whose ids a Python worker remembers before it forgets those out of use.
+MEMO_WORDS = 250_000
 #: What the tokenizer parts from letters before it, whatever follows: none begins a contraction.
 TRAILING = ".,!?;:*$%&#|\"()[]{}<>/-+=_~^@"
 
@@ -122,8 +123,10 @@ class WordIds:
         if not new:
             return found
         if len(self.known) + len(new) > MEMO_WORDS:
+            used = [(w, self._of(w)) for w, number in zip(words, found) if number is not None]
             self._clear()
-            new = words
+            for word, ids in used:
+                self._add(word, ids)
         self._learn(new)
         return list(map(self.known.__getitem__, words))
 
@@ -146,7 +149,7 @@ class WordIds:
 def _cut(path: str, capacity: int, with_ids: bool) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_memo(f"ids {path}", lambda: WordIds(path))
-        for batch in text_slices(batches, limit=8 << 20):
+        for batch in text_slices(batches):
             ids, ends = coder.of_texts(filled(batch.column("text")))
             rows, begin = [], 0
             closing = np.array([CLOSING_ID], "<u4")
@@ -243,8 +246,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         frame["sequence_id"] = (int(frame["part"].iloc[0]) << 40) + bins
         return frame.drop(columns="part")
 
-    from pyspark.sql.types import LongType, StructType
-
     schema = StructType([*parts.schema.fields]).add("offset", LongType()).add("sequence_id", LongType())
     dealt = parts.withColumn(
         "part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("bigint")
