@@ -6,8 +6,9 @@ stands in some template (the matching statistics). From these
 
 * a phrase stands wherever the run is as long as the phrase and ends in it;
 * long runs that cannot be extended are matches; for each template the matches that lie
-  in the same order in text and template are chained, and the chain's words, as a share
-  of the template's, are its coverage. Covered spans are given in words of the text.
+  in the same order in text and template are chained over gaps of at most ``GAP`` templates,
+  and the chain's words, as a share of the template's, are its coverage. Every chain of enough
+  coverage is a span, given in words of the text; spans of one label do not overlap.
 
 Words outside all templates end every run, so only stretches of licence words cost steps.
 
@@ -18,6 +19,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +31,8 @@ from lexicarta.llm.licenses import PHRASES, TEMPLATES
 
 #: Words of a match, and the share of a template, from which on they count.
 MATCH, COVERED = 6, 0.6
+#: Words between two matches of a chain, in lengths of the template.
+GAP = 2
 
 #: Bytes outside words become spaces, capitals small letters; bytes of other letters stay.
 TO_WORDS = bytes(
@@ -155,30 +159,66 @@ def statistics(automaton: Automaton, words: list[bytes]) -> Iterator[tuple[int,
         yield position, state, length
 
 
-def chain(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The chain of most words among matches ``(text end, template end, length)`` of one template.
+Match = tuple[int, int, int]
 
-    Later matches end later in text and template. Where two overlap, on either side, only
-    the later one's new words count.
+
+def _best(matches: list[Match], gap: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Per match the words, start and number of matches of the best chain that ends in it; and its way back.
+
+    Later matches of a chain end later in text and template and begin at most ``gap`` words
+    after the one before. Where two overlap, on either side, only the later one's new words
+    count. Among chains of equal words the one that starts later is the tighter.
     """
-    matches = sorted(set(matches))
-    best: list[tuple[int, int]] = []  # words of the best chain that ends here, the match before
+    best, back = [], []
+    ends = [m[0] for m in matches]
     for i, (end, at, length) in enumerate(matches):
-        own = (length, -1)
-        for j in range(i):
+        own, way = (length, end - length, 1), (-1, length)
+        for j in range(bisect_left(ends, end - length - gap), i):
             e, a, _ = matches[j]
             if e < end and a < at:
                 new = min(length, end - e, at - a)
-                own = max(own, (best[j][0] + new, j))
+                words, start, n = best[j]
+                if (words + new, start) > own[:2]:
+                    own, way = (words + new, start, n + 1), (j, new)
         best.append(own)
-    if not best:
-        return []
-    i = max(range(len(best)), key=lambda k: best[k][0])
-    found = []
-    while i != -1:
-        found.append((*matches[i][:2], min(matches[i][2], best[i][0] - (best[best[i][1]][0] if best[i][1] != -1 else 0))))
-        i = best[i][1]
-    return found[::-1]
+        back.append(way)
+    return best, back
+
+
+def chains(matches: list[Match], gap: int, least: float) -> list[list[Match]]:
+    """Chains of matches ``(text end, template end, length)`` of one template, best first in each stretch.
+
+    The best chain of all is always given, further ones where they have ``least`` words and
+    overlap none given. What lies between given chains is chained anew, until no chain is left.
+    """
+    found: list[list[Match]] = []
+    waiting = [sorted(set(matches))]
+    while waiting:
+        own = waiting.pop()
+        best, back = _best(own, gap)
+        taken: list[tuple[int, int]] = []  # starts and ends, rising
+        for i in sorted(range(len(own)), key=lambda k: (-best[k][0], own[k][0])):
+            if best[i][0] < least and found:
+                break
+            start, end = best[i][1], own[i][0]
+            spot = bisect_left(taken, (start, end))
+            if (spot and taken[spot - 1][1] > start) or (spot < len(taken) and taken[spot][0] < end):
+                continue
+            taken.insert(spot, (start, end))
+            links = []
+            while i != -1:
+                links.append((*own[i][:2], back[i][1]))
+                i = back[i][0]
+            found.append(links[::-1])
+        if not taken:
+            continue
+        between: dict[int, list[Match]] = {}
+        for match in own:
+            spot = bisect_left(taken, (match[0], 0))  # spans that start before the match ends
+            if not spot or taken[spot - 1][1] <= match[0] - match[2]:
+                between.setdefault(spot, []).append(match)
+        waiting += between.values()
+    return found
 
 
 def scan(text: bytes, automaton: Automaton, phrase_labels: list[str], labels: list[str]) -> tuple:
@@ -201,33 +241,27 @@ def scan(text: bytes, automaton: Automaton, phrase_labels: list[str], labels: li
         for template, end in automaton.places[state]:
             if template >= 0:
                 by_template.setdefault(template, []).append((position + 1, end, length))
-    spans: dict[str, tuple[float, int, int]] = {}
+    spans: dict[str, list[tuple[float, int, int]]] = {}
     score = 1.0 if phrases else 0.0
     for template, matches in by_template.items():
-        found = chain(_near(matches, automaton.template_words[template]))
-        coverage = min(1.0, sum(m[2] for m in found) / automaton.template_words[template])
-        score = max(score, coverage)
-        if coverage >= COVERED:
-            span = (coverage, -(found[0][0] - found[0][2]), found[-1][0])
-            spans[labels[template]] = max(spans.get(labels[template], span), span)
-    told = [(label, -start, end, coverage) for label, (coverage, start, end) in sorted(spans.items())]
+        total = automaton.template_words[template]
+        for found in chains(matches, GAP * total, COVERED * total):
+            coverage = min(1.0, sum(m[2] for m in found) / total)
+            score = max(score, coverage)
+            if coverage >= COVERED:
+                spans.setdefault(labels[template], []).append((coverage, found[0][0] - found[0][2], found[-1][0]))
+    told = [(label, *span) for label, own in sorted(spans.items()) for span in _apart(own)]
     return len(words), phrases, told, score
 
 
-def _near(matches: list[tuple[int, int, int]], words: int) -> list[tuple[int, int, int]]:
-    """The matches of the richest stretch of text that could hold one copy of the template.
-
-    A stretch ends where the next match begins more than two templates' words further on;
-    within a stretch the same part of the template is taken at most where it first comes.
-    """
-    matches = sorted(matches)
-    stretches: list[list[tuple[int, int, int]]] = []
-    for match in matches:
-        if stretches and match[0] - match[2] <= stretches[-1][0][0] + 2 * words:
-            stretches[-1].append(match)
-        else:
-            stretches.append([match])
-    return max(stretches, key=lambda s: sum(m[2] for m in s), default=[])
+def _apart(spans: list[tuple[float, int, int]]) -> list[tuple[int, int, float]]:
+    """``(start, end, coverage)`` of spans in the order of the text; of those that overlap the best covered."""
+    kept: list[tuple[int, int, float]] = []
+    for coverage, start, end in sorted(spans, key=lambda s: (-s[0], s[1], -s[2])):
+        spot = bisect_left(kept, (start,))
+        if not (spot and kept[spot - 1][1] > start) and not (spot < len(kept) and kept[spot][0] < end):
+            kept.insert(spot, (start, end, coverage))
+    return kept
 
 
 def scanned(docs: DataFrame) -> DataFrame:

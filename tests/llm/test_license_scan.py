@@ -85,6 +85,31 @@ def test_templates_are_found_with_gaps_and_among_other_text(label):
     assert license_scan.scan(fragment.encode(), automaton, phrase_labels, labels)[2] == []
 
 
+def test_every_copy_of_a_template_is_found():
+    automaton, phrase_labels, labels = license_scan.build()
+    rng = random.Random(4)
+    mit = words_of(TEMPLATES["mit"][0])
+    n = len(mit)
+
+    def spans(words):
+        found = license_scan.scan(" ".join(words).encode(), automaton, phrase_labels, labels)
+        return [s[1:] for s in found[2] if s[0] == "mit"], found[3]
+
+    other = sentence(rng, 400).split()
+    # Repeats of the beginning sum to more words than the complete licence after them.
+    assert spans(mit[:50] * 5 + other + mit) == ([(650, 650 + n, 1.0)], 1.0)
+    # A stray match far before a licence that matches in several runs.
+    cuts = [mit[i : i + 25] for i in range(0, n, 25)]
+    edited = [w for cut in cuts for w in [*cut, *["x"] * 12]]
+    stray = mit[-7:-1] + sentence(rng, n * 3 // 2).split()
+    (only,), score = spans(stray + edited)
+    assert only[0] == len(stray) and only[2] == score >= (n - 5) / n
+    # Copies in a row and far apart; half a copy is no span.
+    assert spans(mit * 3 + other + mit[: n // 2] + other + mit)[0] == [
+        (i, i + n, 1.0) for i in (0, n, 2 * n, 3 * n + 800 + n // 2)
+    ]
+
+
 def test_awkward_rows(make_docs, awkward):
     got = license_scan.scanned(make_docs(awkward)).collect()
     assert sorted((r.n_words, len(r.phrases)) for r in got) == sorted(base(t)[:2] for _, t in awkward)
