@@ -36,8 +36,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in the packed sequences."""
-    return packing.pack(packing.pieces(docs, tokenizer_path(), with_ids=False))
+    """The place of every piece of every document in the packed sequences, whose ids follow the mix.
+
+    Files keep no order, so the slots of the mix are found again; the stage before dropped no document.
+    """
+    keep = ("slot", "place")
+    return packing.pack_mix(packing.pieces(mixing.slotted(docs), tokenizer_path(), with_ids=False, keep=keep))
 
 
 STAGES = [

@@ -167,12 +167,36 @@ def mix(
 ) -> DataFrame:
     """``docs`` in the order of the mix: partitions are stretches of slots, sorted inside."""
     spark = docs.sparkSession
-    places = materialize(placed(docs, weights, block, period, seed), "places").select(
-        F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "slot", "place"
-    )
+    joined, places = _joined(docs, weights, block, period, seed)
     last = places.agg(F.max("slot")).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     stretch = 1 if last is None else last // parts + 1
+    return (
+        joined.repartitionById(parts, F.floor(F.col("slot") / stretch).cast("int"))
+        .sortWithinPartitions("slot", "place", "_id")
+        .select("_doc.*")
+    )
+
+
+def slotted(
+    docs: DataFrame,
+    weights: Mapping[str | None, float] | None = None,
+    block: int = BLOCK,
+    period: int = PERIOD,
+    seed: int = 0,
+) -> DataFrame:
+    """``(doc_id, text, slot, place)`` of every row; equal for the same documents in any order."""
+    joined, _ = _joined(docs, weights, block, period, seed)
+    return joined.select(F.col("_id").alias("doc_id"), F.col("_doc.text").alias("text"), "slot", "place")
+
+
+def _joined(
+    docs: DataFrame, weights: Mapping[str | None, float] | None, block: int, period: int, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` as ``_doc`` with their ``slot`` and ``place``, and the written places."""
+    places = materialize(placed(docs, weights, block, period, seed), "places").select(
+        F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "slot", "place"
+    )
     keyed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"),
         F.col("doc_id").cast("bigint").alias("_id"),
@@ -185,8 +209,4 @@ def mix(
         & F.col("_source").eqNullSafe(F.col("p_source"))
         & (F.col("_size") == F.col("p_size")),
     )
-    return (
-        joined.repartitionById(parts, F.floor(F.col("slot") / stretch).cast("int"))
-        .sortWithinPartitions("slot", "place", "_id")
-        .select("_doc.*")
-    )
+    return joined, places

@@ -7,6 +7,9 @@ open bin with the least room that still takes it. A segment tree over the remain
 capacities finds that bin in logarithmic time. A group leaves at most one bin badly
 filled, so the total is within about one sequence per ``GROUP`` pieces of one single packing.
 
+Pieces that carry the slot of a mix (:func:`pack_mix`) are packed in stretches of slots
+instead, and sequence ids rise with the slots, so that the order of the sequences is the mix.
+
 Defined results: a null text is empty and has the closing id alone; a document longer
 than the capacity is cut into full pieces and a rest; every row is packed, also rows
 that repeat; a null ``doc_id`` is kept. An empty table gives an empty result. Extra
@@ -36,6 +39,8 @@ CAPACITY = 4096
 CLOSING_ID = 1
 #: Pieces that one group packs together.
 GROUP = 1 << 16
+#: Slots of a mix that are packed together.
+STRETCH = 64
 #: Words whose ids a Python worker remembers before it forgets those out of use.
 MEMO_WORDS = 250_000
 #: What the tokenizer parts from letters before it, whatever follows: none begins a contraction.
@@ -146,36 +151,44 @@ class WordIds:
         return flat[where], np.concatenate(([0], ends))[np.cumsum(per_text)]
 
 
-def _cut(path: str, capacity: int, with_ids: bool) -> Callable:
+def _cut(path: str, capacity: int, with_ids: bool, keep: tuple[str, ...] = ()) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_memo(f"ids {path}", lambda: WordIds(path))
         for batch in text_slices(batches):
             ids, ends = coder.of_texts(filled(batch.column("text")))
-            rows, begin = [], 0
+            rows, begin, owner = [], 0, []
             closing = np.array([CLOSING_ID], "<u4")
-            for doc_id, end in zip(batch.column("doc_id").to_pylist(), ends.tolist()):
+            for row, (doc_id, end) in enumerate(zip(batch.column("doc_id").to_pylist(), ends.tolist())):
                 own = np.concatenate((ids[begin:end], closing))
                 begin = end
                 for piece, start in enumerate(range(0, len(own), capacity)):
                     part = own[start : start + capacity]
                     raw = part.tobytes()
+                    owner.append(row)
                     rows.append((doc_id, piece, start, len(part), zlib.crc32(raw), raw if with_ids else None))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             columns = list(zip(*rows)) if rows else [()] * 6
             n = 6 if with_ids else 5
+            kept = [batch.column(c).take(pa.array(owner, pa.int64())) for c in keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns[:n], kinds[:n])], names=names[:n]
+                [*(pa.array(c, k) for c, k in zip(columns[:n], kinds[:n])), *kept], names=[*names[:n], *keep]
             )
 
     return cut
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32[, ids])``; ``ids`` are little-endian unsigned 32-bit numbers."""
+def pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32[, ids])``; ``ids`` are little-endian unsigned 32-bit numbers.
+
+    Whole numbers of the document in the columns ``keep`` follow.
+    """
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    rows = only(docs, doc_id="bigint", text="string")
-    return rows.mapInArrow(_cut(tokenizer, capacity, with_ids), schema + (", ids binary" if with_ids else ""))
+    schema += (", ids binary" if with_ids else "") + "".join(f", {c} bigint" for c in keep)
+    rows = only(docs, doc_id="bigint", text="string", **dict.fromkeys(keep, "bigint"))
+    return rows.mapInArrow(_cut(tokenizer, capacity, with_ids, keep), schema)
 
 
 class CapacityTree:
@@ -253,6 +266,31 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     return dealt.groupBy("part").applyInPandas(place, schema)
 
 
+def pack_mix(parts: DataFrame, capacity: int = CAPACITY, stretch: int = STRETCH) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to pieces with ``slot`` and ``place``, which go.
+
+    Each stretch of slots is packed on its own. Its sequences are numbered by the mean slot
+    of their ids, so that sequences in the order of their ids follow the mix.
+    """
+
+    def place(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(
+            ["length", "slot", "place", "doc_id", "piece"], ascending=[False, True, True, True, True], kind="stable"
+        )
+        lengths = frame["length"].to_numpy()
+        bins, frame["offset"] = best_fit_decreasing(lengths, capacity)
+        mean = np.bincount(bins, frame["slot"].to_numpy() * lengths) / np.bincount(bins, lengths)
+        rank = np.empty(len(mean), np.int64)
+        rank[np.argsort(mean, kind="stable")] = np.arange(len(mean))
+        frame["sequence_id"] = (int(frame["part"].iloc[0]) << 40) + rank[bins]
+        return frame.drop(columns=["part", "slot", "place"])
+
+    fields = [f for f in parts.schema.fields if f.name not in ("slot", "place")]
+    schema = StructType(fields).add("offset", LongType()).add("sequence_id", LongType())
+    dealt = parts.withColumn("part", F.floor(F.col("slot") / stretch).cast("bigint"))
+    return dealt.groupBy("part").applyInPandas(place, schema)
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """``(sequence_id, length, doc_ids, ids)`` of packed pieces with ids; at most a capacity of ids each."""
     entry = F.struct("offset", "doc_id", F.hex("ids").alias("ids"))

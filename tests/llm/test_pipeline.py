@@ -64,6 +64,30 @@ def test_stages_follow_each_other(spark, tables):
     check_packed(rows, 4096)
 
 
+def test_sequences_keep_the_mix(spark):
+    """Sources of 9 to 1 documents, but by the square root 3 to 1, until one runs out."""
+    rng = random.Random(7)
+    rows = [(i, sentence(rng, 4000), "en", "a" if i % 10 else "b", 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mix = materialize(corpus_pipeline.mixed(spark, docs, ""), "mix").repartition(5)
+    got = corpus_pipeline.packed(spark, mix, "").collect()
+    check_packed(got, 4096)
+    assert {r.doc_id for r in got} == set(range(1200))
+    ordered = sorted(got, key=lambda r: r.sequence_id)
+    total = {s: sum(r.length for r in got if (r.doc_id % 10 == 0) == (s == "b")) for s in "ab"}
+    ids = {"a": 0, "b": 0}
+    checked = 0
+    for n, (r, after) in enumerate(zip(ordered, ordered[1:])):
+        ids["ab"[r.doc_id % 10 == 0]] += r.length
+        whole = ids["a"] + ids["b"]
+        if ids["b"] > 0.95 * total["b"]:
+            break
+        if r.sequence_id != after.sequence_id and whole > 0.1 * sum(total.values()):
+            assert ids["b"] / whole == pytest.approx(0.25, abs=0.05)
+            checked += 1
+    assert checked > 20
+
+
 def test_run_gives_what_the_stages_give(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
