@@ -63,7 +63,8 @@ class WordIds:
     The tokenizer drops white space and never joins across it, so that the ids of a text
     are those of its words in a row. Each distinct word is encoded once and remembered;
     the ids of all of them lie in one array. Words are looked up in ASCII lower case, as
-    the tokenizer lowers them anyway.
+    the tokenizer lowers them anyway; only those with ``<|`` as they are spelt, as special
+    tokens are matched before.
     """
 
     #: Letters that normalisation changes in no other way than by lowering each alone.
@@ -137,8 +138,12 @@ class WordIds:
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row, and where each text ends."""
-        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        coded = words.flatten().dictionary_encode()
+        words = pc.ascii_split_whitespace(texts)
+        spelt = words.flatten()
+        flat = pc.ascii_lower(spelt)
+        if pc.any(pc.match_substring(texts, "<|")).as_py():
+            flat = pc.if_else(pc.match_substring(spelt, "<|"), spelt, flat)
+        coded = flat.dictionary_encode()
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         numbers = np.array(self.of_words(coded.dictionary.to_pylist()), np.int64)
         number = numbers[coded.indices.to_numpy(zero_copy_only=False)]

@@ -42,6 +42,14 @@ def test_ids_are_those_of_the_tokenizer(tokenizer, coder, texts):
         begin = end
 
 
+def test_special_tokens_are_matched_as_they_are_spelt(tokenizer, coder):
+    texts = ["a <|EndOfText|> b", "<|ENDOFTEXT|>", "The<|endoftext|>END", "É<| <|startofTEXT|>. <|startoftext|>A", "No MARKS"]
+    for text in texts:
+        assert coder.of_texts(pa.array([text]))[0].tolist() == direct(tokenizer, text)
+    together = [i for text in texts for i in direct(tokenizer, text)]
+    assert coder.of_texts(pa.array(texts))[0].tolist() == together
+
+
 def test_memory_of_words_is_bounded(tokenizer, coder, monkeypatch):
     monkeypatch.setattr(packing, "MEMO_WORDS", 5)
     texts = [f"word{i}, other{i}. the a of" for i in range(9)]
