@@ -1,8 +1,8 @@
-"""Exact duplicates by a tree merge of sorted digest runs.
+"""Exact duplicates by a tree of aggregations of digest runs.
 
 Every partition holds a run of digests. In each round ``fan_in`` neighbouring runs
-are merged into one: sorted by digest, equal digests become one entry that keeps
-the best row. A digest that a third of all rows share is thus one entry per run
+become one by a Spark aggregation by run and digest, in which equal digests become one
+entry that keeps the best row; the code sorts no run itself. A digest that a third of all rows share is thus one entry per run
 before the first exchange and at most ``fan_in`` entries at any later merge.
 
 Defined results: a null text counts as empty, and all empty texts are equal. A null
