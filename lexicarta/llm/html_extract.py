@@ -291,7 +291,7 @@ def article(root: Element) -> list[Element]:
             if node.name == "article":
                 break
         node = node.parent
-    if best.parent is None or best.name in ("body", "article", "main"):
+    if best.parent is None or best.name in ("body", "main"):
         return [best]
     limit, found = max(10.0, 0.2 * rank(best)), []
     for node in best.parent.children:

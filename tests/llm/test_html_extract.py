@@ -67,3 +67,13 @@ def test_awkward_rows(spark):
         (str(r.page_id), str(r.url), r.text) for r in got
     ) == sorted([("1", "None", ""), ("None", "u", "x, y"), ("2", "v", ""), ("2", "v", "")])
     assert extracted(pages.limit(0)).count() == 0
+
+
+def test_sibling_articles_belong_together():
+    def part(name):
+        lines = [f"{name} line {i}, a sentence with commas, long enough to count, and to end here." for i in range(5)]
+        return lines, "<article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>"
+
+    (a, first), (b, second) = part("First"), part("Second")
+    page = f"<html><body><div>{first}{second}</div><div><a href='x'>other pages</a></div></body></html>"
+    assert main_text(page).split("\n") == a + b
