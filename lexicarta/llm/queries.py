@@ -18,6 +18,7 @@ from lexicarta.llm import (
     quality_classifier,
     quality_rules,
     warc,
+    whitening,
 )
 from lexicarta.llm.common import table
 from lexicarta.llm.labelled import held_out
@@ -110,6 +111,12 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """A deviation that no long can hold, which takes very many vectors, is null."""
+    found = whitening.whitened(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -121,6 +128,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
