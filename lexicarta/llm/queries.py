@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicarta.llm import (
+    alignment,
     chat_format,
     exact_dedup,
     html_extract,
@@ -117,6 +118,13 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.aligned(table(spark, folder, "documents"), *paths)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -129,6 +137,7 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_whitening": op11_whitening,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
