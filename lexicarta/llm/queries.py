@@ -18,6 +18,7 @@ from lexicarta.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    suffix_dedup,
     warc,
     whitening,
 )
@@ -118,6 +119,10 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
 
 
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, folder, "documents"))
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -137,6 +142,7 @@ QUERIES: dict[str, Query] = {
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_whitening": op11_whitening,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_alignment": op13_alignment,
 }
 
