@@ -4,8 +4,8 @@ Both tokenizers read the same bytes, a space and the text: A is a byte-level BPE
 sentencepiece model that adds the space itself. Where a token of A and one of B end at the
 same byte, the text is cut into groups; a pair of tokens whose bytes overlap is a link.
 
-* A task takes a few megabytes of documents at a time. Ids are one Arrow list column per
-  tokenizer: flattened, with the row of each token as parent index, and with the cumulative
+* A task takes a few megabytes of documents at a time and encodes every distinct word of
+  them once. Ids are one Arrow list column per tokenizer: flattened, with the row of each token as parent index, and with the cumulative
   sum of the byte lengths, less what came before the row, as end of each token.
 * An Acero hash join of both sides on row and end finds the cuts.
 * Two neighbouring ends, of either side, enclose bytes of one token of A and one of B, and
@@ -29,7 +29,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,13 @@ from lexicarta.session import materialize
 #: Bytes of text whose pairs are counted together.
 SLICE_BYTES = 4 << 20
 #: Bytes of text given to a tokenizer at once; its own records are many times as large.
-ENCODE_BYTES = 256 << 10
+ENCODE_BYTES = 64 << 10
+#: What a sentencepiece model reads as a space.
+SPACE_MARK = "\u2581"
+#: The first character behind the Latin blocks, in which all versions of Unicode have the same letters.
+BEYOND_LATIN = "\u0250"
+#: Fixed value: how a byte-level vocabulary splits a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Documents of a slice in one row, or one pair of a slice.
 SCHEMA = (
@@ -101,24 +107,103 @@ class Tokenizers:
         self.of_a = Vocabulary(spelt)
         self.of_b = Vocabulary([self._piece(i) for i in range(self.b.get_piece_size())])
         self.followed = pa.array(self.of_a.followed + self.of_b.followed, pa.large_string())
+        self.merger = self._merger(told, spelt)
+
+    def _merger(self, told: dict, spelt: list[bytes]):
+        """The merges of A on bytes, if it is a byte-level BPE whose ids are the ranks of its merges."""
+        import tiktoken
+
+        model, split = told["model"], told["pre_tokenizer"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        first = len(model["vocab"]) - len(merges)
+        ranked = all(model["vocab"].get(a + b) == first + i for i, (a, b) in enumerate(merges))
+        plain = split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        if not (ranked and plain) or told["normalizer"] or model.get("ignore_merges") or model.get("dropout"):
+            return None
+        ranks = {spelt[i]: i for i in model["vocab"].values()}
+        return tiktoken.Encoding("merges", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def _piece(self, number: int) -> bytes:
         piece = self.b.id_to_piece(number)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(number) else piece.replace("▁", " ").encode()
 
-    def encoded(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        """The ids of both as list columns, a bounded number of bytes at a time."""
-        found: tuple[list, list] = ([], [])
-        at, size = 0, 0
-        for i, text in enumerate(texts):
-            size += 4 * len(text)
-            if size >= ENCODE_BYTES or i + 1 == len(texts):
-                some = texts[at : i + 1]
-                spaced = self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
-                found[0].append(pa.array([e.ids if t else [] for e, t in zip(spaced, some)], pa.list_(pa.int32())))
-                found[1].append(pa.array(self.b.encode(some, num_threads=1), pa.list_(pa.int32())))
-                at, size = i + 1, 0
-        return tuple(pa.concat_arrays(f) if f else pa.array([], pa.list_(pa.int32())) for f in found)
+    def encoded(self, texts: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+        """The ids of both as list columns; words that texts share are encoded once.
+
+        Neither tokenizer joins across a space that stands between two other characters, so the ids of
+        a text are those of its words, each with the space before it. A text with other spaces
+        is one piece as it is.
+        """
+        words = pc.split_pattern(texts, " ")
+        coded = pc.list_flatten(words).dictionary_encode()
+        odd = np.array([not w or w[0].isspace() or SPACE_MARK in w for w in coded.dictionary.to_pylist()], dtype=bool)
+        other = np.zeros(len(texts), dtype=bool)
+        if odd.any():
+            at = odd[coded.indices.to_numpy(zero_copy_only=False)]
+            other[pc.list_parent_indices(words).to_numpy()[at]] = True
+            whole = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), texts)
+            words = pc.if_else(pa.array(other), whole, words)
+            coded = pc.list_flatten(words).dictionary_encode()
+        pieces = coded.dictionary
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+        found = []
+        for encode in (self._encode_a, self._encode_b):
+            lists = _bounded(pieces, encode)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.list_flatten(lists).to_numpy()
+            counts = sizes[index]
+            reach = np.cumsum(counts)
+            at = np.arange(int(counts.sum())) + np.repeat((np.cumsum(sizes) - sizes)[index] - (reach - counts), counts)
+            offsets = np.concatenate([[0], np.concatenate([[0], reach])[ends]]).astype(np.int32)
+            found.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[at])))
+        return found[0], found[1]
+
+    def _encode_a(self, pieces: list[str]) -> pa.ListArray:
+        """Words are encoded as one text, and parted by their bytes, which the tokens spell.
+
+        Where letters, digits and white space are those of the Latin blocks, a merger of the same vocabulary
+        that is faster gives the same ids; the others go through the tokenizer itself.
+        """
+        if any(not p or " " in p or p[0].isspace() for p in pieces):
+            lists = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+            return pa.array(lists, pa.list_(pa.int32()))
+        latin = np.array([p.isascii() or max(p) < BEYOND_LATIN for p in pieces])
+        found, sizes = [], np.zeros(len(pieces), dtype=np.int64)
+        for merged in (True, False):
+            some = np.flatnonzero(latin == merged)
+            if not len(some):
+                continue
+            joined = "".join(" " + pieces[i] for i in some)
+            if merged and self.merger:
+                ids = self.merger.encode_ordinary(joined)
+            else:
+                ids = self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+            ids = np.array(ids, dtype=np.int32)
+            stops = np.cumsum([1 + len(pieces[i].encode()) for i in some])
+            ends = np.searchsorted(np.cumsum(self.of_a.lengths[ids]), stops, side="right")
+            sizes[some] = np.diff(ends, prepend=0)
+            found.append((some, ids, ends))
+        offsets = np.append(0, np.cumsum(sizes))
+        flat = np.empty(int(offsets[-1]), dtype=np.int32)
+        for some, ids, ends in found:
+            n = sizes[some]
+            flat[np.arange(len(ids)) + np.repeat(offsets[some] - (ends - n), n)] = ids
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+
+    def _encode_b(self, pieces: list[str]) -> pa.ListArray:
+        return pa.array(self.b.encode(pieces, num_threads=1), pa.list_(pa.int32()))
+
+
+def _bounded(pieces: pa.Array, encode: Callable[[list[str]], pa.ListArray]) -> pa.ListArray:
+    """The ids of the pieces, a bounded number of bytes at a time."""
+    reach = np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+    found, at = [], 0
+    while at < len(pieces):
+        stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + ENCODE_BYTES, side="right")))
+        found.append(encode(pieces.slice(at, stop - at).to_pylist()))
+        at = stop
+    return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
 
 
 class Side:
@@ -163,16 +248,34 @@ def spelling(texts: list[str], a: Side, b: Side, tools: Tokenizers) -> np.ndarra
 
 
 def cuts(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
-    """``(document, end)`` of the bytes where tokens of both sides end, in order."""
-    tables = (pa.table({"doc": side.parent, "end": side.ends()}) for side in (a, b))
-    left, right = tables
+    """``(document, end over the slice)`` of the bytes where tokens of both sides end, in order."""
+    left, right = (
+        pa.table({"doc": side.parent.astype(np.int32), "end": side.ends().astype(np.int32)}) for side in (a, b)
+    )
     met = left.join(right, ["doc", "end"], join_type="inner", use_threads=False)
-    doc, end = met["doc"].to_numpy(), met["end"].to_numpy()
-    order = np.lexsort((end, doc))
-    return doc[order], end[order]
+    doc = met["doc"].to_numpy()
+    stops = a.before()[doc] + met["end"].to_numpy()
+    order = np.argsort(stops)
+    return doc[order], stops[order]
+
 
+def linked(a: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of both sides that hold the bytes before each end of either, in order.
 
-def written_groups(a: Side, b: Side, tools: Tokenizers, cut_doc: np.ndarray, cut_end: np.ndarray, n_docs: int) -> list[str]:
+    Tokens are not empty, so ends over the slice tell documents apart.
+    """
+    both = np.concatenate([a.reach, b.reach])
+    if not len(both):
+        return both, both
+    order = np.argsort(both, kind="stable")  # two rising runs are merged
+    reach, of_a = both[order], order < len(a.reach)
+    first = np.flatnonzero(np.append(True, reach[1:] != reach[:-1]))
+    ends_a = of_a[first]
+    ends_b = ~of_a[np.append(first[1:], len(reach)) - 1]
+    return np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+
+
+def written_groups(a: Side, b: Side, tools: Tokenizers, stops: np.ndarray, n_docs: int) -> list[str]:
     """The digest of ``a1,a2|b1;a3|b2,b3`` for each document; empty without tokens.
 
     Every id is taken with the separator that follows it, in the order of the text, so that
@@ -181,7 +284,6 @@ def written_groups(a: Side, b: Side, tools: Tokenizers, cut_doc: np.ndarray, cut
     digests = [""] * n_docs
     if not len(a.ids):
         return digests
-    stops = a.before()[cut_doc] + cut_end  # over the whole slice; both sides spell the same bytes
     group_a, group_b = (np.searchsorted(stops, side.reach) for side in (a, b))
     last_a, last_b = (np.append(group[1:] != group[:-1], True) for group in (group_a, group_b))
     upto_a, upto_b = (np.searchsorted(group, np.arange(len(stops)), side="right") for group in (group_a, group_b))
@@ -224,26 +326,27 @@ def _batch(number: int, kind: str, rows: int, **columns) -> pa.RecordBatch:
 
 def aligned_slice(number: int, part: pa.RecordBatch, tools: Tokenizers) -> Iterator[pa.RecordBatch]:
     """A row with the documents of a slice, and a row for each of its pairs."""
-    texts = pc.fill_null(part.column("text"), "").to_pylist()
-    lists = tools.encoded(texts)
+    column = pc.fill_null(part.column("text"), "")
+    texts = column.to_pylist()
+    lists = tools.encoded(column)
     a, b = Side(lists[0], tools.of_a), Side(lists[1], tools.of_b)
     same = spelling(texts, a, b, tools)
     if not same.all():
         none = pa.scalar([], pa.list_(pa.int32()))
         a, b = (Side(pc.if_else(pa.array(same), side, none), v) for side, v in zip(lists, (tools.of_a, tools.of_b)))
     n = len(texts)
-    cut_doc, cut_end = cuts(a, b)
-    digests = written_groups(a, b, tools, cut_doc, cut_end, n)
-    ends = np.union1d(a.reach, b.reach)  # tokens are not empty, so ends over the slice tell documents apart
-    at_a, at_b = np.searchsorted(a.reach, ends), np.searchsorted(b.reach, ends)
-    ids_a, ids_b = a.ids.to_numpy()[at_a], b.ids.to_numpy()[at_b]
-    key = ids_a.astype(np.int64) << 32 | ids_b
-    counted = pa.table({"pair": key}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
-    pairs, counts = counted["pair"].to_numpy(), counted["count_all"].to_numpy()
+    cut_doc, stops = cuts(a, b)
+    digests = written_groups(a, b, tools, stops, n)
+    at_a, at_b = linked(a, b)
+    key = a.ids.to_numpy()[at_a].astype(np.int64) << 32 | b.ids.to_numpy()[at_b]
+    coded = pa.array(key).dictionary_encode()
+    counted = pa.table({"pair": coded.indices}).group_by("pair", use_threads=False).aggregate([([], "count_all")])
+    pairs, counts = coded.dictionary.to_numpy()[counted["pair"].to_numpy()], counted["count_all"].to_numpy()
     order = np.lexsort((pairs, -counts))
+    place = np.empty(len(pairs), dtype=np.int64)
+    place[counted["pair"].to_numpy()[order]] = np.arange(len(pairs))
     pairs, counts = pairs[order], counts[order]
-    sorted_at = np.argsort(pairs)
-    links = sorted_at[np.searchsorted(pairs, key, sorter=sorted_at)] if len(key) else key
+    links = place[coded.indices.to_numpy(zero_copy_only=False)] if len(key) else key
     per_doc = {
         "doc_id": part.column("doc_id"),
         "n_a": pa.array(a.counts),

@@ -1,5 +1,6 @@
 import bisect
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -117,6 +118,31 @@ def test_no_rows(spark, make_docs):
     ]
 
 
+def test_words_alone_are_the_whole_text(models):
+    """Spaces of every kind, between words and marks of every kind."""
+    tools = alignment.Tokenizers(A_PATH, B_PATH)
+    rng = random.Random(9)
+    parts = [" ", " ", " ", "  ", "\n", " \n", "\n ", "\t", "\u00a0", "\u2003", "a", "it's", "'s", "é", "12", "3a", "...", "日本", "▁", "<|endoftext|>", "\x1f", "word"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(3000)]
+    a, b = tools.encoded(alignment.pa.array(texts))
+    assert a.to_pylist() == [models[0].encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert b.to_pylist() == models[1].encode(texts)
+
+
+def test_merges_are_those_of_the_tokenizer(folder, models):
+    """Every word of the documents, and random ones of the Latin blocks."""
+    import pyarrow.parquet as pq
+
+    tools = alignment.Tokenizers(A_PATH, B_PATH)
+    assert tools.merger is not None
+    rng = random.Random(4)
+    words = {w for t in pq.read_table(f"{folder}/documents.parquet")["text"].to_pylist() for w in t.split(" ")}
+    words |= {"".join(chr(rng.choice([rng.randint(33, 127), rng.randint(0, 0x24F)])) for _ in range(rng.randint(1, 12))) for _ in range(30_000)}
+    words = sorted(w for w in words if w and " " not in w and not w[0].isspace())
+    found = alignment._bounded(alignment.pa.array(words), tools._encode_a)
+    assert found.to_pylist() == [models[0].encode(" " + w, add_special_tokens=False).ids for w in words]
+
+
 def test_packed_numbers():
     for numbers in ([], [0], [5, 1 << 31, 70_000, 3]):
         found = alignment.unpacked(alignment.packed(alignment.np.array(numbers, dtype="int64")))
