@@ -1,8 +1,8 @@
 import random
 
 from lexicarta.operators.categories import category_documents
-from lexicarta.operators.ids import contiguous_index, label_ranges
-from lexicarta.operators.labels import label_by_range
+from lexicarta.operators.ids import contiguous_index, label_ranges, ranked_in_groups
+from lexicarta.operators.labels import carried_forward, label_by_range
 
 
 def test_contiguous_index_follows_the_order(spark):
@@ -35,12 +35,14 @@ def test_label_by_range_edges(spark):
         "category string, label_id int, start_id bigint, stop_id bigint",
     )
     docs = spark.createDataFrame([(i,) for i in range(0, 35)], "doc_id bigint")
-    for bucket in (None, 4, 1 << 20):
-        found = {
-            r["doc_id"]: (r["split"], r["label"], r["category"])
-            for r in label_by_range(docs, ranges, bucket).collect()
-        }
-        assert len(found) == 35
+    wide = docs.selectExpr("doc_id", "concat('t', doc_id) AS text", "'old' AS category")
+    flat = docs.selectExpr("doc_id", "doc_id * 2 AS twice")
+    for some in (docs, wide, flat):
+        rows = label_by_range(some, ranges).collect()
+        found = {r["doc_id"]: (r["split"], r["label"], r["category"]) for r in rows}
+        assert len(rows) == len(found) == 35
+        assert all(r["text"] == f"t{r['doc_id']}" for r in rows if "text" in r)
+        assert all(r["twice"] == 2 * r["doc_id"] for r in rows if "twice" in r)
         assert found[0] == found[9] == ("test", None, None)
         assert found[10] == found[19] == ("train", 0, "x")
         assert found[20] == ("train", 1, "y")
@@ -97,3 +99,54 @@ def test_many_small_ranges_meet_few_documents(spark):
     ranges = spark.range(n).selectExpr("'c' AS category", "cast(id + 1 AS int) AS label_id", "id AS start_id", "id AS stop_id")
     found = label_by_range(spark.range(n).withColumnRenamed("id", "doc_id"), ranges)
     assert found.where("label = doc_id").count() == n
+
+
+def test_uneven_ranges_cost_no_more_than_even_ones(spark):
+    """One wide range beside many of one id: each id meets its own range, and no pairs are formed."""
+    n = 80_000
+    narrow = spark.range(n).selectExpr("'c' AS category", "cast(id + 1 AS int) AS label_id", "id AS start_id", "id AS stop_id")
+    wide = spark.createDataFrame(
+        [("w", n + 1, n, 100 * n)], "category string, label_id int, start_id bigint, stop_id bigint"
+    )
+    docs = spark.range(n + 10).withColumnRenamed("id", "doc_id")
+    found = label_by_range(docs, narrow.unionByName(wide))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.lower()
+    seen = found.selectExpr("count_if(label = least(doc_id, 80000)) AS right", "count(*) AS n").first()
+    assert (seen["right"], seen["n"]) == (n + 10, n + 10)
+
+
+def test_repeated_and_missing_ids_keep_their_rows(spark):
+    ranges = spark.createDataFrame([("x", 1, 2, 3)], "category string, label_id int, start_id bigint, stop_id bigint")
+    rows = [(2, "a"), (2, "b"), (None, "c"), (None, "d"), (1, "e"), (9, "f")]
+    for kind in ("string", "int"):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        docs = docs if kind == "string" else docs.selectExpr("doc_id", "ascii(text) AS text")
+        found = sorted((r["doc_id"] or 0, r["split"] or "", r["category"] or "") for r in label_by_range(docs, ranges).collect())
+        assert found == [(0, "", ""), (0, "", ""), (1, "test", ""), (2, "train", "x"), (2, "train", "x"), (9, "", "")]
+
+
+def test_no_ranges_and_no_documents(spark):
+    ranges = spark.createDataFrame([], "category string, label_id int, start_id bigint, stop_id bigint")
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+    assert [tuple(r)[1:] for r in label_by_range(docs, ranges).collect()] == [(None, None, None)] * 2
+    assert label_by_range(docs.limit(0), ranges).collect() == []
+
+
+def test_carried_forward_across_partitions(spark):
+    rows = [(i, i if i % 100 == 50 else None) for i in range(1000)]
+    events = spark.createDataFrame(rows, "at int, value int").repartition(5)
+    found = {r["at"]: r["value"] for r in carried_forward(events, ["at"], "value").collect()}
+    want, last = {}, None
+    for at, value in rows:
+        last = value if value is not None else last
+        want[at] = last
+    assert found == want
+
+
+def test_ranks_inside_groups(spark):
+    rows = [("hot" if i % 5 else None, i * 7 % 1000) for i in range(1000)]
+    found = ranked_in_groups(spark.createDataFrame(rows, "g string, v int").repartition(4), "g", ["v"]).collect()
+    for group in ("hot", None):
+        own = sorted(v for g, v in rows if g == group)
+        assert {r["v"]: r["rank"] for r in found if r["g"] == group} == {v: i + 1 for i, v in enumerate(own)}
