@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexicarta.operators.features import TOP, top_per_group
-from lexicarta.session import scratch_path
+from lexicarta.operators.ids import ranked_in_groups
+from lexicarta.session import materialize, scratch_path
 
 # Fixed values of the topic report.
 TOPICS = 7
@@ -51,6 +54,82 @@ def fit_topics(
     return model
 
 
+@dataclass(frozen=True)
+class TopicFit:
+    """A fit by expectation maximisation, and what it ends with.
+
+    ``vertices(id, weights)`` are those of its graph, written when the fit was saved: a document
+    is its number, a term ``-1 - term_id``; the weights, one per topic, are how the
+    occurrences are shared among the topics. ``numbers(doc_id, id)`` are the documents' numbers.
+    """
+
+    model: LDAModel
+    vertices: DataFrame
+    numbers: DataFrame
+
+
+def training_fit(
+    vectors: DataFrame,
+    k: int = TOPICS,
+    max_iter: int = 20,
+    seed: int = 17,
+    partitions: int | None = None,
+) -> TopicFit:
+    """Fit ``k`` topics on ``(doc_id, features)`` and keep the graph the fit ends with.
+
+    The fit numbers its documents by ``monotonically_increasing_id``. Its input is therefore
+    written, placed by document id, and read twice in the same splits: for the numbers and for the fit.
+    """
+    spark = vectors.sparkSession
+    if partitions is None:
+        partitions = max(spark.sparkContext.defaultParallelism, vectors.rdd.getNumPartitions())
+    placed = materialize(
+        vectors.repartition(partitions, "doc_id").sortWithinPartitions("doc_id"), "fit-input"
+    )
+    numbers = materialize(
+        placed.select("doc_id", F.monotonically_increasing_id().alias("id")), "fit-numbers"
+    )
+    lda = LDA(
+        k=k, maxIter=max_iter, seed=seed, optimizer="em", checkpointInterval=10, featuresCol="features"
+    )
+    model = lda.fit(placed)
+    path = scratch_path(spark, "topic-fit")
+    model.write().save(path)
+    saved = spark.read.parquet(f"{path}/oldModel/data/topicCounts")
+    return TopicFit(model, saved.select("id", vector_to_array("topicWeights").alias("weights")), numbers)
+
+
+def training_weights(fit: TopicFit) -> DataFrame:
+    """``(doc_id, weights array<double>)``: a document's occurrences by topic; none for documents without weights."""
+    documents = fit.vertices.where("id >= 0")
+    return fit.numbers.join(documents, "id").select("doc_id", "weights")
+
+
+def training_mixtures(fit: TopicFit) -> DataFrame:
+    """``(doc_id, mixture array<double>)`` as the fit ends, for the documents with weights (M2).
+
+    Unlike :func:`document_topics`, nothing is inferred anew.
+    """
+    total = F.aggregate("weights", F.lit(0.0), lambda sum_, w: sum_ + w)
+    return (
+        training_weights(fit)
+        .withColumn("total", total)
+        .where("total > 0")
+        .select("doc_id", F.transform("weights", lambda w: w / F.col("total")).alias("mixture"))
+    )
+
+
+def training_term_weights(fit: TopicFit) -> DataFrame:
+    """``(topic, term_id, weight)``: the share of a term in a topic, one row per term vertex and topic (M3)."""
+    shares = fit.vertices.where("id < 0").select(
+        (-F.col("id") - 1).cast("int").alias("term_id"), F.posexplode("weights").alias("topic", "part")
+    )
+    totals = shares.groupBy(F.col("topic").alias("of_topic")).agg(F.sum("part").alias("total"))
+    return shares.join(totals, F.col("topic") == F.col("of_topic")).select(
+        "topic", "term_id", (F.col("part") / F.col("total")).alias("weight")
+    )
+
+
 def document_topics(model: LDAModel, vectors: DataFrame) -> DataFrame:
     """``(doc_id, mixture array<double>)``, inferred from the fitted topics."""
     return model.transform(vectors).select(
@@ -112,12 +191,16 @@ def topic_terms(model: LDAModel, dictionary: DataFrame) -> DataFrame:
 
 
 def ranked_terms(weights: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The same of given ``(topic, term_id, weight)``; ties by term id."""
-    order = Window.partitionBy("topic").orderBy(F.col("weight").desc(), "term_id")
-    return (
-        weights.join(dictionary.select("term_id", "term"), "term_id")
-        .withColumn("rank", F.row_number().over(order))
-        .select("topic", "rank", "term_id", "term", "weight")
+    """The same of given ``(topic, term_id, weight)``; ties by term id.
+
+    Ranks come from one order over all topics, so that a topic's terms, which are the whole
+    dictionary, are neither in one task nor on the driver.
+    """
+    named = weights.join(dictionary.select("term_id", "term"), "term_id").withColumn(
+        "_order", -F.col("weight")
+    )
+    return ranked_in_groups(named, "topic", ["_order", "term_id"]).select(
+        "topic", F.col("rank").cast("int").alias("rank"), "term_id", "term", "weight"
     )
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LIST_TERMS = 100_000
+
 
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("value").write.mode("overwrite").text(path)
@@ -130,9 +132,17 @@ def topic_top_document_lines(top: DataFrame) -> DataFrame:
     )
 
 
-def topic_description_lines(terms: DataFrame) -> DataFrame:
-    """``Topic i:`` and a line with all its words."""
-    words = _each(F.col("items"), lambda i: i["term"], " ")
-    return _ranked(terms, "term").select(
-        F.concat(_heading(F.col("topic"), "\n"), words, F.lit("\n")).alias("value")
+def topic_description_lines(terms: DataFrame, list_terms: int = LIST_TERMS) -> DataFrame:
+    """``Topic i:`` and a line with all its words.
+
+    A topic of more than ``list_terms`` words comes in parts of that many, each with the heading,
+    which follow each other by rank.
+    """
+    parts = (
+        terms.withColumn("part", F.expr(f"(rank - 1) div {list_terms}"))
+        .groupBy("topic", "part")
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("items"))
+        .orderBy("topic", "part")
     )
+    words = _each(F.col("items"), lambda i: i["term"], " ")
+    return parts.select(F.concat(_heading(F.col("topic"), "\n"), words, F.lit("\n")).alias("value"))

@@ -4,6 +4,7 @@ import pytest
 
 from lexicarta.functions.vectors import stored_entries, stored_vectors
 from lexicarta.operators import topics as M
+from lexicarta.sources.writers import topic_description_lines
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -107,6 +108,97 @@ def test_topic_terms(fitted):
     assert (second_group[0] > second_group[1]) == (mixture[0] > mixture[1])
 
 
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Two topics of four words, one word of both, and two documents without weights."""
+    rows = [(2 * i, [(j, 1.0 + (i + j) % 3) for j in range(4)] + [(8, 0.5)]) for i in range(20)]
+    rows += [(2 * i + 1, [(j, 1.0 + (i * j) % 4) for j in range(4, 8)] + [(8, 1.5)]) for i in range(12)]
+    rows += [(100, [(0, 5.0), (4, 5.0)]), (101, []), (102, [(3, 0.0)])]
+    df = spark.createDataFrame(rows, "doc_id bigint, entries array<struct<term_id:int,weight:double>>")
+    words = spark.createDataFrame([(f"w{i}", i) for i in range(9)], "term string, term_id int")
+    return rows, stored_vectors(df.repartition(3), 9), words
+
+
+def test_training_mixtures(spark, planted):
+    rows, vectors, _ = planted
+    fit = M.training_fit(vectors, k=2, partitions=4)
+    weights = {r["doc_id"]: r["weights"] for r in M.training_weights(fit).collect()}
+    mixtures = {r["doc_id"]: r["mixture"] for r in M.training_mixtures(fit).collect()}
+    heavy = {i: sum(w for _, w in entries) for i, entries in rows if any(w for _, w in entries)}
+    assert set(mixtures) == set(heavy) == set(weights)
+    for i, total in heavy.items():
+        assert math.isclose(sum(weights[i]), total, rel_tol=1e-9), "each document meets its own vertex"
+        assert all(math.isclose(m, w / total, rel_tol=1e-9) for m, w in zip(mixtures[i], weights[i]))
+    topic = {i: m.index(max(m)) for i, m in mixtures.items()}
+    assert len({topic[2 * i] for i in range(20)}) == len({topic[2 * i + 1] for i in range(12)}) == 1
+    assert topic[0] != topic[1] and 0.2 < mixtures[100][0] < 0.8
+    assert all(max(mixtures[i]) > 0.6 for i in heavy if i != 100)
+
+
+def test_training_terms_are_the_described_ones(spark, planted):
+    _, vectors, words = planted
+    fit = M.training_fit(vectors, k=2, partitions=4)
+    own = M.ranked_terms(M.training_term_weights(fit), words)
+    found = {(r["topic"], r["term_id"]): r for r in own.collect()}
+    described = M.topic_terms(fit.model, words).collect()
+    assert set(found) == {(r["topic"], r["term_id"]) for r in described} and len(found) == 18
+    for r in described:
+        assert math.isclose(found[r["topic"], r["term_id"]]["weight"], r["weight"], rel_tol=1e-12)
+    for topic in (0, 1):
+        ranked = sorted((r for (t, _), r in found.items() if t == topic), key=lambda r: r["rank"])
+        assert [r["rank"] for r in ranked] == list(range(1, 10))
+        assert ranked == sorted(ranked, key=lambda r: (-r["weight"], r["term_id"]))
+        assert all(r["term"] == f"w{r['term_id']}" for r in ranked)
+
+
+def test_plain_expectation_maximisation_goes_on_alike(spark, planted):
+    """One plain step from the vertices after four iterations gives those after five."""
+    rows, vectors, _ = planted
+    k, alpha, eta = 2, 50 / 2 + 1, 1.1  # what the estimator takes for itself
+
+    def vertices(iterations):
+        fit = M.training_fit(vectors, k=k, max_iter=iterations, partitions=4)
+        docs = {r["doc_id"]: r["weights"] for r in M.training_weights(fit).collect()}
+        terms = {-r["id"] - 1: r["weights"] for r in fit.vertices.where("id < 0").collect()}
+        return docs, terms
+
+    docs, terms = vertices(4)
+    totals = [sum(t[j] for t in terms.values()) for j in range(k)]
+    new_docs = {i: [0.0] * k for i in docs}
+    new_terms = {w: [0.0] * k for w in terms}
+    for i, entries in rows:
+        for w, weight in entries:
+            if weight:
+                share = [
+                    (terms[w][j] + eta - 1) * (docs[i][j] + alpha - 1) / (totals[j] + (eta - 1) * 9) for j in range(k)
+                ]
+                for j in range(k):
+                    new_docs[i][j] += weight * share[j] / sum(share)
+                    new_terms[w][j] += weight * share[j] / sum(share)
+    after_docs, after_terms = vertices(5)
+    for mine, other in ((new_docs, after_docs), (new_terms, after_terms)):
+        assert set(mine) == set(other)
+        for key in mine:
+            assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(mine[key], other[key]))
+
+
+def test_ranks_of_a_topic_are_not_one_task(spark):
+    weights = spark.range(5000).selectExpr("cast(0 AS int) AS topic", "cast(id AS int) AS term_id", "cast(id % 7 AS double) AS weight")
+    words = spark.range(5000).selectExpr("cast(id AS int) AS term_id", "concat('w', id) AS term")
+    ranked = M.ranked_terms(weights, words)
+    assert "Window [row_number" not in ranked._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(ranked.collect(), key=lambda r: r["rank"])
+    assert [(r["rank"], r["term_id"]) for r in rows] == [
+        (n + 1, i) for n, i in enumerate(sorted(range(5000), key=lambda i: (-(i % 7), i)))
+    ]
+
+
+def test_descriptions_come_in_parts(spark):
+    terms = spark.createDataFrame([(t, r, f"w{r}") for t in (0, 1) for r in range(1, 8)], "topic int, rank int, term string")
+    lines = [r["value"] for r in topic_description_lines(terms, 3).collect()]
+    assert lines == [f"Topic{t}:\n{words}\n" for t in (0, 1) for words in ("w1 w2 w3 ", "w4 w5 w6 ", "w7 ")]
+
+
 def test_weightless_terms_fill_up(spark):
     terms = spark.createDataFrame(
         [(0, 1, 2, "c", 0.7), (0, 2, 0, "a", 0.3), (1, 1, 1, "b", 1.0)],
