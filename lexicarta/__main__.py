@@ -1,4 +1,4 @@
-"""``spark-submit ... -m lexicarta {extract,features,topics,run} --out FOLDER ...``"""
+"""``spark-submit ... -m lexicarta {extract,features,topics,run,append,merge} ...``"""
 
 from __future__ import annotations
 
@@ -26,6 +26,7 @@ TOPIC_OPTIONS = {
     "max_iter": dict(type=int, default=20),
     "seed": dict(type=int, default=17),
     "optimizer": dict(choices=["em", "online"], default="em"),
+    "mixtures": dict(choices=["training", "inferred"], default="training"),
 }
 
 
@@ -42,6 +43,18 @@ def parser() -> argparse.ArgumentParser:
     topics = commands.add_parser("topics", help="topic model and its reports")
     run = commands.add_parser("run", help="all three")
 
+    append = commands.add_parser("append", help="record files as the next batch of a store")
+    merge = commands.add_parser("merge", help="vectors and dictionary of all batches of a store")
+
+    append.add_argument("--layout", choices=["article", "patent"], required=True)
+    append.add_argument("--source", required=True)
+    append.add_argument("--compat", action="store_true")
+    merge.add_argument("--out", required=True)
+    for command in (append, merge):
+        command.add_argument("--store", required=True)
+        command.add_argument("--stop-words", dest="stop_words_path")
+    _add(append, {name: FEATURE_OPTIONS[name] for name in ("min_token", "clean_docs")})
+    _add(merge, {name: FEATURE_OPTIONS[name] for name in ("min_share", "threshold_by", "min_doc_frequency")})
     for command in (extract, run):
         command.add_argument("--layout", choices=["article", "patent"], required=True)
         command.add_argument("--source")

@@ -27,6 +27,13 @@ def stored_entries(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return stored.select(key, pairs.cast("array<struct<code:int,value:double>>").alias("entries"))
 
 
+def vector_indices(vectors: DataFrame, keep: list[str], vector: str) -> DataFrame:
+    """``(keep..., indices array<int>)`` of sparse vectors, written once."""
+    kept = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in keep)
+    stored = materialize(vectors.select(*keep, vector), "indices", f"{kept}, {vector} {_PARTS}")
+    return stored.select(*keep, F.col(f"{vector}.indices").alias("indices"))
+
+
 def stored_vectors(vectors: DataFrame, size: int) -> DataFrame:
     """``(doc_id, features)`` sparse vectors of ``(doc_id, entries)``, written once.
 

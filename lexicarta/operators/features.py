@@ -12,7 +12,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexicarta.functions.vectors import stored_entries
+from lexicarta.functions.vectors import stored_entries, vector_indices
 from lexicarta.operators.ids import contiguous_index
 from lexicarta.operators.vocabulary import (
     MIN_DOC_FREQUENCY,
@@ -20,6 +20,7 @@ from lexicarta.operators.vocabulary import (
     document_words,
     inverse_document_frequency,
     term_statistics,
+    vocabulary_words,
 )
 from lexicarta.session import materialize
 
@@ -29,6 +30,9 @@ TOP = 101  # fixed value: words reported per document and per topic
 #: vocabulary is joined instead, with the same results.
 MAX_MODEL_TERMS = 1 << 18
 
+#: Parts in which a group is ranked when more rows are asked for than Spark limits before a shuffle.
+SALTS = 32
+
 _GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 _TOP_TYPE = "array<struct<term:string,weight:double>>"
 
@@ -148,18 +152,57 @@ def _joined_features(docs, vocab, clean_docs, min_doc_frequency) -> tuple[DataFr
     return vectors, terms
 
 
-def top_per_group(df: DataFrame, group: str, weight: str, ties: str, n: int) -> DataFrame:
+def _ranked_up_to(df: DataFrame, groups: list, order: list, n: int) -> DataFrame:
+    window = Window.partitionBy(*groups).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
+
+
+def _weight_step(weight: Column) -> Column:
+    """A whole number that never falls as the weight rises: eighths of its binary logarithm."""
+    size = F.floor(F.least(F.log2(F.abs(weight)), F.lit(2000.0)) * 8).cast("int") + 10_000  # above zero for any double
+    return (
+        F.when(weight.isNull(), -(1 << 20))
+        .when(F.isnan(weight), 1 << 20)
+        .when(weight > 0, size)
+        .when(weight < 0, -size)
+        .otherwise(0)
+    )
+
+
+def heavy_enough(df: DataFrame, group: str, weight: str, n: int) -> DataFrame:
+    """The rows that can be among the ``n`` of most weight in their group.
+
+    Weights are counted in steps, which tasks add up before anything is shuffled; in each group the lowest step
+    that the first ``n`` reach is found, and rows below it leave where they are.
+    """
+    stepped = df.withColumn("_step", _weight_step(F.col(weight).cast("double")))
+    counts = stepped.groupBy(group, "_step").agg(F.count("*").alias("_n"))
+    above = Window.partitionBy(group).orderBy(F.col("_step").desc())  # the steps of a group: some thousands at most
+    before = F.sum("_n").over(above.rowsBetween(Window.unboundedPreceding, -1))
+    least = (
+        counts.withColumn("_before", F.coalesce(before, F.lit(0)))
+        .where(F.col("_before") < n)
+        .groupBy(F.col(group).alias("_group"))
+        .agg(F.min("_step").alias("_least"))
+    )
+    met = stepped.join(least, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_step") >= F.col("_least")))
+    return met.select(*df.columns)
+
+
+def top_per_group(df: DataFrame, group: str, weight: str, ties: str, n: int, salts: int = SALTS) -> DataFrame:
     """First ``n`` rows of each group by falling weight, with their ``rank``.
 
-    Spark keeps the first ``n`` per group of every task before the shuffle, so a
-    group of any size costs ``n`` rows per task. It does so up to a number that the
-    session sets, which is raised to ``n`` where it is lower.
+    Up to a number that the session sets, Spark keeps the first ``n`` per group of every task
+    before the shuffle. Beyond it, rows too light for the first ``n`` leave by their weight (:func:`heavy_enough`);
+    the rest, which may be many of equal weight, are ranked in ``salts`` parts of each group, and the
+    first ``n`` of each part together. So a group of any size is ranked by several tasks, and the session's
+    settings stay as they are.
     """
-    conf = df.sparkSession.conf
-    if n > int(conf.get(_GROUP_LIMIT)):
-        conf.set(_GROUP_LIMIT, str(n))
-    order = Window.partitionBy(group).orderBy(F.col(weight).desc(), F.col(ties))
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    order = [F.col(weight).desc(), F.col(ties)]
+    if n > int(df.sparkSession.conf.get(_GROUP_LIMIT)):
+        salted = heavy_enough(df, group, weight, n).withColumn("_salt", F.expr(f"pmod(xxhash64(`{ties}`), {salts})"))
+        df = _ranked_up_to(salted, [group, "_salt"], order, n).drop("_salt", "rank")
+    return _ranked_up_to(df, [group], order, n)
 
 
 def top_terms(weights: DataFrame, n: int = TOP, ties: str = "term") -> DataFrame:
@@ -221,6 +264,41 @@ def _joined_top_lists(vectors: DataFrame, terms: DataFrame, n: int, ties: str) -
     )
 
 
+def member_words(
+    docs: DataFrame, vocab: DataFrame, clean_docs: bool = False, max_model_terms: int = MAX_MODEL_TERMS
+) -> DataFrame:
+    """``(doc_id, words)``: vocabulary members in text order, repeats kept.
+
+    A count model finds the members in the row of their document, so nothing is shuffled. The words
+    are then filtered in their order. Members are dealt by hash into about as many lists as the square root
+    of the number of words, so that a word is compared with few of them. A vocabulary
+    beyond ``max_model_terms``, and an empty one, is joined instead, with the same result.
+    """
+    n_terms = vocab.count()
+    if not 0 < n_terms <= max_model_terms:
+        return vocabulary_words(docs, vocab, clean_docs)
+    model = counting_model(vocab, n_terms)
+    named = indexed_values(term_codes(vocab, model), "code", "term")
+    words = document_words(F.col("text"), clean_docs)
+    counted = model.transform(docs.select("doc_id", words.alias("words")))
+    lists = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("words")))).cast("int")
+    met = vector_indices(counted, ["doc_id", "words"], "tf").withColumn("names", named).select(
+        "doc_id",
+        "words",
+        lists.alias("lists"),
+        F.transform("indices", lambda i: F.get("names", i)["term"]).alias("members"),
+    )
+
+    def dealt(word: Column) -> Column:
+        return F.pmod(F.hash(word), F.col("lists"))
+
+    by_hash = F.transform(
+        F.sequence(F.lit(0), F.col("lists") - 1), lambda b: F.filter("members", lambda m: dealt(m) == b)
+    )
+    own = F.filter("words", lambda w: F.array_contains(F.get("by_hash", dealt(w)), w))
+    return met.withColumn("by_hash", by_hash).select("doc_id", own.alias("words"))
+
+
 def filled_with_unused(lists: DataFrame, terms: DataFrame, n: int = TOP) -> DataFrame:
     """Lists of ``n`` words: unused ones of weight zero follow in dictionary order.
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.clustering import LDAModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexicarta.functions.text import clean_text, split_words
 from lexicarta.functions.vectors import stored_entries, stored_vectors
+from lexicarta.operators import batches as B
 from lexicarta.operators import features as X
 from lexicarta.operators import topics as M
 from lexicarta.operators import vocabulary as V
@@ -38,6 +39,7 @@ from lexicarta.sources.tables import documents, table, tagged_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
+TOTAL_DIGITS = 3  # of sums of weights
 GIVEN_TOPICS = 64  # width of the given matrix
 CHUNK_CHARS = 50_000  # small, so that the test tables have categories of several chunks
 
@@ -108,15 +110,19 @@ def doc_ids(spark: SparkSession, folder: str) -> DataFrame:
     return contiguous_index(keys, ["source", "doc_id"], "new_id")
 
 
-def _numbered(spark: SparkSession, folder: str) -> DataFrame:
-    """``(old_id, doc_id, is_train, category, text)``: labelled documents are the training set."""
+def _flagged(spark: SparkSession, folder: str) -> DataFrame:
+    """``(old_id, is_train, category, text)``: labelled documents are the training set."""
     docs = documents(spark, folder).withColumnRenamed("doc_id", "old_id")
     labelled = table(spark, folder, "labels").select(
         F.col("doc_id").alias("old_id"), F.lit(True).alias("is_train")
     ).distinct()
-    flagged = docs.join(labelled, "old_id", "left").withColumn(
-        "is_train", F.coalesce("is_train", F.lit(False))
-    )
+    return docs.join(labelled, "old_id", "left").withColumn("is_train", F.coalesce("is_train", F.lit(False)))
+
+
+def _numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with ``doc_id``, contiguous over the source documents and then the training set."""
+    flagged = _flagged(spark, folder)
+    docs = documents(spark, folder).withColumnRenamed("doc_id", "old_id")
     ids = contiguous_index(
         flagged.select("is_train", "category", "old_id"), ["is_train", "category", "old_id"], "doc_id"
     )
@@ -192,7 +198,7 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_words(spark: SparkSession, folder: str) -> DataFrame:
-    words = V.vocabulary_words(documents(spark, folder), _vocabulary(spark, folder))
+    words = X.member_words(documents(spark, folder), _vocabulary(spark, folder))
     return words.select("doc_id", F.array_join("words", " ").alias("words"))
 
 
@@ -208,6 +214,41 @@ def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return _statistics(spark, folder).select("term", "doc_frequency")
 
 
+# --- batches ------------------------------------------------------------------
+
+
+def _batched(spark: SparkSession, folder: str) -> str:
+    """A store of two batches: documents without a label, then those with one."""
+    store = scratch_path(spark, "store")
+    docs = _flagged(spark, folder)
+    for is_train in (False, True):
+        batch = docs.where(F.col("is_train") == is_train).select("category", "old_id", "text")
+        B.add_batch(batch, store, ["category", "old_id"])
+    return store
+
+
+def batched_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return B.batch_documents(spark, _batched(spark, folder)).select("doc_id", "old_id", "category")
+
+
+def batched_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    return B.merged_vocabulary(spark, _batched(spark, folder), stop_words(spark))
+
+
+def batched_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    _, terms = B.merged_features(spark, _batched(spark, folder), stop_words(spark))
+    return terms.select("term", "term_id")
+
+
+def batched_tfidf(spark: SparkSession, folder: str) -> DataFrame:
+    """The weights of all batches, by the documents' own ids."""
+    store = _batched(spark, folder)
+    weights, _ = B.merged_features(spark, store, stop_words(spark))
+    own = B.batch_documents(spark, store).select("doc_id", "old_id")
+    named = weights.join(own, "doc_id").select(F.col("old_id").alias("doc_id"), "term", "cnt", "weight")
+    return rounded(named, "weight")
+
+
 # --- features ---------------------------------------------------------------
 
 
@@ -456,6 +497,72 @@ def lda_docs_by_topic(spark: SparkSession, folder: str, found: Fitted | None = N
     return M.documents_by_topic(assigned).select(F.explode("doc_ids").alias("doc_id"))
 
 
+# --- topics: what the fit ends with -------------------------------------------
+
+
+def trained(spark: SparkSession, folder: str) -> tuple[M.TopicFit, DataFrame]:
+    """The fit with its graph, and the dictionary."""
+    vectors, terms = _features(spark, folder)
+    terms = materialize(terms, "dictionary")
+    return M.training_fit(stored_vectors(vectors, terms.count())), terms
+
+
+Trained = tuple[M.TopicFit, DataFrame]
+
+
+def training_mixtures(spark: SparkSession, folder: str, found: Trained | None = None) -> DataFrame:
+    """Per document with weights: the number of topics, the sum of its mixture, and of what was shared among them."""
+    fit, _ = found or trained(spark, folder)
+
+    def summed(values: str) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda total, w: total + w)
+
+    parts = M.training_mixtures(fit).join(M.training_weights(fit), "doc_id")
+    return parts.select(
+        "doc_id",
+        F.size("mixture").alias("n_topics"),
+        F.round(summed("mixture"), DIGITS).alias("weight"),
+        F.round(summed("weights"), TOTAL_DIGITS).alias("total"),
+    )
+
+
+def training_terms(spark: SparkSession, folder: str, found: Trained | None = None) -> DataFrame:
+    """Per term of the graph: the number of topics, and the sum of its occurrences in all of them."""
+    fit, terms = found or trained(spark, folder)
+    own = fit.vertices.where("id < 0").select((-F.col("id") - 1).cast("int").alias("term_id"), "weights")
+    total = F.aggregate("weights", F.lit(0.0), lambda sum_, w: sum_ + w)
+    return own.join(terms.select("term_id", "term"), "term_id").select(
+        "term", F.size("weights").alias("n_topics"), F.round(total, TOTAL_DIGITS).alias("total")
+    )
+
+
+def training_topic_terms(spark: SparkSession, folder: str, found: Trained | None = None) -> DataFrame:
+    """Per topic: its number of terms, the sum of their weights, which is one, and the last rank."""
+    fit, terms = found or trained(spark, folder)
+    ranked = M.ranked_terms(M.training_term_weights(fit), terms)
+    return rounded(
+        ranked.groupBy("topic").agg(
+            F.count("*").alias("n_terms"), F.sum("weight").alias("weight"), F.max("rank").cast("bigint").alias("last_rank")
+        ),
+        "weight",
+    )
+
+
+def training_top_docs(spark: SparkSession, folder: str, found: Trained | None = None) -> DataFrame:
+    """The ranks of each topic over the training mixtures, and whether their weights never rise."""
+    fit, _ = found or trained(spark, folder)
+    top = M.topic_top_documents(M.topic_weights(M.training_mixtures(fit)))
+    before = F.lag("weight").over(Window.partitionBy("topic").orderBy("rank"))
+    return top.select("topic", "rank", F.coalesce(before >= F.col("weight"), F.lit(True)).alias("falls"))
+
+
+def training_docs_by_topic(spark: SparkSession, folder: str, found: Trained | None = None) -> DataFrame:
+    """All documents that are listed under some topic by their training mixture."""
+    fit, _ = found or trained(spark, folder)
+    assigned = M.training_mixtures(fit).select("doc_id", M.dominant_topic(F.col("mixture")).alias("topic"))
+    return M.documents_by_topic(assigned).select(F.explode("doc_ids").alias("doc_id"))
+
+
 QUERIES: dict[str, Query] = {
     "raw_lines": raw_lines,
     "article_records": _records(ARTICLE, compat=False),
@@ -479,6 +586,10 @@ QUERIES: dict[str, Query] = {
     "vocabulary": vocabulary,
     "vocabulary_by_documents": vocabulary_by_documents,
     "corpus_stats": corpus_stats,
+    "batched_ids": batched_ids,
+    "batched_vocabulary": batched_vocabulary,
+    "batched_dictionary": batched_dictionary,
+    "batched_tfidf": batched_tfidf,
     "dictionary": dictionary,
     "doc_words": doc_words,
     "doc_term_counts": doc_term_counts,
@@ -511,6 +622,11 @@ QUERIES: dict[str, Query] = {
     "topic_top_terms_filled": topic_top_terms_filled,
     "lda_top_docs": lda_top_docs,
     "lda_docs_by_topic": lda_docs_by_topic,
+    "training_mixtures": training_mixtures,
+    "training_terms": training_terms,
+    "training_topic_terms": training_topic_terms,
+    "training_top_docs": training_top_docs,
+    "training_docs_by_topic": training_docs_by_topic,
     "export_topic_words": export_topic_words,
     "export_topic_descriptions": export_topic_descriptions,
 }

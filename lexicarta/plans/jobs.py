@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicarta.functions.vectors import stored_vectors
+from lexicarta.operators.batches import add_batch, batch_documents, merged_features, weight_vectors
 from lexicarta.operators.categories import category_documents
 from lexicarta.operators.features import (
     TOP,
@@ -32,10 +33,14 @@ from lexicarta.operators.topics import (
     documents_by_topic,
     dominant_topic,
     fit_topics,
+    ranked_terms,
     topic_terms,
     topic_top_documents,
     topic_top_terms,
     topic_weights,
+    training_fit,
+    training_mixtures,
+    training_term_weights,
     with_weightless_terms,
 )
 from lexicarta.operators.vocabulary import MIN_DOC_FREQUENCY, MIN_SHARE, MIN_TOKEN, vocabulary
@@ -183,31 +188,84 @@ def topics(
     max_iter: int = 20,
     seed: int = 17,
     optimizer: str = "em",
+    mixtures: str = "training",
     compat: bool = False,
 ) -> None:
-    """Vector lines and dictionary to the four topic reports below ``out``."""
+    """Vector lines and dictionary to the four topic reports below ``out``.
+
+    Reports are of the mixtures that the fit by expectation maximisation ends with. With
+    ``mixtures="inferred"``, and always for another optimizer, which keeps none,
+    the documents' mixtures are inferred from the fitted topics.
+    """
+    if mixtures not in ("training", "inferred"):
+        raise ValueError(f"unknown mixtures {mixtures!r}")
     with job_scratch(spark, "topics"):
         words = materialize(read_dictionary(spark, dictionary_path), "dictionary")
         n_terms = words.count()
         corpus = stored_vectors(read_vectors(spark, vectors), n_terms)
         if not n_terms or corpus.isEmpty():
             raise ValueError("topics need documents and a dictionary that is not empty")
-        model = fit_topics(corpus, k=k, max_iter=max_iter, seed=seed, optimizer=optimizer)
-        mixtures = materialize(document_topics(model, corpus), "mixtures")
-        assigned = mixtures.select("doc_id", dominant_topic(F.col("mixture"), compat).alias("topic"))
-        described = materialize(topic_terms(model, words), "topic-terms")
+        if mixtures == "training" and optimizer == "em":
+            fit = training_fit(corpus, k=k, max_iter=max_iter, seed=seed)
+            mixed, described = training_mixtures(fit), ranked_terms(training_term_weights(fit), words)
+        else:
+            model = fit_topics(corpus, k=k, max_iter=max_iter, seed=seed, optimizer=optimizer)
+            mixed, described = document_topics(model, corpus), topic_terms(model, words)
+        mixed = materialize(mixed, "mixtures")
+        assigned = mixed.select("doc_id", dominant_topic(F.col("mixture"), compat).alias("topic"))
+        described = materialize(described, "topic-terms")
         W.write_lines(
             W.topic_document_lines(documents_by_topic(assigned), k), f"{out}/topic_documents"
         )
         ranked = with_weightless_terms(described, words, k) if compat else described
         W.write_lines(W.topic_word_lines(topic_top_terms(ranked, top)), f"{out}/topic_words")
         W.write_lines(
-            W.topic_top_document_lines(topic_top_documents(topic_weights(mixtures), top_documents)),
+            W.topic_top_document_lines(topic_top_documents(topic_weights(mixed), top_documents)),
             f"{out}/topic_top_documents",
         )
         W.write_lines(W.topic_description_lines(described), f"{out}/topic_descriptions")
 
 
+def append(
+    spark: SparkSession,
+    store: str,
+    layout: str,
+    source: str,
+    stop_words_path: str | None = None,
+    min_token: int = MIN_TOKEN,
+    clean_docs: bool = False,
+    compat: bool = False,
+) -> None:
+    """A folder of record files as the next batch of ``store``; ids go on, earlier texts are not read."""
+    rules = LAYOUTS[layout]
+    with job_scratch(spark, "append"):
+        records = _records(spark, source, rules, False, compat)
+        if rules.strips_stop_words:
+            records = _stripped(records, stop_words(spark, stop_words_path), compat)
+        records = materialize(records.drop("is_train"), "records")
+        add_batch(records, store, ["file", "block", "record"], min_token, clean_docs)
+
+
+def merge(
+    spark: SparkSession,
+    store: str,
+    out: str,
+    stop_words_path: str | None = None,
+    min_share: float = MIN_SHARE,
+    threshold_by: str = "occurrences",
+    min_doc_frequency: int = MIN_DOC_FREQUENCY,
+) -> None:
+    """``documents``, ``vectors`` and ``dictionary`` of all batches, as one run over all of them writes."""
+    with job_scratch(spark, "merge"):
+        docs = batch_documents(spark, store)
+        weights, terms = merged_features(
+            spark, store, stop_words(spark, stop_words_path), min_share, threshold_by, min_doc_frequency
+        )
+        W.write_lines(W.document_lines(docs), f"{out}/documents")
+        W.write_lines(W.vector_lines(weight_vectors(weights, terms, docs)), f"{out}/vectors")
+        W.write_lines(W.dictionary_lines(terms), f"{out}/dictionary")
+
+
 def run(
     spark: SparkSession,
     out: str,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexicarta.sources.readers import default_stop_words
 
 DIGITS = 6
+TOTAL_DIGITS = 3  # of sums of weights
 TOP = 101
 CHUNK_CHARS = 50_000  # small, so that the test tables have categories of several chunks
 
@@ -258,6 +259,11 @@ SELECT term, count(DISTINCT doc_id) AS n_docs FROM tokens
 WHERE term IN (SELECT term FROM chosen) GROUP BY term""",
         "corpus_stats": f"""{with_docs}, {_vocabulary()}
 SELECT (SELECT count(*) FROM docs) AS n_docs, (SELECT count(*) FROM chosen) AS n_terms""",
+        "batched_ids": f"{numbered} SELECT doc_id, old_id, category FROM numbered",
+        "batched_vocabulary": f"""{with_docs}, {_vocabulary()}
+SELECT term, count(*) AS cnt FROM tokens WHERE term IN (SELECT term FROM chosen) GROUP BY term""",
+        "batched_dictionary": f"{weights} SELECT term, term_id FROM dictionary",
+        "batched_tfidf": f"{weights} SELECT doc_id, term, cnt, weight FROM tfidf",
         "dictionary": f"{weights} SELECT term, term_id FROM dictionary",
         "doc_words": f"""{weights}
 SELECT d.doc_id, coalesce(w.words, '') AS words FROM docs d LEFT JOIN (
@@ -335,6 +341,21 @@ FROM docs""",
 SELECT CAST(t AS INTEGER) AS topic, CAST(r AS INTEGER) AS rank, true AS falls
 FROM unnest(range(7)) AS topics(t), unnest(range(1, 21)) AS ranks(r) WHERE r <= (SELECT count(*) FROM docs)""",
         "lda_docs_by_topic": f"""{weights}
+SELECT DISTINCT doc_id FROM tfidf WHERE weight > 0""",
+        "training_mixtures": f"""{weights}
+SELECT c.doc_id, 7::INTEGER AS n_topics, 1.0::DOUBLE AS weight, round(sum(c.cnt * u.idf), {TOTAL_DIGITS}) AS total
+FROM counts c JOIN used u USING (term) WHERE u.idf > 0 GROUP BY c.doc_id""",
+        "training_terms": f"""{weights}
+SELECT c.term, 7::INTEGER AS n_topics, round(sum(c.cnt * u.idf), {TOTAL_DIGITS}) AS total
+FROM counts c JOIN used u USING (term) WHERE u.idf > 0 GROUP BY c.term""",
+        "training_topic_terms": f"""{weights}
+SELECT CAST(t AS INTEGER) AS topic, n AS n_terms, 1.0::DOUBLE AS weight, n AS last_rank
+FROM unnest(range(7)) AS topics(t), (SELECT count(*) AS n FROM used WHERE idf > 0)""",
+        "training_top_docs": f"""{weights}
+SELECT CAST(t AS INTEGER) AS topic, CAST(r AS INTEGER) AS rank, true AS falls
+FROM unnest(range(7)) AS topics(t), unnest(range(1, 21)) AS ranks(r)
+WHERE r <= (SELECT count(DISTINCT doc_id) FROM tfidf WHERE weight > 0)""",
+        "training_docs_by_topic": f"""{weights}
 SELECT DISTINCT doc_id FROM tfidf WHERE weight > 0""",
         "export_topic_top_documents": f"""WITH {TOP_DOCS}
 SELECT 'Topic' || topic || ':' || chr(9)

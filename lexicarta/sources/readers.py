@@ -10,21 +10,33 @@ from pyspark.sql import functions as F
 from lexicarta.functions.text import split_words, strip_blanks
 
 FILE_EXTENSION = ".txt"
+#: Lines of a file that are numbered and gathered together.
+BLOCK_LINES = 1 << 16
 BAD_LINES = 20  # unreadable lines that an error message shows
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, block_lines: int = BLOCK_LINES) -> DataFrame:
     """``lines(file, block, pos, line)`` of every text file in a folder.
 
-    Files are read in splits, not whole: ``block`` is the byte offset of the
-    split and ``pos`` orders the lines inside it, so a large file is spread over
-    as many tasks as it has splits.
+    Files are read in splits, not whole, and a split is cut into blocks of ``block_lines`` lines: ``block`` is
+    the byte offset of the split and the number of the cut, and ``pos`` orders the lines inside it. So a large
+    file is spread over many tasks, also a compressed one, which is read in a single split.
     """
-    return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.col("value").alias("line"),
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        spark.read.text(path)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            in_task.alias("pos"),
+            F.col("value").alias("line"),
+        )
+        .select(
+            "file",
+            F.struct("start", F.expr(f"pos div {block_lines}").alias("part")).alias("block"),
+            "pos",
+            "line",
+        )
     )
 
 

@@ -1,3 +1,4 @@
+import random
 import math
 from collections import Counter
 
@@ -178,3 +179,41 @@ def test_ties_are_ordered_by_term(spark):
     )
     ranked = X.top_terms(weights, 2).orderBy("rank").collect()
     assert [(r["rank"], r["term"]) for r in ranked] == [(1, "c"), (2, "a")]
+
+
+def test_member_words_keep_order_and_repeats(spark, docs_of, words_frame, monkeypatch):
+    texts = ["b a x b  a", "", "x y", "a " * 500 + "q " * 300 + "b", "A a. a"]
+    docs, vocab = docs_of(*texts), words_frame("a", "b", "c")
+    want = {i: [w for w in t.split(" ") if w in ("a", "b", "c")] for i, t in enumerate(texts)}
+    found = X.member_words(docs, vocab)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in text  # but for the list of names, which is one row
+    assert {r["doc_id"]: r["words"] for r in found.collect()} == want
+    for some in (X.member_words(docs, vocab, max_model_terms=2), V.vocabulary_words(docs, vocab)):
+        assert {r["doc_id"]: r["words"] for r in some.collect()} == want
+    assert all(r["words"] == [] for r in X.member_words(docs, vocab.limit(0)).collect())
+
+
+@pytest.mark.parametrize("n", [1, 20, 5000])
+def test_top_per_group_of_any_size(spark, n):
+    rng = random.Random(n)
+    weights = [None, float("nan"), 0.0, -0.0, 5e-324, 1e308, -2.5, float("inf"), float("-inf")]
+    rows = [(rng.choice([0, 0, 0, 1, None]), rng.choice(weights + [rng.random()] * 3 + [7.0] * 9), i) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "g int, w double, i int").repartition(5)
+    before = spark.conf.get(X._GROUP_LIMIT)
+    found = X.top_per_group(df, "g", "w", "i", n)
+    assert spark.conf.get(X._GROUP_LIMIT) == before and found.columns == ["g", "w", "i", "rank"]
+    want = []
+    for g in (0, 1, None):
+        own = [r for r in rows if r[0] == g]
+        own.sort(key=lambda r: (r[1] is None, -math.inf if r[1] is not None and math.isnan(r[1]) else 0, -(r[1] or 0.0) if r[1] is not None and not math.isnan(r[1]) else 0, r[2]))
+        want += [(g, i, k + 1) for k, (_, _, i) in enumerate(own[:n])]
+    assert sorted(((r["g"], r["i"], r["rank"]) for r in found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_many_top_rows_are_limited_before_the_shuffle(spark):
+    df = spark.range(200_000).selectExpr("cast(0 AS int) AS g", "pow(2, id % 64) AS w", "id AS i")
+    kept = X.heavy_enough(df, "g", "w", 5000).count()
+    assert 5000 <= kept < 20_000
+    plan = X.top_per_group(df, "g", "w", "i", 5000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_salt") > 0

@@ -144,3 +144,31 @@ def test_strip_stop_words(spark):
     stops = spark.createDataFrame([("the",), ("is",)], "term string")
     joined = strip_stop_words_by_join(records, ["id"], stops, " ")
     assert [r["text"] for r in joined.orderBy("id").collect()] == ["cat mat", "", "😀 yy"]
+
+
+def test_a_compressed_file_is_read_in_blocks(spark, tmp_path):
+    """The rows of a compressed file are those of the plain one, also where blocks cut records."""
+    import gzip
+
+    rng = random.Random(6)
+    lines = []
+    for i in range(400):
+        lines += [f"AB start{i} text"] + [f"  more {i} {j}" for j in range(rng.randint(0, 9))]
+        lines += ["TI other words"] * rng.randint(0, 2) + [""] * rng.randint(1, 2)
+    body = "\n".join(lines) + "\nAB unclosed text\n"
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "packed").mkdir()
+    (tmp_path / "plain" / "r.txt").write_text(body)
+    with gzip.open(tmp_path / "packed" / "r.txt.gz", "wt") as file:
+        file.write(body)
+    plain = [r["text"] for r in extract_records(read_lines(spark, str(tmp_path / "plain")), ARTICLE).orderBy("file", "block", "record").collect()]
+    assert len(plain) == 401
+    for block_lines in (7, 100):
+        blocks = read_lines(spark, str(tmp_path / "packed"), block_lines)
+        assert blocks.select("block").distinct().count() > 20
+        found = extract_records(blocks, ARTICLE).orderBy("file", "block", "record")
+        assert [r["text"] for r in found.collect()] == plain
+        shuffled = found._jdf.queryExecution().executedPlan().toString()
+        assert "edge" in shuffled
+    compat = extract_records(read_lines(spark, str(tmp_path / "packed"), 7), ARTICLE, keep_unclosed=False)
+    assert compat.count() == 400
