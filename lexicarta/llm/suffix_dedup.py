@@ -13,8 +13,9 @@ megabytes, in a table bucketed by shard, so that no later step moves it.
 * Classes give the units that differ inside a shard, each with its smallest document. Their
   keys meet in parts: a unit that another shard holds in a smaller document goes as a whole.
   If the anchor stands in no other unit, nothing more can be found.
-* The strings of the remaining units, at the ends of common passages, meet by keys of
-  their own, one per class and shard.
+* The texts of the remaining units, at the ends of common passages, meet in parts, once for each
+  shard and unit. Strings of the same bytes have the same anchor, so there they are told apart. Strings
+  around an anchor of more than ``HOT_UNITS`` units meet by keys of their own instead.
 
 Whatever a passage's number of copies, a shard sends one key for it. Parts are ranges of hashes
 of about ``PART_KEYS`` keys. Keys have 128 bits; hashes of anchors only choose what is looked at.
@@ -51,6 +52,8 @@ GRAM = 24
 SHARD_BYTES = 4 << 20
 #: Keys of anchors in a part, about.
 PART_KEYS = 1 << 20
+#: Units of an anchor up to which they meet in one part; those of more frequent ones meet string by string.
+HOT_UNITS = 2048
 #: Strings of 24 bytes for each anchor.
 SPACING = (WINDOW - GRAM + 2) / 2
 MAX_BUCKETS = 100_000
@@ -61,6 +64,8 @@ MESSAGE = "shard bigint, part int, kind string, data binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+#: A number for each byte.
+_BYTES = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 # --- hashes -------------------------------------------------------------------
@@ -78,13 +83,14 @@ def mixed(a: np.ndarray, b: np.ndarray, odd: int = 0) -> np.ndarray:
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the ``GRAM`` bytes from each position, by joining hashes of halves."""
-    one = mixed(data.astype(np.uint64) + np.uint64(1), np.uint64(GRAM))
-    three = mixed(mixed(one[:-1], one[1:])[:-1], one[2:])
+    hashes = _BYTES[data]
+    three = hashes[:-1] * _ODD[0] + hashes[1:]
+    three = three[:-1] * _ODD[1] + hashes[2:]
     length = 3
     while length < GRAM:
-        three = mixed(three[:-length], three[length:])
+        three = three[:-length] * _ODD[length % 4] + three[length:]
         length *= 2
-    return three
+    return mixed(three, np.uint64(GRAM))
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -257,10 +263,10 @@ def common_anchors(table: pa.Table) -> pa.Table:
     return _answered(sent, "key", common[index].astype(np.uint8))
 
 
-def _answered(sent: list[tuple], key: str, answer: np.ndarray) -> pa.Table:
+def _answered(sent: list[tuple], key: str, answer: np.ndarray, kind: str = "answers") -> pa.Table:
     cuts = np.cumsum([0, *(len(m[key]) for *_, m in sent)])
     return table_of([
-        message(shard, part, "answers", answer=answer[low:high])
+        message(shard, part, kind, answer=answer[low:high])
         for (shard, part, _), low, high in zip(sent, cuts[:-1], cuts[1:])
     ])
 
@@ -279,7 +285,7 @@ def classes_of(text: Shard, first: np.ndarray, count: np.ndarray) -> tuple[np.nd
     common = permuted_common_prefixes(gathered, array)
     class_of = np.empty(len(array), dtype=np.int64)
     class_of[array] = np.cumsum(common[array] < WINDOW)
-    at = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    at = strings_of(first, count)
     stretch = np.searchsorted(starts, at, side="right") - 1
     return at, class_of[at - starts[stretch] + to[stretch]]
 
@@ -329,7 +335,10 @@ def sorted_shard(shard: int, text: Shard, told: pa.Table, parts: int) -> list[tu
 
 
 def judged_units(table: pa.Table) -> pa.Table:
-    """For each unit: 1 if a smaller document of another shard has it, 2 if only its anchor stands elsewhere too."""
+    """For each unit: 1 if a smaller document of another shard has it, 2 if only its anchor stands elsewhere too.
+
+    3 if that anchor has too many units to meet in one part.
+    """
     sent = read_messages(table, "units")
     key, a, b, least = (np.concatenate([m[k] for *_, m in sent]) for k in ("key", "a", "b", "least"))
     order = np.lexsort((b, a, key))
@@ -338,63 +347,109 @@ def judged_units(table: pa.Table) -> pa.Table:
     other_unit = other_key | np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
     unit, anchor = np.cumsum(other_unit) - 1, np.cumsum(other_key) - 1
     smallest = np.minimum.reduceat(least[order], np.flatnonzero(other_unit))
-    contested = np.bincount(anchor, other_unit) > 1
+    units = np.bincount(anchor, other_unit)[anchor]
     answer = np.empty(len(order), dtype=np.uint8)
-    answer[order] = np.where(smallest[unit] < least[order], 1, np.where(contested[anchor], 2, 0))
+    contested = np.where(units > HOT_UNITS, 3, np.where(units > 1, 2, 0))
+    answer[order] = np.where(smallest[unit] < least[order], 1, contested)
     return _answered(sent, "key", answer)
 
 
+def strings_of(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The positions of the strings of units."""
+    return np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
 def contested_strings(shard: int, text: Shard, told: pa.Table, parts: int) -> list[tuple]:
-    """Units that go as a whole, and the keys of strings whose units do not decide."""
+    """Units that go as a whole, and those to be compared string by string."""
     rest = read_messages(told, "rest")
     if not rest:
         return []
     first, count, unit = (rest[0][2][k] for k in ("first", "count", "unit"))
     count = count.astype(np.int64)
-    answer = answers(told, "answers")[unit]
-    gone = answer == 1
+    replies = read_messages(told, "answers")
+    answer = np.concatenate([m["answer"] for *_, m in replies])
+    part_of = np.repeat([part for _, part, _ in replies], [len(m["answer"]) for *_, m in replies])
+    gone = answer[unit] == 1
     start, stop = cover(first[gone], count[gone])
     sent = [message(shard, -1, "spans", start=start, stop=stop)]
     # Of a unit the smallest document's strings are enough: those of others are gone by their class.
     rank = text.ranks(first)
-    least = least_by(unit, rank, int(unit.max()) + 1)
-    asks = (answer == 2) & (rank == least[unit])
-    first, count, rank = first[asks], count[asks], rank[asks]
-    if not len(first):
-        return sent
-    at = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    a, b = window_keys(text.words, at)
-    part = (a >> np.uint64(32)) % np.uint64(parts)
-    order = np.lexsort((b, a, part))
-    a, b, part, at, rank = a[order], b[order], part[order], at[order], np.repeat(rank, count)[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    smallest = np.minimum.reduceat(rank, np.flatnonzero(new))
-    sent += by_part(shard, "strings", part[new], a=a[new], b=b[new], least=smallest)
-    index = (np.cumsum(new) - 1).astype(np.int32)
-    sent.append(message(shard, -1, "places", at=at, string=index))
+    least = least_by(unit, rank, len(answer))
+    own = rank == least[unit]
+    asks = np.flatnonzero(own & (answer[unit] == 2))
+    if len(asks):
+        units, one, number = np.unique(unit[asks], return_index=True, return_inverse=True)
+        begin, length = first[asks[one]], count[asks[one]] + WINDOW - 1
+        bounds = np.append(0, np.cumsum(length))
+        bytes_ = text.data[strings_of(begin, length)]
+        cuts = np.flatnonzero(np.append(True, part_of[units][1:] != part_of[units][:-1]))
+        for low, high in zip(cuts, [*cuts[1:], len(units)]):
+            sent.append(message(
+                shard, int(part_of[units[low]]), "snippets", text=bytes_[bounds[low] : bounds[high]],
+                count=count[asks[one[low:high]]].astype(np.uint8), least=least[units[low:high]],
+            ))
+        sent.append(message(shard, -1, "asked", first=first[asks], unit=number.astype(np.int32)))
+    asks = own & (answer[unit] == 3)
+    if asks.any():
+        at, rank = strings_of(first[asks], count[asks]), np.repeat(rank[asks], count[asks])
+        a, b = window_keys(text.words, at)
+        part = (a >> np.uint64(32)) % np.uint64(parts)
+        order = np.lexsort((b, a, part))
+        a, b, part, at, rank = a[order], b[order], part[order], at[order], rank[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        smallest = np.minimum.reduceat(rank, np.flatnonzero(new))
+        sent += by_part(shard, "strings", part[new], a=a[new], b=b[new], least=smallest)
+        sent.append(message(shard, -1, "places", at=at, string=(np.cumsum(new) - 1).astype(np.int32)))
     return sent
 
 
-def judged_strings(table: pa.Table) -> pa.Table:
-    """For each string, whether a smaller document of another shard has it."""
-    sent = read_messages(table, "strings")
-    a, b, least = (np.concatenate([m[k] for *_, m in sent]) for k in ("a", "b", "least"))
+def earlier_elsewhere(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether another row with the same key has a smaller ``least``."""
     order = np.lexsort((b, a))
     other = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
     smallest = np.minimum.reduceat(least[order], np.flatnonzero(other))
-    answer = np.empty(len(order), dtype=np.uint8)
+    answer = np.empty(len(order), dtype=bool)
     answer[order] = smallest[np.cumsum(other) - 1] < least[order]
-    return _answered(sent, "a", answer)
+    return answer
+
+
+def judged_strings(table: pa.Table) -> pa.Table:
+    """For the units and strings sent to a part, what a smaller document of another shard has too.
+
+    A unit is answered by one bit per string.
+    """
+    found = []
+    sent = read_messages(table, "snippets")
+    if sent:
+        count, least = (np.concatenate([m[k] for *_, m in sent]) for k in ("count", "least"))
+        count = count.astype(np.int64)
+        data = np.concatenate([*(m["text"] for *_, m in sent), np.zeros(8, np.uint8)])
+        words = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data.data, strides=(1,))
+        begin = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)
+        at = strings_of(begin, count)
+        gone = earlier_elsewhere(*window_keys(words, at), np.repeat(least, count))
+        bits = gone.astype(np.uint32) << (at - np.repeat(begin, count)).astype(np.uint32)
+        found.append(_answered(sent, "count", np.bitwise_or.reduceat(bits, np.cumsum(count) - count), "masks"))
+    sent = read_messages(table, "strings")
+    if sent:
+        a, b, least = (np.concatenate([m[k] for *_, m in sent]) for k in ("a", "b", "least"))
+        found.append(_answered(sent, "a", earlier_elsewhere(a, b, least).astype(np.uint8)))
+    return pa.concat_tables(found)
 
 
 def placed_strings(table: pa.Table) -> pa.Table:
     """The spans of the strings that go."""
     shard = table["shard"][0].as_py()
-    places = read_messages(table, "places")
-    if not places:
+    found = []
+    for _, _, asked in read_messages(table, "asked"):
+        masks = answers(table, "masks")[asked["unit"]]
+        for k in range(WINDOW - GRAM + 1):
+            found.append(asked["first"][(masks >> np.uint32(k)) & np.uint32(1) > 0] + k)
+    for _, _, places in read_messages(table, "places"):
+        found.append(places["at"][answers(table, "answers")[places["string"]] > 0])
+    if not found:
         return table_of([])
-    at, string = (places[0][2][k] for k in ("at", "string"))
-    start, stop = cover(at[answers(table, "answers")[string] > 0])
+    start, stop = cover(np.concatenate(found))
     return table_of([message(shard, -1, "spans", start=start, stop=stop)])
 
 
@@ -479,7 +534,9 @@ def removed(docs: DataFrame) -> DataFrame:
     found = materialize(found, "units")
     told = judged(found.where("kind = 'units'"), judged_units).unionByName(found.where("kind = 'rest'"))
     more = materialize(of_shards(told).applyInArrow(sends(contested_strings), MESSAGE), "strings")
-    told = judged(more.where("kind = 'strings'"), judged_strings).unionByName(more.where("kind = 'places'"))
+    told = judged(more.where("kind IN ('snippets', 'strings')"), judged_strings).unionByName(
+        more.where("kind IN ('asked', 'places')")
+    )
     last = told.groupBy("shard").applyInArrow(placed_strings, MESSAGE)
     spans = last.unionByName(found.where("kind = 'spans'")).unionByName(more.where("kind = 'spans'"))
     return of_shards(spans).applyInArrow(kept, RESULT)

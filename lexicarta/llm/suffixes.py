@@ -13,6 +13,8 @@ import numpy as np
 
 #: Buckets looked at ahead for a stretch that is complete.
 AHEAD = 4096
+#: Names up to which the recursion ends, and suffixes are sorted by ranks of twice the length each time.
+FEW = 1 << 17
 
 
 def _run_bounds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +115,23 @@ def _named(text: np.ndarray, spots: np.ndarray, in_order: np.ndarray) -> tuple[n
     return names[spots], int(rank[-1]) + 1
 
 
+def doubled(text: np.ndarray) -> np.ndarray:
+    """Positions of all suffixes of a short text in order, by pairs of ranks."""
+    rank = text.astype(np.int64)
+    reach = 1
+    while True:
+        behind = np.zeros(len(rank), dtype=np.int64)
+        behind[:-reach] = rank[reach:] + 1
+        pair = rank * (len(rank) + 2) + behind
+        order = np.argsort(pair, kind="stable")
+        pair = pair[order]
+        ranked = np.append(0, np.cumsum(pair[1:] != pair[:-1]))
+        rank[order] = ranked
+        if ranked[-1] == len(rank) - 1:
+            return order.astype(np.int32)
+        reach *= 2
+
+
 def suffix_array(text: np.ndarray, n_symbols: int) -> np.ndarray:
     """Positions of all suffixes in order. The last symbol is 0 and occurs nowhere else."""
     n = len(text)
@@ -130,7 +149,7 @@ def suffix_array(text: np.ndarray, n_symbols: int) -> np.ndarray:
     in_order = first_pass[marked[first_pass]]
     names, n_names = _named(text, spots, in_order)
     if n_names < len(spots):
-        in_order = spots[suffix_array(names, n_names)]
+        in_order = spots[doubled(names) if len(names) <= FEW else suffix_array(names, n_names)]
     return induced(text, n_symbols, smaller, run_start, in_order)
 
 

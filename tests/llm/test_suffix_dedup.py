@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexicarta.llm import queries, suffix_dedup
+from lexicarta.llm import queries, suffix_dedup, suffixes
 from lexicarta.llm.suffixes import classified, leftmost_smaller, permuted_common_prefixes, suffix_array
 
 WINDOW = 50
@@ -64,13 +64,15 @@ def mosaic(rng, n, pieces):
     return rows
 
 
-@pytest.mark.parametrize("shard_bytes, part_keys", [(4 << 20, 1 << 20), (700, 20), (130, 3)])
-def test_mosaics(spark, make_docs, monkeypatch, shard_bytes, part_keys):
+@pytest.mark.parametrize("shard_bytes, part_keys, hot", [(4 << 20, 1 << 20, 2048), (700, 20, 2048), (130, 3, 2)])
+def test_mosaics(spark, make_docs, monkeypatch, shard_bytes, part_keys, hot):
     rng = random.Random(shard_bytes)
     pieces = ["".join(rng.choice("abcdeß ") for _ in range(rng.randint(60, 400))) for _ in range(6)]
     rows = mosaic(rng, 60, pieces)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)
     monkeypatch.setattr(suffix_dedup, "PART_KEYS", part_keys)
+    monkeypatch.setattr(suffix_dedup, "HOT_UNITS", hot)
+    monkeypatch.setattr(suffixes, "FEW", 4)
     assert collected(suffix_dedup.removed(make_docs(rows).repartition(3))) == plain(rows)
 
 
@@ -104,8 +106,9 @@ def test_texts_are_not_shuffled(spark, make_docs):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(1, 4), max_size=80), st.integers(1, 3))
-def test_suffix_array(symbols, times):
+@given(st.lists(st.integers(1, 4), max_size=80), st.integers(1, 3), st.sampled_from([0, 6, 1 << 17]))
+def test_suffix_array(symbols, times, few):
+    suffixes.FEW = few
     text = np.array(symbols * times + [0], dtype=np.uint8)
     raw = text.tobytes()
     array = suffix_array(text, 5)
@@ -121,7 +124,14 @@ def test_suffix_array(symbols, times):
     assert list(leftmost_smaller(smaller)) == [i for i in range(1, len(raw)) if smaller[i] and not smaller[i - 1]]
 
 
+@pytest.fixture(autouse=True)
+def usual_length():
+    yield
+    suffixes.FEW = 1 << 17
+
+
 def test_suffix_array_of_many_symbols():
+    suffixes.FEW = 10
     rng = np.random.default_rng(2)
     text = np.append(np.tile(rng.integers(1, 70_000, 3000), 3), 0)
     names = np.unique(text, return_inverse=True)[1]
