@@ -27,9 +27,13 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def worker_memo(name: str, make: Callable):
-    """What ``make`` gives, kept by the Python worker from task to task."""
+    """What ``make`` gives, kept by the Python worker from task to task, until another is asked for.
+
+    A worker outlives its stage; so what one stage needs is not kept through the next ones.
+    """
     memo = sys.__dict__.setdefault("_lexicarta_memo", {})
     if name not in memo:
+        memo.clear()
         memo[name] = make()
     return memo[name]
 

@@ -10,9 +10,10 @@ a lookup. A source that has run out leaves its slots empty; no document is dropp
 repeated.
 
 Defined results: null is a source of its own; a null or empty text has size 1; rows
-that repeat id, source and size share a place; a null ``doc_id`` is ordinary. An empty
+that repeat id, source and size are copies, each with a place of its own; a null ``doc_id`` is ordinary. More
+than ``MAX_SOURCES`` sources are an error, since the driver schedules them. An empty
 table gives an empty result. Extra columns are ignored by :func:`placed` and returned by
-:func:`mix`.
+:func:`mix`, which puts copies of a row where its first one is.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ PERIOD = 4096
 TEMPERATURE = 0.5
 #: Average number of documents whose sizes one window adds up.
 CHUNK = 8192
+#: Copies of a row that are numbered in one task.
+SPREAD = 4096
+MAX_SOURCES = 100_000
 
 
 def quantised(weights: Mapping[object, float], period: int = PERIOD) -> tuple[dict, int]:
@@ -89,6 +93,21 @@ def _sizes(docs: DataFrame) -> DataFrame:
     )
 
 
+def _copies(counted: DataFrame) -> DataFrame:
+    """A row ``(doc_id, source, size, copy)`` for each of the ``copies`` counted.
+
+    Many copies of one row are cut into stretches first, which several tasks number.
+    """
+    first = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"), F.lit(SPREAD).cast("bigint")))
+    stretches = counted.where(f"copies > {SPREAD}").withColumn("first", first)
+    stretches = stretches.repartition("doc_id", "source", "size", "first")
+    few = counted.where(f"copies <= {SPREAD}").withColumn("first", F.lit(1).cast("bigint"))
+    last = F.least(F.col("copies"), F.col("first") + SPREAD - 1)
+    return few.unionByName(stretches).select(
+        "doc_id", "source", "size", F.explode(F.sequence("first", last)).alias("copy")
+    )
+
+
 def placed(
     docs: DataFrame,
     weights: Mapping[str | None, float] | None = None,
@@ -96,18 +115,23 @@ def placed(
     period: int = PERIOD,
     seed: int = 0,
 ) -> DataFrame:
-    """``(doc_id, source, size, copies, block, slot, place)`` per distinct id, source and size.
+    """``(doc_id, source, size, copy, block, slot, place)`` per row; copies of id, source and size count from 1.
 
     The mix is the order of ``slot``, ``place``. ``place`` counts characters from the
     start of the block; documents longer than a block reach into the source's next ones.
     """
     spark = docs.sparkSession
-    rows = materialize(
+    counted = materialize(
         _sizes(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")), "sizes"
-    ).withColumn("u", unit_interval(F.lit(seed), "doc_id", "source", "size"))
-    totals = rows.groupBy("source").agg(
-        F.count("*").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("chars")
-    ).collect()  # one row per source
+    )
+    per_source = counted.groupBy("source").agg(
+        F.sum("copies").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("chars")
+    )
+    totals = per_source.take(MAX_SOURCES + 1)
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    first_u, further_u = (unit_interval(F.lit(seed), "doc_id", "source", "size", *more) for more in ((), ("copy",)))
+    rows = _copies(counted).withColumn("u", F.when(F.col("copy") == 1, first_u).otherwise(further_u))
     if weights is None:
         weights = {r["source"]: r["chars"] ** TEMPERATURE for r in totals}
     else:
@@ -126,7 +150,7 @@ def placed(
     )
     known = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     known = known.withColumn("chunk", F.floor(F.col("u") * F.col("chunks")))
-    own = F.col("size") * F.col("copies")
+    own = F.col("size")
     ahead = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = (
         known.groupBy("source_no", "chunk")
@@ -135,7 +159,7 @@ def placed(
     )
     inside = (
         Window.partitionBy("source_no", "chunk")
-        .orderBy("u", "doc_id", "size")
+        .orderBy("u", "doc_id", "size", "copy")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     started = known.withColumn("within", F.coalesce(F.sum(own).over(inside), F.lit(0))).join(
@@ -150,7 +174,7 @@ def placed(
             "doc_id",
             "source",
             "size",
-            "copies",
+            "copy",
             "block",
             (F.floor(F.col("block") / F.col("per_period")) * period + F.col("slot_in_period")).alias("slot"),
             (F.col("start") - F.col("block") * block).alias("place"),
@@ -178,23 +202,40 @@ def mix(
     )
 
 
-def slotted(
-    docs: DataFrame,
-    weights: Mapping[str | None, float] | None = None,
-    block: int = BLOCK,
-    period: int = PERIOD,
-    seed: int = 0,
-) -> DataFrame:
-    """``(doc_id, text, slot, place)`` of every row; equal for the same documents in any order."""
-    joined, _ = _joined(docs, weights, block, period, seed)
-    return joined.select(F.col("_id").alias("doc_id"), F.col("_doc.text").alias("text"), "slot", "place")
+def sized(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, source, size)`` and a ``row`` number, to be read once."""
+    return docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.col("source").cast("string").alias("source"),
+        F.greatest(F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1)).cast("bigint").alias("size"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def slots_of(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``(row, slot, place)`` of slim rows ``(row, doc_id, source, size)``; copies take the places in turn."""
+    turn = Window.partitionBy("doc_id", "source", "size").orderBy("row")
+    met = rows.withColumn("copy", F.row_number().over(turn).cast("bigint"))
+    at = places.select(
+        F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"),
+        F.col("copy").alias("p_copy"), "slot", "place",
+    )
+    return met.join(
+        at,
+        F.col("doc_id").eqNullSafe(F.col("p_id"))
+        & F.col("source").eqNullSafe(F.col("p_source"))
+        & (F.col("size") == F.col("p_size"))
+        & (F.col("copy") == F.col("p_copy")),
+    ).select("row", "slot", "place")
 
 
 def _joined(
     docs: DataFrame, weights: Mapping[str | None, float] | None, block: int, period: int, seed: int
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` as ``_doc`` with their ``slot`` and ``place``, and the written places."""
-    places = materialize(placed(docs, weights, block, period, seed), "places").select(
+    first = placed(docs, weights, block, period, seed).where("copy = 1")
+    places = materialize(first, "places").select(
         F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "slot", "place"
     )
     keyed = docs.select(

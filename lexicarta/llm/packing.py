@@ -1,11 +1,11 @@
 """Best-fit-decreasing packing of tokenised documents into sequences.
 
 Documents are tokenised where they lie; only the lengths of their pieces travel. The
-pieces are dealt by a hash into groups of bounded size, each with the whole mixture of
+pieces are dealt by a hash, of the row too, into groups of bounded size, each with the whole mixture of
 lengths, and every group is packed on its own: pieces by falling length, each into the
 open bin with the least room that still takes it. A segment tree over the remaining
-capacities finds that bin in logarithmic time. A group leaves at most one bin badly
-filled, so the total is within about one sequence per ``GROUP`` pieces of one single packing.
+capacities finds that bin in logarithmic time. A group leaves few bins that are not well
+filled; the pieces of those bins of all groups are packed once more together.
 
 Pieces that carry the slot of a mix (:func:`pack_mix`) are packed in stretches of slots
 instead, and sequence ids rise with the slots, so that the order of the sequences is the mix.
@@ -18,6 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -30,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import BooleanType, LongType, StructType
 
 from lexicarta.llm.common import filled, only, text_slices, worker_memo
 from lexicarta.session import materialize
@@ -39,10 +40,14 @@ CAPACITY = 4096
 CLOSING_ID = 1
 #: Pieces that one group packs together.
 GROUP = 1 << 16
+#: Share of the capacity from which a bin stays as its group has packed it.
+WELL_FILLED = 15 / 16
 #: Slots of a mix that are packed together.
 STRETCH = 64
-#: Words whose ids a Python worker remembers before it forgets those out of use.
+#: Words whose ids a Python worker remembers before it forgets them.
 MEMO_WORDS = 250_000
+#: A byte that no text has, behind the last one of a word: where it ends, a vocabulary has letters of its own.
+WORD_END = b"\xff"
 #: What the tokenizer parts from letters before it, whatever follows: none begins a contraction.
 TRAILING = ".,!?;:*$%&#|\"()[]{}<>/-+=_~^@"
 
@@ -61,8 +66,8 @@ class WordIds:
     """Token ids of texts, found word by word.
 
     The tokenizer drops white space and never joins across it, so that the ids of a text
-    are those of its words in a row. Each distinct word is encoded once and remembered;
-    the ids of all of them lie in one array. Words are looked up in ASCII lower case, as
+    are those of its words in a row. Each distinct word of a slice is encoded once, and remembered
+    if it occurs there more than once; the ids of all of them lie in one array. Words are looked up in ASCII lower case, as
     the tokenizer lowers them anyway; only those with ``<|`` as they are spelt, as special
     tokens are matched before.
     """
@@ -77,8 +82,32 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
+        self.merger = self._merger(path)
         self._clear()
 
+    def _merger(self, path: str):
+        """The merges on bytes, if the vocabulary is letters, letters at the end of words, and merges in order."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        byte = {c: bytes([b]) for b, c in enumerate(self.letters)}
+        first = 2 * len(byte)
+        ordered = all(vocab.get(a + b) == first + i for i, (a, b) in enumerate(merges))
+        lettered = all(vocab.get(c, first) < first and vocab.get(c + end, first) < first for c in byte)
+        if not (end and ordered and lettered) or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        ranks = {}
+        for token, number in vocab.items():
+            if number < first + len(merges):
+                stem = token.removesuffix(end) if token not in byte else token
+                ranks[b"".join(byte[c] for c in stem) + (WORD_END if token != stem else b"")] = number
+        # Letters at the end have ranks below all merges, so they are joined with it first; the mark alone is no id.
+        ranks[WORD_END] = len(vocab) + 1
+        return tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
+
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.ends = array("I"), array("q", [0])
@@ -95,9 +124,12 @@ class WordIds:
     def _encode(self, words: list[str]) -> None:
         """Adds words; those of simple letters go to the model directly."""
         tokenize, letters, other = self.tokenizer.model.tokenize, self.letters, []
+        merged = self.merger and self.merger._core_bpe.encode_single_piece
         for word in words:
             if self.SIMPLE.fullmatch(word):
-                if not word.isascii():
+                if merged:
+                    self._add(word, merged(word.lower().encode() + WORD_END))
+                elif not word.isascii():
                     mapped = "".join(letters[b] for b in word.lower().encode())
                     self._add(word, [t.id for t in tokenize(mapped)])
                 else:
@@ -122,19 +154,28 @@ class WordIds:
         for word, stem, marks in parts:
             self._add(word, self._of(stem) + self._of(marks))
 
-    def of_words(self, words: list[str]) -> list[int]:
-        """The numbers of distinct words."""
+    def of_words(self, words: list[str], often: np.ndarray | None = None) -> list[int]:
+        """The numbers of distinct words; only those that are ``often`` seen stay known after :meth:`forget`."""
+        if len(self.known) > MEMO_WORDS:
+            self._clear()
         found = list(map(self.known.get, words))
         new = [w for w, number in zip(words, found) if number is None]
-        if not new:
-            return found
-        if len(self.known) + len(new) > MEMO_WORDS:
-            used = [(w, self._of(w)) for w, number in zip(words, found) if number is not None]
-            self._clear()
-            for word, ids in used:
-                self._add(word, ids)
-        self._learn(new)
-        return list(map(self.known.__getitem__, words))
+        if new:
+            kept = {w for w, many in zip(words, often) if many} if often is not None else set(new)
+            self._learn([w for w in new if w in kept])
+            self.lasting = len(self.known), len(self.ends), len(self.ids)
+            self._learn([w for w in new if w not in kept])
+            found = list(map(self.known.__getitem__, words))
+        else:
+            self.lasting = len(self.known), len(self.ends), len(self.ids)
+        return found
+
+    def forget(self) -> None:
+        """Drops what the last words added that were not often seen."""
+        n_known, n_ends, n_ids = self.lasting
+        while len(self.known) > n_known:
+            self.known.popitem()  # the last one added
+        del self.ends[n_ends:], self.ids[n_ids:]
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in a row, and where each text ends."""
@@ -145,18 +186,21 @@ class WordIds:
             flat = pc.if_else(pc.match_substring(spelt, "<|"), spelt, flat)
         coded = flat.dictionary_encode()
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        numbers = np.array(self.of_words(coded.dictionary.to_pylist()), np.int64)
-        number = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        often = np.bincount(index, minlength=len(coded.dictionary)) > 1
+        numbers = np.array(self.of_words(coded.dictionary.to_pylist(), often), np.int64)
+        number = numbers[index]
         flat, all_ends = np.array(self.ids, "<u4"), np.array(self.ends, np.int64)
         begins = all_ends[number]
         counts = all_ends[number + 1] - begins
         ends = np.cumsum(counts)
         where = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
         where += np.repeat(begins - (ends - counts), counts)
+        self.forget()
         return flat[where], np.concatenate(([0], ends))[np.cumsum(per_text)]
 
 
-def _cut(path: str, capacity: int, with_ids: bool, keep: tuple[str, ...] = ()) -> Callable:
+def _cut(path: str, capacity: int, with_ids: bool, keep: tuple[str, ...]) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_memo(f"ids {path}", lambda: WordIds(path))
         for batch in text_slices(batches):
@@ -184,16 +228,17 @@ def _cut(path: str, capacity: int, with_ids: bool, keep: tuple[str, ...] = ()) -
 
 
 def pieces(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True, keep: tuple[str, ...] = ()
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = True, keep: dict[str, str] | None = None
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``; ``ids`` are little-endian unsigned 32-bit numbers.
 
-    Whole numbers of the document in the columns ``keep`` follow.
+    The document's columns ``keep``, names and types, follow.
     """
+    keep = keep or {}
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    schema += (", ids binary" if with_ids else "") + "".join(f", {c} bigint" for c in keep)
-    rows = only(docs, doc_id="bigint", text="string", **dict.fromkeys(keep, "bigint"))
-    return rows.mapInArrow(_cut(tokenizer, capacity, with_ids, keep), schema)
+    schema += (", ids binary" if with_ids else "") + "".join(f", {name} {kind}" for name, kind in keep.items())
+    rows = only(docs, doc_id="bigint", text="string", **keep)
+    return rows.mapInArrow(_cut(tokenizer, capacity, with_ids, tuple(keep)), schema)
 
 
 class CapacityTree:
@@ -254,21 +299,36 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces, which are written once."""
+    """Adds ``sequence_id`` and ``offset`` to pieces, which are written once.
+
+    Rows are numbered as they were written, so that equal ones are dealt to all groups.
+    """
     parts = materialize(parts, "pieces")
-    groups = max(1, -(-parts.count() // group))
+    columns = parts.columns
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, frame["offset"] = best_fit_decreasing(frame["length"].to_numpy(), capacity)
+        lengths = frame["length"].to_numpy()
+        bins, frame["offset"] = best_fit_decreasing(lengths, capacity)
         frame["sequence_id"] = (int(frame["part"].iloc[0]) << 40) + bins
+        frame["well_filled"] = (np.bincount(bins, lengths) >= WELL_FILLED * capacity)[bins]
         return frame.drop(columns="part")
 
-    schema = StructType([*parts.schema.fields]).add("offset", LongType()).add("sequence_id", LongType())
-    dealt = parts.withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("bigint")
-    )
-    return dealt.groupBy("part").applyInPandas(place, schema)
+    schema = StructType([*parts.schema.fields]).add("row", LongType())
+    schema = schema.add("offset", LongType()).add("sequence_id", LongType()).add("well_filled", BooleanType())
+
+    def packed(rows: DataFrame, first: int) -> tuple[DataFrame, int]:
+        groups = max(1, -(-rows.count() // group))
+        part = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("bigint") + F.lit(first)
+        return rows.withColumn("part", part).groupBy("part").applyInPandas(place, schema), first + groups
+
+    once, groups = packed(parts.withColumn("row", F.monotonically_increasing_id()), 0)
+    kept = [*columns, "offset", "sequence_id"]
+    if groups == 1:  # one group is one packing already
+        return once.select(*kept)
+    once = materialize(once, "packed")
+    again, _ = packed(once.where("NOT well_filled").select(*columns, "row"), groups)
+    return once.where("well_filled").select(*kept).unionByName(again.select(*kept))
 
 
 def pack_mix(parts: DataFrame, capacity: int = CAPACITY, stretch: int = STRETCH) -> DataFrame:

@@ -45,7 +45,7 @@ def test_places_match_brute_force(make_docs, monkeypatch):
     docs = make_docs(rows)
     weights = {"big": 1, "a": 2, "b": 1, None: 1, "": 0.5}
     got = mixing.placed(docs, weights, block=200, period=64).collect()
-    assert Counter((r.doc_id, r.source, r["size"]) for r in got for _ in range(r.copies)) == Counter(
+    assert Counter((r.doc_id, r.source, r["size"]) for r in got) == Counter(
         (d, s, max(1, len(t or ""))) for d, t, s in rows
     )
     counts, period = mixing.quantised(weights, 64)
@@ -56,7 +56,7 @@ def test_places_match_brute_force(make_docs, monkeypatch):
         start = 0
         for r in own:  # documents of a source follow each other without gaps
             assert r.block * 200 + r.place == start
-            start += r["size"] * r.copies
+            start += r["size"]
             turn, k = divmod(r.block, counts[source])
             assert r.slot == turn * period + where[(names.index(source), k)]
     # While every source lasts, shares of text are within a block of the weights.
@@ -73,7 +73,8 @@ def test_mix_returns_all_rows_in_order(make_docs):
     assert mixed.columns == docs.columns
     got = [(r.doc_id, r.text, r.source) for r in mixed.collect()]
     assert Counter(got) == Counter(rows)
-    slot = {(r.doc_id, r.source, r["size"]): (r.slot, r.place) for r in mixing.placed(docs, block=100, period=64).collect()}
+    places = mixing.placed(docs, block=100, period=64).where("copy = 1").collect()
+    slot = {(r.doc_id, r.source, r["size"]): (r.slot, r.place) for r in places}
     order = [slot[(d, s, max(1, len(t or "")))] for d, t, s in got]
     assert order == sorted(order)
 
@@ -83,3 +84,39 @@ def test_missing_weight_and_empty_table(make_docs):
         mixing.placed(make_docs([(1, "x", "a")]), {"b": 1})
     assert mixing.placed(make_docs([])).count() == 0
     assert mixing.mix(make_docs([])).count() == 0
+
+
+def test_copies_of_a_row_advance_their_source(make_docs, monkeypatch):
+    """A third of all rows are copies of one: they fill blocks one after the other, as other rows do."""
+    monkeypatch.setattr(mixing, "SPREAD", 100)
+    rows = [(None, "x" * 1000, "a")] * 3000 + [(i, "y" * 1000, "ab"[i % 2]) for i in range(6000)]
+    got = mixing.placed(make_docs(rows).repartition(6), {"a": 2, "b": 1}, block=1 << 14, period=64).collect()
+    assert Counter((r.doc_id, r.source, r.copy) for r in got if r.doc_id is None) == Counter((None, "a", i + 1) for i in range(3000))
+    for source in "ab":
+        own = sorted((r.block, r.place) for r in got if r.source == source)
+        assert [b * (1 << 14) + p for b, p in own] == [1000 * i for i in range(len(own))]
+    per_slot = Counter()
+    for r in got:
+        per_slot[r.slot] += 1
+    assert max(per_slot.values()) <= 17
+    counts, _ = mixing.quantised({"a": 2, "b": 1}, 64)
+    end = min(max(r.slot for r in got if r.source == s) for s in "ab")
+    for s in "ab":
+        blocks = len({r.slot for r in got if r.source == s and r.slot < end})
+        assert abs(blocks - counts[s] * end / 64) <= 1 + 1e-9
+
+
+def test_rows_meet_their_slots(make_docs):
+    rows = _rows(300) + [(7, "same", "a")] * 5
+    docs = make_docs(rows)
+    places = mixing.placed(docs, block=100, period=64)
+    slim = mixing.sized(docs).select("row", "doc_id", "source", "size")
+    met = mixing.slots_of(slim, places).collect()
+    assert len(met) == len({r.row for r in met}) == len(rows)
+    assert Counter((r.slot, r.place) for r in met) == Counter((r.slot, r.place) for r in places.collect())
+
+
+def test_too_many_sources_are_an_error(make_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.placed(make_docs([(i, "x", str(i)) for i in range(3)]))

@@ -123,3 +123,36 @@ def test_pieces_and_sequences(make_docs, awkward, tokenizer):
 def test_empty_table(make_docs):
     packed = packing.pack(packing.pieces(make_docs([]), tokenizer_path()))
     assert packed.count() == 0 and packing.sequences(packed).count() == 0
+
+
+def test_equal_rows_are_dealt_to_all_groups(make_docs):
+    docs = make_docs([(None, "one two three")] * 3000 + [(i, "four five") for i in range(1000)]).repartition(4)
+    packed = packing.pack(packing.pieces(docs, tokenizer_path(), 64, with_ids=False), 64, group=500).collect()
+    check_packed(packed, 64)
+    parts = Counter(r.sequence_id >> 40 for r in packed if r.doc_id is None)
+    assert len(parts) >= 8 and max(parts.values()) < 600
+
+
+@pytest.mark.parametrize("group", [50, 200, 1000])
+def test_leftovers_of_groups_are_packed_together(spark, group):
+    rng = random.Random(group)
+    rows = [(i, 0, 0, rng.choice([rng.randint(1, 100), rng.randint(1, 9)]), i) for i in range(3000)]
+    parts = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    n = check_packed(packing.pack(parts, 100, group).collect(), 100)
+    single = check_packed(packing.pack(parts, 100, 1 << 16).collect(), 100)
+    assert single <= n <= single + max(1, (0.03 if group == 50 else 0.02) * single)
+
+
+def test_words_are_those_of_the_tokenizer(folder, tokenizer, coder):
+    """Every word of the documents, lower case letters through the merges on bytes."""
+    import pyarrow.parquet as pq
+
+    assert coder.merger is not None
+    words = sorted({w for t in pq.read_table(f"{folder}/documents.parquet")["text"].to_pylist() for w in t.split()})
+    ids, ends = coder.of_texts(pa.array(words))
+    begins = [0, *ends.tolist()]
+    direct_ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == direct_ids
+    known = len(coder.known)
+    coder.of_texts(pa.array(["qzxv unheardof", "twice twice"]))
+    assert "unheardof" not in coder.known and "twice" in coder.known and len(coder.known) == known + 1
