@@ -39,9 +39,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in the packed sequences, whose ids follow the mix.
 
     Files keep no order, so the slots of the mix are found again; the stage before dropped no document.
+    Documents are tokenised where they lie, and only numbers of their pieces meet the slots.
     """
-    keep = ("slot", "place")
-    return packing.pack_mix(packing.pieces(mixing.slotted(docs), tokenizer_path(), with_ids=False, keep=keep))
+    keep = {"row": "bigint", "source": "string", "size": "bigint"}
+    pieces = packing.pieces(mixing.sized(docs), tokenizer_path(), with_ids=False, keep=keep)
+    pieces = materialize(pieces, "pieces")
+    rows = pieces.where("piece = 0").select("row", "doc_id", "source", "size")
+    slots = mixing.slots_of(rows, mixing.placed(docs))
+    return packing.pack_mix(pieces.drop("source", "size").join(slots, "row").drop("row"))
 
 
 STAGES = [
