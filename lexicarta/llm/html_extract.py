@@ -67,13 +67,25 @@ ASIDE = re.compile(
     r"widget|toolbar|skip|tags|byline-share|complementary|contentinfo|banner|dialog|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Those that also name a paragraph of the article itself.
+OF_ARTICLE = re.compile(
+    r"(?:^|[\s_-])(?:search|notice|notification|alert|tags|skip|overlay|header|footer|rail|menu|login|signup|"
+    r"widget|toolbar)(?=$|[\s_-])",
+    re.I,
+)
+#: Elements that are a paragraph, a headline or a part of one.
+PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6".split()) | INLINE
+HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
 COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|comment-list|respond|repl(?:y|ies)|disqus)(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|articlebody|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S
+    # A quote begins a value only behind an equals sign; elsewhere it is a stray character of the tag.
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<[!?][^>]*(?:>|$)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|$)",
+    re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([^\s>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAMES = {"class", "id", "role", "itemprop", "style", "aria-hidden"}
 
 
@@ -88,21 +100,21 @@ class Element:
         self.own = False
 
 
-def _described(name: str, attributes: str) -> tuple[bool, bool, float]:
+def _described(name: str, attributes: str, in_article: bool = False) -> tuple[bool, bool, float]:
     """Whether the element is left out, whether that is doubtful, and its bonus as a container.
 
     Doubtful is what only the name of a part of a page says: a wrapper may be named after
-    the sidebar that it makes room for.
+    the sidebar that it makes room for. A paragraph inside an article may be named after a notice or a search.
     """
     bonus = 25.0 if name in ("article", "main") else 5.0 if name in ("div", "section") else 0.0
     if name in LEFT_OUT:
         return True, False, 0.0
     dropped = doubtful = False
     if attributes:
-        if re.search(r"(?:^|\s)hidden(?=$|[\s/=])", attributes):
-            dropped = True
         for match in _ATTRIBUTE.finditer(attributes):
             key = match[1].lower()
+            if key == "hidden":
+                dropped = True
             if key not in _NAMES:
                 continue
             value = html.unescape(match[2] or match[3] or match[4] or "")
@@ -114,6 +126,8 @@ def _described(name: str, attributes: str) -> tuple[bool, bool, float]:
                 if COMMENT.search(value):
                     dropped = True
                 else:
+                    if in_article and name in PARAGRAPHS:
+                        value = OF_ARTICLE.sub(" ", value)
                     doubtful |= bool(ASIDE.search(value))
             elif COMMENT.search(value):
                 dropped = True
@@ -126,6 +140,7 @@ def parse(page: str) -> Element:
     """The tree of a page, texts with character references decoded."""
     root = Element("#root", None)
     doubted: list[Element] = []
+    headers: list[Element] = []
     top, at, end = root, 0, len(page)
 
     def text(upto: int) -> None:
@@ -169,8 +184,11 @@ def parse(page: str) -> Element:
                 top = close({"tr"}, {"table"})
         if name == "body" and top.name == "head":
             top = top.parent
-        dropped, doubtful, bonus = _described(name, match[3])
+        in_article = name in PARAGRAPHS and "=" in match[3] and _within(top, ("article", "main"))
+        dropped, doubtful, bonus = _described(name, match[3], in_article)
         element = Element(name, top, dropped, bonus)
+        if name == "header":
+            headers.append(element)
         if doubtful:
             element.doubtful = True
             doubted.append(element)
@@ -185,10 +203,38 @@ def parse(page: str) -> Element:
             at = stop.end() if stop else end
             continue
         top = element
+    for header in headers:
+        if _within(header.parent, ("article",)) and _only_headlines(header):
+            header.dropped = False
     _reconsider(root, doubted)
     return root
 
 
+def _within(node: Element | None, names: tuple[str, ...]) -> bool:
+    while node is not None:
+        if node.name in names:
+            return True
+        node = node.parent
+    return False
+
+
+def _only_headlines(header: Element) -> bool:
+    """Whether all text of an article's header is in headlines, and none of it is left out for another reason."""
+    stack, found = list(header.children), False
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            if node.strip():
+                return False
+        elif node.name in HEADLINES:
+            found = True
+        elif node.dropped:
+            return False
+        else:
+            stack += node.children
+    return found
+
+
 def _reconsider(root: Element, doubted: list[Element]) -> None:
     """Takes back what is doubtful of elements around an article, or around a headline and most of the text."""
 
@@ -293,7 +339,8 @@ def article(root: Element) -> list[Element]:
         node = node.parent
     if best.parent is None or best.name in ("body", "main"):
         return [best]
-    limit, found = max(10.0, 0.2 * rank(best)), []
+    # A sibling half as good as the best belongs to it, also where neither has many points.
+    limit, found = max(min(10.0, 0.5 * rank(best)), 0.2 * rank(best)), []
     for node in best.parent.children:
         if isinstance(node, str) or node.dropped:
             continue
@@ -311,7 +358,15 @@ def article(root: Element) -> list[Element]:
 def main_text(page: str) -> str:
     """The blocks of the article, joined by line feeds."""
     root = parse(page)
-    return "\n".join(line for part in article(root) for line in blocks(part))
+    text = "\n".join(line for part in article(root) for line in blocks(part))
+    if not text and (doubted := [n for n in _walk(root, doubtful=True) if n.doubtful and n.dropped]):
+        # Better what only its name speaks against than nothing.
+        for node in doubted:
+            node.dropped = False
+        for node in _walk(root):
+            node.points, node.own = 0.0, False
+        text = "\n".join(line for part in article(root) for line in blocks(part))
+    return text
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,6 +34,20 @@ TEXT = "First, a paragraph with some words, and commas.\nSecond one, & longer th
         ("<p>unfinished <b", "unfinished"),
         ("</p></div></article><p>stray, ends.</p>", "stray, ends."),
         ("<article><p>a < b, and c > d &am x</p></article>", "a < b, and c > d &am x"),
+        (f'<div><p title="the hidden truth">First, a paragraph with some words, and commas.</p>{BODY[BODY.index("<p>Second"):]}</div>', TEXT),
+        (f'<article data-tags="nice hidden gems">{BODY}</article>', TEXT),
+        (f"<div data-x='a hidden b' hidden><p>Not, shown.</p></div><article>{BODY}</article>", TEXT),
+        ('<article><p class="x"">A stray quote, here.</p><p>And "more", too.</p></article>', 'A stray quote, here.\nAnd "more", too.'),
+        ('<article><p title="a > b">One, two.</p><p title=\'it"s\'>Three.</p><p a=b"c>Four.</p></article>', "One, two.\nThree.\nFour."),
+        (f"<!--><article>{BODY}</article><!-- x --><!--->", TEXT),
+        ("<body><div><p>One, two.</p></div><div><p>Three, four.</p></div></body>", "One, two.\nThree, four."),
+        ("<article><p>The, start, of, it.</p><p class=notice>A, notice, of, the, text.</p><p>Go <em class=search>on</em>.</p></article>", "The, start, of, it.\nA, notice, of, the, text.\nGo on."),
+        (f"<article>{BODY}<p class='advert'>Buy, now.</p><div class=notice>We, tell, you.</div></article>", TEXT),
+        ("<body><div class='search'><p>All, there, is.</p></div></body>", "All, there, is."),
+        ("<body><div class='comments'><p>Only, a, comment.</p></div></body>", ""),
+        (f"<article><header><h1>Title</h1></header>{BODY}</article>", "Title\n" + TEXT),
+        (f"<article><header><h1>Title</h1><p>By, me</p></header>{BODY}</article>", TEXT),
+        (f"<header><h1>Site</h1></header><article>{BODY}</article>", TEXT),
     ],
 )
 def test_pages(page, text):
@@ -77,3 +91,73 @@ def test_sibling_articles_belong_together():
     (a, first), (b, second) = part("First"), part("Second")
     page = f"<html><body><div>{first}{second}</div><div><a href='x'>other pages</a></div></body></html>"
     assert main_text(page).split("\n") == a + b
+
+
+def plain_scores(root):
+    """Points of every element by plain recursion: each paragraph climbs to all elements around it."""
+    from lexicarta.llm import html_extract as H
+
+    def kept(node):
+        return [c for c in node.children if isinstance(c, str) or not c.dropped]
+
+    def length(node, in_link=False, links_only=False):
+        link = in_link or node.name == "a"
+        own = sum(len(" ".join(c.split())) for c in kept(node) if isinstance(c, str) and (link or not links_only))
+        return own + sum(length(c, link, links_only) for c in kept(node) if not isinstance(c, str))
+
+    points = {}
+
+    def visit(node):
+        loose = node.name not in H.SCORED | H.INLINE and any(isinstance(c, str) and c.strip() for c in kept(node))
+        if (node.name in H.SCORED or loose) and node is not root and length(node):
+            text = " ".join(" ".join(H.blocks(node)).split())
+            worth = 1 + sum(text.count(c) for c in ",、，") + min(len(text) / 100, 10)
+            worth *= 1 - length(node, links_only=True) / length(node)
+            around, up = [], node if loose else node.parent
+            while up is not None:
+                around.append(up)
+                up = up.parent
+            for depth, up in enumerate(around):
+                if 0.5**depth > 0.05:
+                    points[up] = points.get(up, 0.0) + worth * 0.5**depth
+        for c in kept(node):
+            if not isinstance(c, str):
+                visit(c)
+
+    visit(root)
+    ranks = {}
+    for node, found in points.items():
+        if node.name not in ("#root", "html", *H.INLINE) and length(node):
+            ranks[node] = (found + node.bonus) * (1 - length(node, links_only=True) / length(node))
+    return ranks
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_scores_are_those_of_a_plain_version(seed):
+    import random
+
+    from lexicarta.llm import html_extract as H
+
+    rng = random.Random(seed)
+
+    def tree(depth):
+        made = []
+        for _ in range(rng.randint(1, 4)):
+            name = rng.choice(["div", "div", "section", "p", "ul", "a", "em", "td", "article", "blockquote", "nav"])
+            kind = rng.choice(["", "", " class=content", " class=sidebar", " id=x"])
+            words = " ".join(rng.choice(["word", "a,", "longer,", "b"]) for _ in range(rng.randint(0, 40)))
+            inner = tree(depth - 1) if depth and name not in ("p", "em", "a") else ""
+            made.append(f"<{name}{kind}>{words}{inner}</{name}>")
+        return "".join(made)
+
+    page = f"<body>{tree(4)}</body>"
+    root = H.parse(page)
+    chosen = H.article(root)
+    ranks = plain_scores(root)
+    for node, rank in ranks.items():
+        own = (node.points + node.bonus) * (1 - node.link_chars / node.chars)
+        assert own == pytest.approx(rank)
+    if ranks and chosen[0].name not in ("article", "main", "body"):
+        best = max(ranks.values())
+        assert any(ranks.get(n, -1) == pytest.approx(best) or n.bonus >= 30 for n in chosen)
+    assert not re.search(r"</?(?:div|p|section|em|a)\b", main_text(page))
