@@ -95,3 +95,15 @@ def test_run_gives_what_the_stages_give(spark, tables):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     got = corpus_pipeline.run(spark, tables).select(columns).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, docs.select(columns).collect()))
+
+
+def test_no_rows_and_clashing_columns(spark, tables, tmp_path):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    clash = docs.selectExpr("*", "'x' AS score", "1 AS row", "'k' AS size", "true AS slot", "0 AS rep")
+    for name, rows in (("none", clash.limit(0)), ("clash", clash)):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{tables}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    found = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "clash")).collect()}
+    assert found == {r.doc_id for r in corpus_pipeline.run(spark, tables).collect()}
