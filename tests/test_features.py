@@ -1,5 +1,6 @@
 import random
 import math
+import time
 from collections import Counter
 
 import pytest
@@ -194,6 +195,15 @@ def test_member_words_keep_order_and_repeats(spark, docs_of, words_frame, monkey
     assert all(r["words"] == [] for r in X.member_words(docs, vocab.limit(0)).collect())
 
 
+def test_members_are_dealt_once_a_document(spark, docs_of, words_frame):
+    """Dealt once a word, this took some ten minutes."""
+    names = [f"w{i}" for i in range(6000)]
+    start = time.perf_counter()
+    found = X.member_words(docs_of(" ".join(names)), words_frame(*names[::2])).head()["words"]
+    assert found == names[::2]
+    assert time.perf_counter() - start < 60
+
+
 @pytest.mark.parametrize("n", [1, 20, 5000])
 def test_top_per_group_of_any_size(spark, n):
     rng = random.Random(n)
