@@ -21,8 +21,9 @@ which is the Jaccard index of the shingle sets where every shingle occurs once.
   classes. If many pairs are left, their members are edits of common texts, but too far from them and
   from each other. They get finer buckets (:func:`finer`): what tells a member from its fellows, the shingles it has
   and most have not, or has not and most have, is banded. Two members of similarity 0.8, both below it to what most
-  have, share a third of that at least, and others next to nothing, so that the pairs grow
-  with the members. In the end all pairs left of different classes in a bucket are verified.
+  have, mostly share a third of that, and others next to nothing. These rounds only join classes sooner.
+* In the end all pairs of different classes in a bucket of the first kind are compared, whatever rounds were before: in small buckets
+  as rows, in larger ones by blocks (:func:`linking`), where a bound on the index passes over what cannot be similar.
 
 Defined results: a null text counts as empty. Texts with equal words are one class,
 texts without words too. A text of less than five words has one shingle, all its words.
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexicarta.llm.common import filled, kept_rows, only, text_check, text_slices
@@ -52,12 +53,14 @@ BANDS, ROWS = 24, 6
 #: those pairs that a round must link for another one to follow.
 ROUNDS, WORTH = 2, 0.1
 #: New hubs of a bucket in a further round, and the pairs a member up to which no such round is needed.
-HUBS, FEW = 4, 8
+HUBS, FEW = 4, 256
+#: Members of a bucket up to which its pairs are rows, those of a block of a larger one, and the shingles of a step there.
+PAIRED, BLOCK, COLUMNS = 16, 256, 4096
 #: Members that share a third of what tells them apart have a finer bucket in common with probability
 #: 1 - (1 - 1/27)^100 = 0.977, those of a half with 1 - (1 - 1/8)^100 = 0.999998.
 FINE_BANDS, FINE_ROWS = 100, 3
 #: Times that buckets are made finer.
-LEVELS = 2
+LEVELS = 1
 #: Shuffle partitions whose rows share a file in tables without texts.
 PER_FILE = 8
 
@@ -339,10 +342,10 @@ def linked(
         label_a = labels.select(F.col("rep").alias("a"), F.col("label").alias("la"))
         label_b = labels.select(F.col("rep").alias("b"), F.col("label").alias("lb"))
         apart = slim(
-            apart.join(chosen, ["a", "b"], "left_anti")
-            .join(label_a, "a")
+            apart.join(label_a, "a")
             .join(label_b, "b")
             .where("la != lb")
+            .join(chosen, ["a", "b"], "left_anti")
             .select("a", "b", "bands"),
             "apart",
         )
@@ -430,6 +433,111 @@ def finer(held: DataFrame, several: DataFrame, texts: DataFrame) -> DataFrame:
     return slim(banded.join(shared, "key").select("rep", "key"), "buckets")
 
 
+def _linking(threshold: float):
+    """Links that join the labels of a group of members, found among all pairs of its two blocks, or of its one.
+
+    Let c and d be the shares of the weights of two texts that fall on shingles of both. Their index is 1 / (1 / c +
+    1 / d - 1) at most, and just that if all weights are equal; so only pairs that reach the threshold by it are looked at.
+    """
+
+    def run(members: pa.Table) -> pa.Table:
+        texts = filled(members.column("text").combine_chunks())
+        n = len(texts)
+        owner, value, weight = shingles(texts)
+        cut = np.searchsorted(owner, np.arange(n + 1))
+        share = weight / np.bincount(owner, weight, minlength=n)[owner]
+        _, code, times = np.unique(value, return_inverse=True, return_counts=True)
+        met = times[code] > 1
+        column, at, share = np.unique(code[met], return_inverse=True)[1], owner[met], share[met].astype(np.float32)
+        order = np.argsort(column, kind="stable")
+        column, at, share = column[order], at[order], share[order]
+        block = members.column("own").to_numpy()
+        first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        c = np.zeros((len(first), len(second)), np.float32)
+        d = np.zeros((len(second), len(first)), np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            i, j = np.searchsorted(column, [start, start + COLUMNS])
+            part = np.zeros((n, COLUMNS), np.float32)
+            part[at[i:j], column[i:j] - start] = share[i:j]
+            has = (part > 0).astype(np.float32)
+            c += part[first] @ has[second].T
+            d += part[second] @ has[first].T
+        least = np.float32(1e-6)
+        label = members.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        near = 1 / np.maximum(c, least) + 1 / np.maximum(d.T, least) - 1 <= 1 / threshold + 1e-3
+        near &= label[first][:, None] != label[second][None, :]
+        if first[0] == second[0]:
+            near = np.triu(near)
+        rep = members.column("rep").to_pylist()
+        root = list(range(n))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for x, y in zip(*(k.tolist() for k in np.nonzero(near))):
+            x, y = int(first[x]), int(second[y])
+            if (p := top(label[x])) != (q := top(label[y])):
+                s, t = slice(cut[x], cut[x + 1]), slice(cut[y], cut[y + 1])
+                index = similarity((value[s], weight[s]), (value[t], weight[t]))
+                if index >= threshold - 1e-12:
+                    root[p] = q
+                    found.append((min(rep[x], rep[y]), max(rep[x], rep[y]), index))
+        columns = list(zip(*found)) or [[], [], []]
+        return pa.table(
+            [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.float64())],
+            names=["a", "b", "similarity"],
+        )
+
+    return run
+
+
+def linking(held: DataFrame, sizes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, similarity)``: links enough to join the members ``(rep, key, label)`` that any links in a bucket join.
+
+    All pairs of different labels in a bucket are compared. The members of a bucket of ``sizes(key, n)`` are dealt into blocks, and a task
+    compares two blocks; so neither a task nor the number of rows grows with the pairs.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = held.join(sizes.select("key", "n"), "key").select(
+        "key",
+        "rep",
+        "label",
+        F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
+    )
+    found = (
+        dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        .join(texts, "rep")
+        .select("key", "i", "j", "own", "rep", "label", "text")
+        .groupBy("key", "i", "j")
+        .applyInArrow(_linking(threshold), "a binary, b binary, similarity double")
+    )
+    return found.groupBy("a", "b").agg(F.first("similarity").alias("similarity"))
+
+
+def unsettled(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Members ``(rep, key, label)`` of the buckets of several classes, those ``(key, n, left)``, their members and pairs apart."""
+    held = buckets.select("rep", "key").join(labels, "rep")
+    square = F.col("n") * F.col("n")
+    several = slim(
+        held.groupBy("key", "label")
+        .agg(F.count("*").alias("n"))
+        .groupBy("key")
+        .agg(F.sum("n").alias("n"), F.sum(square).alias("joined"))
+        .select("key", "n", ((square - F.col("joined")) / 2).alias("left"))
+        .where("left > 0"),
+        "several",
+    )
+    members, left = several.agg(F.sum("n"), F.sum("left")).first()
+    if left:
+        held = slim(held.join(several.select("key"), "key").select("rep", "key", "label"), "held")
+    return held, several, members or 0, left or 0
+
+
 def settled(
     buckets: DataFrame,
     met: DataFrame,
@@ -438,62 +546,64 @@ def settled(
     threshold: float,
     known: tuple[DataFrame, DataFrame],
 ) -> tuple[DataFrame, DataFrame]:
-    """Links and labels once any two members ``(rep, key)`` of a bucket have met or are in one class.
+    """Links and labels once any two members ``(rep, key)`` of a bucket have been compared or are in one class.
 
-    ``met`` are the pairs of the links and labels ``known``. As long as a round halves the
-    pairs left over, the next one pairs members with few new hubs. If more than a few a member are left then,
-    the buckets are made finer, ``LEVELS`` times at most; in the end all pairs are verified.
+    ``met`` are the pairs of the links and labels ``known``. If more than a few pairs a member are left over, a round
+    pairs members with few new hubs, and as long as it halves what is left, the next one does. What is still too much
+    is paired in finer buckets, ``LEVELS`` times at most. These only join classes sooner: in the end all pairs of
+    different classes in each of ``buckets`` are compared, in small buckets as rows and in larger ones by blocks.
     """
-    before, level = None, 0
+    some, before, level = buckets, None, 0
     for turn in itertools.count():
-        held = buckets.select("rep", "key").join(known[1], "rep")
-        square = F.col("n") * F.col("n")
-        several = slim(
-            held.groupBy("key", "label")
-            .agg(F.count("*").alias("n"))
-            .groupBy("key")
-            .agg(F.sum("n").alias("n"), F.sum(square).alias("joined"))
-            .select("key", "n", ((square - F.col("joined")) / 2).alias("left"))
-            .where("left > 0"),
-            "several",
-        )
-        members, left = several.agg(F.sum("n"), F.sum("left")).first()
-        if not left:
-            return known
-        held = slim(held.join(several.select("key"), "key"), "held")
+        held, several, members, left = unsettled(some, known[1])
         few = left <= FEW * members
         stuck = before is not None and 2 * left > before
         if stuck and not few and level < LEVELS:
-            buckets, before, level = finer(held, several, texts), None, level + 1
+            some, before, level = finer(held, several, texts), None, level + 1
             continue
-        last = few or stuck
+        if few or stuck:
+            break
         before = left
-        if last:
-            others = held.select("key", F.col("rep").alias("other"), F.col("label").alias("other_label"))
-        else:
-            ranks = [F.xxhash64("rep", "key", F.lit(HUBS * turn + i)).alias("by") for i in range(HUBS)]
-            hubs = held.groupBy("key").agg(
-                F.array(*(F.max(F.struct(rank, "rep", "label")) for rank in ranks)).alias("hubs")
-            )
-            others = hubs.select("key", F.explode("hubs").alias("hub")).select(
-                "key", F.col("hub.rep").alias("other"), F.col("hub.label").alias("other_label")
-            )
-        # With all as hubs a pair comes from both its ends.
-        once = F.col("rep") < F.col("other") if last else F.lit(True)
-        pairs = slim(
-            held.join(others, "key")
-            .where((F.col("label") != F.col("other_label")) & once)
-            .groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-            .agg(F.count("*").alias("bands"))
-            .join(met.select("a", "b"), ["a", "b"], "left_anti"),
-            "pairs",
+        ranks = [F.xxhash64("rep", "key", F.lit(HUBS * turn + i)).alias("by") for i in range(HUBS)]
+        hubs = held.groupBy("key").agg(F.array(*(F.max(F.struct(rank, "rep", "label")) for rank in ranks)).alias("hubs"))
+        others = hubs.select("key", F.explode("hubs").alias("hub")).select(
+            "key", F.col("hub.rep").alias("other"), F.col("hub.label").alias("other_label")
         )
+        pairs = _apart(held, others, met, F.lit(True))
         if not pairs.isEmpty():
-            # In finer buckets, and in the end, few of the pairs are links.
-            known = linked(pairs, texts, nodes, threshold, known, rounds=0 if last or level else 1)
+            # In finer buckets few of the pairs are links.
+            known = linked(pairs, texts, nodes, threshold, known, rounds=0 if level else 1)
             met = met.select("a", "b").unionByName(pairs.select("a", "b"))
-        if last:
-            return known
+    if level:
+        held, several, members, left = unsettled(buckets, known[1])
+    if not left:
+        return known
+    small = held.join(several.where(F.col("n") <= PAIRED).select("key"), "key")
+    others = small.select("key", F.col("rep").alias("other"), F.col("label").alias("other_label"))
+    pairs = _apart(small, others, met, F.col("rep") < F.col("other"))
+    if not pairs.isEmpty():
+        known = linked(pairs, texts, nodes, threshold, known, rounds=0)
+    links, labels = known
+    large = several.where(F.col("n") > PAIRED)
+    if large.isEmpty():
+        return known
+    again = held.select("rep", "key").join(large.select("key"), "key").join(labels, "rep")
+    found = materialize(linking(again, large, texts, threshold), "links")
+    if not found.isEmpty():
+        links, labels = links.unionByName(found), joined_labels(labels, found)
+    return links, labels
+
+
+def _apart(held: DataFrame, others: DataFrame, met: DataFrame, once: Column) -> DataFrame:
+    """``(a, b, bands)``: pairs of members and ``others`` of a bucket that have different labels and have not met."""
+    return slim(
+        held.join(others, "key")
+        .where((F.col("label") != F.col("other_label")) & once)
+        .groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+        .agg(F.count("*").alias("bands"))
+        .join(met.select("a", "b"), ["a", "b"], "left_anti"),
+        "pairs",
+    )
 
 
 def _rows(docs: DataFrame) -> DataFrame:

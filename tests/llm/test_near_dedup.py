@@ -162,6 +162,47 @@ def test_links_between_copies_too_far_from_their_original(make_docs, monkeypatch
     assert pairs < len(texts) ** 2 / 4
 
 
+def test_links_that_finer_buckets_miss(make_docs, monkeypatch):
+    """Two copies alike, too far from their original, and finer buckets in which nobody meets."""
+    monkeypatch.setattr(near_dedup, "FEW", 1)
+    rng = random.Random(4)
+    original = [f"{w}{i}" for i, w in enumerate(sentence(rng, 300).split())]
+    texts = [original] + [edited(rng, original, rng.randint(13, 15), i) for i in range(200)]
+    texts += [edited(rng, t, 2, f"{i}y") for i, t in enumerate(texts[::9])]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    missed = []
+    monkeypatch.setattr(near_dedup, "finer", lambda held, *a: missed.append(1) or held.select("rep", "key").limit(0))
+    got = near_dedup.classes(make_docs(rows).repartition(4)).collect()
+    sets = [{tuple(t[i : i + 5]) for i in range(296)} for t in texts]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    groups = defaultdict(list)
+    for i, x in enumerate(label):
+        groups[x].append(i)
+    assert missed and len(groups) < len(rows) - 10
+    assert found_classes(got) == Counter(map(tuple, groups.values()))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_classes_by_blocks(make_docs, monkeypatch, seed):
+    """All buckets compared in blocks of few members, repeated shingles too; no pair is verified before."""
+    monkeypatch.setattr(near_dedup, "PAIRED", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    nothing = "a binary, b binary, similarity double"
+    monkeypatch.setattr(
+        near_dedup, "linked", lambda pairs, texts, nodes, *a, **k: (
+            pairs.sparkSession.createDataFrame([], nothing), nodes.select("rep", near_dedup.F.col("rep").alias("label"))
+        )
+    )
+    rows = near_copies(seed, groups=8)
+    rows += [(2000 + i, " ".join(["ring bell toll chime peal"] * (20 + i // 2) + ["end"] * (i % 2))) for i in range(12)]
+    got = near_dedup.classes(make_docs(rows).repartition(4)).collect()
+    assert found_classes(got) == brute_classes(rows)
+
+
 def test_private_shingles():
     a, b = np.array([1, 3, 5, 7, 2, 3], np.uint64), np.array([0, 0, 0, 0, 1, 1])
     common = np.array([3, 4, 7, 2, 3], np.uint64), np.array([0, 0, 0, 1, 1])
