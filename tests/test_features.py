@@ -8,6 +8,7 @@ import pytest
 from lexicarta.functions import text as T
 from lexicarta.operators import features as X
 from lexicarta.operators import vocabulary as V
+from lexicarta.plans import catalog
 from lexicarta.sources.readers import default_stop_words, stop_words
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
@@ -227,3 +228,12 @@ def test_many_top_rows_are_limited_before_the_shuffle(spark):
     assert 5000 <= kept < 20_000
     plan = X.top_per_group(df, "g", "w", "i", 5000)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("_salt") > 0
+
+
+def test_lists_are_ranked_without_making_them_again(spark):
+    rows = spark.createDataFrame([(1, ["b", "a"]), (2, []), (3, None)], "doc_id bigint, words array<string>")
+    made = F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1.0).alias("weight")))
+    ranked = catalog._ranked(rows.select("doc_id", made.alias("top")))
+    assert sorted(ranked.collect()) == [(1, 1, "b", 1.0), (1, 2, "a", 1.0)]
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 1
