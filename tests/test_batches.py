@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexicarta.__main__ import main
+from lexicarta.plans import catalog
 from lexicarta.operators import batches as B
 from lexicarta.operators import features as X
 from lexicarta.operators import vocabulary as V
@@ -94,3 +95,11 @@ def test_append_and_merge_are_one_run(spark, tmp_path):
         assert sorted(lines_of(tmp_path / "out" / table)) == sorted(lines_of(tmp_path / "one" / table))
     left, right = ({r["doc_id"]: r["entries"] for r in R.read_vectors(spark, f"{f}/vectors").collect()} for f in (out, one))
     assert left == right and len(left) == 20
+
+
+def test_batches_read_what_is_joined_once(spark, folder, monkeypatch):
+    given, add = [], catalog.B.add_batch
+    monkeypatch.setattr(catalog.B, "add_batch", lambda docs, *a: given.append(docs) or add(docs, *a))
+    catalog._batched(spark, folder)
+    assert len(given) == 2
+    assert all("Join" not in d._jdf.queryExecution().optimizedPlan().toString() for d in given)
