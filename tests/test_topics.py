@@ -1,8 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 
 from lexicarta.functions.vectors import stored_entries, stored_vectors
+from lexicarta.operators import maximisation as E
 from lexicarta.operators import topics as M
 from lexicarta.sources.writers import topic_description_lines
 from pyspark.ml.linalg import Vectors
@@ -220,3 +222,67 @@ def test_fit_repeats_on_the_same_partitions(fitted, spark):
     )
     assert [r["term_id"] for r in first] == [r["term_id"] for r in second]
     assert all(math.isclose(a["weight"], b["weight"], rel_tol=1e-6) for a, b in zip(first, second))
+
+
+def test_the_fit_is_the_estimators(spark, planted):
+    """From the same partitions the fit by rows and that of the estimator's graph end alike, entries and all."""
+    rows, vectors, _ = planted
+    dense = spark.createDataFrame([(500, Vectors.dense([0.0, 2.0, 0.0, 0.0, 0.0, 1.5, 0.0, 0.0, 0.0]))], ["doc_id", "features"])
+    vectors = vectors.unionByName(dense)
+    placed = vectors.repartition(4, "doc_id").sortWithinPartitions("doc_id").persist()
+    theirs = M.LDA(k=3, maxIter=4, seed=17, optimizer="em").fit(placed)
+    fit = M.training_fit(vectors, k=3, max_iter=4, partitions=4)
+    for model in (fit.model, M.fit_topics(vectors, k=3, max_iter=4, partitions=4)):
+        assert model.isDistributed() and model.vocabSize() == 9 and model.getMaxIter() == 4
+        assert np.allclose(model.topicsMatrix().toArray(), theirs.topicsMatrix().toArray(), rtol=1e-9)
+        assert math.isclose(model.trainingLogLikelihood(), theirs.trainingLogLikelihood(), rel_tol=1e-9)
+        assert math.isclose(model.logPrior(), theirs.logPrior(), rel_tol=1e-9)
+    by_graph = M.training_fit(vectors, k=3, max_iter=4, partitions=4, max_model_terms=8)
+    for one in (fit, by_graph):
+        totals = {r["doc_id"]: sum(r["weights"]) for r in M.training_weights(one).collect()}
+        assert set(totals) == {i for i, entries in rows if any(w for _, w in entries)} | {500}
+        assert all(math.isclose(totals[i], sum(w for _, w in entries)) for i, entries in rows if i in totals)
+    assert fit.numbers.count() == by_graph.numbers.count() == vectors.count()
+    placed.unpersist()
+
+
+def test_rows_of_one_document_id_are_fitted_each(spark):
+    rows = [(i // 2, Vectors.sparse(4, [i % 4], [1.0 + i])) for i in range(20)] + [(None, Vectors.sparse(4, [1], [2.0]))]
+    fit = M.training_fit(spark.createDataFrame(rows, ["doc_id", "features"]), k=2, partitions=3)
+    weights = M.training_weights(fit).collect()
+    assert sorted((r["doc_id"], round(sum(r["weights"]), 6)) for r in weights if r["doc_id"] is not None) == [
+        (i // 2, 1.0 + i) for i in range(20)
+    ]
+    assert len(weights) == 21
+
+
+def test_a_step_shuffles_weights_only(spark, planted, monkeypatch):
+    """Entries stay where they are kept, and no cached graph is left behind."""
+    plans = []
+    written = E.materialize
+
+    def noted(df, label, *args, **kwargs):
+        if label == "fit-step":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label, *args, **kwargs)
+
+    monkeypatch.setattr(E, "materialize", noted)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    M.training_fit(planted[1], k=2, max_iter=3, partitions=4)
+    assert len(plans) == 3 and spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+    for text in plans:
+        assert "InMemoryTableScan" in text and "ShuffledHashJoin" in text
+        shuffled = [line for line in text.splitlines() if "ENSURE_REQUIREMENTS" in line]
+        assert len(shuffled) == 1 and "hashpartitioning(id" in shuffled[0] and ", 4)" in shuffled[0]
+
+
+def test_java_random_and_chunks():
+    random = E.JavaRandom(42)
+    drawn = np.concatenate([random.doubles(n) for n in (1, 0, 4)])
+    assert np.allclose(drawn[:2], [0.7275636800328681, 0.6832234717598454], rtol=1e-15)  # new java.util.Random(42)
+    assert (drawn == E.JavaRandom(42).doubles(5)).all()
+    lengths = np.array([1 << 18, 1, 5, 1 << 19, 3])
+    found = list(E._chunks(lengths, 4))
+    assert [r for d, _ in found for r in range(d.start, d.stop)] == list(range(5))
+    assert [e.start for _, e in found[1:]] == [e.stop for _, e in found[:-1]] and found[-1][1].stop == lengths.sum()
+    assert len(found) == 4
