@@ -86,6 +86,26 @@ def test_documents_are_counted_uncleaned(docs_of, words_frame):
     }
 
 
+def test_members_are_counted_by_a_model_or_a_join(spark, words_frame):
+    """Without sorting the words of each document, unless the vocabulary is too large or empty."""
+    rows = [(0, "ab, Cells cells  ab"), (1, "cells"), (1, "cells"), (2, None), (3, ""), (None, "ab 😀 zzz ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    vocab = words_frame("cells", "ab", "cells", None, "😀", "unused")
+    for clean_docs, min_token in [(True, 3), (False, 3), (True, 0)]:
+        want = Counter()
+        for at, (_, text) in enumerate(rows):
+            words = (text or "").replace(",", "").lower() if clean_docs else text or ""
+            units = [(w, len(w.encode("utf-16-le")) // 2) for w in words.split(" ")]
+            want.update((at, w) for w, n in units if n >= min_token and w in ("cells", "ab", "😀", "unused"))
+        want = sorted(((rows[at][0], w, n) for (at, w), n in want.items()), key=str)
+        for limit, sorted_words in [(V.MAX_MODEL_TERMS, False), (1, True)]:
+            counts = V.document_term_counts(docs, vocab, clean_docs, min_token, limit)
+            assert counts.dtypes == [("doc_id", "bigint"), ("term", "string"), ("cnt", "bigint")]
+            assert sorted(map(tuple, counts.collect()), key=str) == want
+            assert ("sort_array" in counts._jdf.queryExecution().optimizedPlan().toString()) == sorted_words
+    assert V.document_term_counts(docs, vocab.limit(0)).count() == 0
+
+
 CORPUS = ["red red blue", "red green", "blue blue blue one", "", "single", "red blue, Green"]
 
 
