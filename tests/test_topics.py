@@ -276,6 +276,31 @@ def test_a_step_shuffles_weights_only(spark, planted, monkeypatch):
         assert len(shuffled) == 1 and "hashpartitioning(id" in shuffled[0] and ", 4)" in shuffled[0]
 
 
+def _kept(spark):
+    """Ids of what executors hold in memory."""
+    return {info.id() for info in spark.sparkContext._jsc.sc().getRDDStorageInfo()}
+
+
+def test_mixtures_are_inferred_without_the_graph(spark, planted):
+    """The terms by topics come from the table of vertices: no graph of all entries is laid out in memory."""
+    rows, vectors, _ = planted
+    for limit in (1 << 18, 8):  # by rows, and by the estimator
+        model = M.training_fit(vectors, k=3, max_iter=3, partitions=4, max_model_terms=limit).model
+        loaded = M.DistributedLDAModel(model._java_obj.copy(model._empty_java_param_map()))
+        left = _kept(spark)
+        mixtures = {r["doc_id"]: r["mixture"] for r in M.document_topics(model, vectors).collect()}
+        matrix, told = model.topicsMatrix().toArray(), (model.logLikelihood(vectors), model.logPerplexity(vectors))
+        assert _kept(spark) <= left
+        assert matrix.shape == (9, 3) and np.array_equal(matrix, loaded.topicsMatrix().toArray())
+        theirs = {r["doc_id"]: r["mixture"] for r in M.document_topics(loaded.toLocal(), vectors).collect()}
+        assert set(mixtures) == {i for i, _ in rows} and mixtures.keys() == theirs.keys()
+        assert all(np.allclose(mixtures[i], theirs[i], rtol=1e-9) for i in mixtures)
+        assert np.allclose(told, (loaded.logLikelihood(vectors), loaded.logPerplexity(vectors)), rtol=1e-6)
+        assert _kept(spark) - left, "the loaded model does lay it out"
+        renamed = model.copy({model.topicDistributionCol: "shares"}).transform(vectors)
+        assert renamed.columns == ["doc_id", "features", "shares"] and not model.toLocal().isDistributed()
+
+
 def test_java_random_and_chunks():
     random = E.JavaRandom(42)
     drawn = np.concatenate([random.doubles(n) for n in (1, 0, 4)])
