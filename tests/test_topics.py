@@ -301,6 +301,28 @@ def test_mixtures_are_inferred_without_the_graph(spark, planted):
         assert renamed.columns == ["doc_id", "features", "shares"] and not model.toLocal().isDistributed()
 
 
+def test_topics_are_described_without_the_graph(spark, planted):
+    _, vectors, _ = planted
+    model = M.training_fit(vectors, k=3, max_iter=3, partitions=4).model
+    loaded = M.DistributedLDAModel(model._java_obj.copy(model._empty_java_param_map()))
+    left = _kept(spark)
+    for n in (9, 4):
+        mine = {r["topic"]: r for r in model.describeTopics(n).collect()}
+        assert _kept(spark) <= left or n == 4
+        theirs = {r["topic"]: r for r in loaded.describeTopics(n).collect()}
+        assert mine.keys() == theirs.keys() == {0, 1, 2}
+        for topic, r in mine.items():
+            assert r["termIndices"] == theirs[topic]["termIndices"] and len(r["termIndices"]) == n
+            assert np.allclose(r["termWeights"], theirs[topic]["termWeights"], rtol=1e-12)
+
+
+def test_topics_without_any_weight_are_described_empty(spark):
+    vectors = spark.createDataFrame([(i, Vectors.sparse(4, [i], [0.0])) for i in range(3)], ["doc_id", "features"])
+    model = M.training_fit(vectors, k=2, max_iter=1, partitions=2).model
+    assert [tuple(r) for r in model.describeTopics(4).orderBy("topic").collect()] == [(0, [], []), (1, [], [])]
+    assert not model.topicsMatrix().toArray().any()
+
+
 def test_java_random_and_chunks():
     random = E.JavaRandom(42)
     drawn = np.concatenate([random.doubles(n) for n in (1, 0, 4)])
